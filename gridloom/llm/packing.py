@@ -34,7 +34,7 @@ from .common import materialize, sized
 
 LENGTH, END_ID = 4096, 2
 #: Words and pieces whose ids a Python worker keeps, at most.
-CACHE = 600_000
+CACHE = 800_000
 
 # Pieces that the tokenizer treats apart from each other whatever surrounds them:
 # letters of these ranges, single digits, and other visible characters.
@@ -71,8 +71,10 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE or len(self.pieces) > CACHE:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > CACHE:
+            self.words = {}  # cheap to fill again from the pieces
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
         new = [w for w in set(words) if w not in self.words]
         parts = [_PIECES(w.lower()) if _PLAIN(w) else [w] for w in new]
         known = self.pieces

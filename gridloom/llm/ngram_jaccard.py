@@ -196,23 +196,25 @@ def _compare(rows: DataFrame, keys: list[str], rule: Threshold, every: bool = Fa
     return rows.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
 
 
+_TILE = ["cluster", "mb", "mk", "ab", "ak"]
+
+
 def _tiles(sets: DataFrame, cluster: DataFrame, rule: Threshold, every: bool) -> DataFrame:
     """Tiles of each cluster: what isn't in its largest component against everything,
-    by neighbouring size bands."""
-    rows = sets.join(cluster, "cls")
-    blocks = rows.groupBy("cluster", "minor", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = blocks.select("cluster", "minor", "band", F.ceil(F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES)).cast("int").alias("k"))
-    every_block = blocks.groupBy("cluster", "band").agg(F.sum("k").cast("int").alias("k"))
-    rows = rows.join(every_block, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).drop("k")
-    near = [-1, 0, 1]
-    minor = rows.filter("minor").select("cluster", "cls", "n", "label", "bits", "vals", F.col("band").alias("mb"), F.col("block").alias("mk"), F.explode(F.array(*[F.col("band") + x for x in near])).alias("ab"))
-    minor = minor.join(every_block.withColumnRenamed("band", "ab"), ["cluster", "ab"])
-    minor = minor.withColumn("ak", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    by neighbouring size bands. Tiles are dealt out without the sets, which are joined
+    once at the end."""
+    rows = materialize(sets.select("cls", "n", "band").join(cluster, "cls"), "jaccard-rows")
+    blocks = rows.groupBy("cluster", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = blocks.select("cluster", "band", F.ceil(F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES)).cast("int").alias("k"))
+    rows = rows.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).drop("k", "n")
     tiles = rows.filter("minor").select("cluster", F.col("band").alias("mb"), F.col("block").alias("mk")).distinct()
-    other = rows.select("cluster", "cls", "n", "label", "bits", "vals", F.col("band").alias("ab"), F.col("block").alias("ak"), F.explode(F.array(*[F.col("band") + x for x in near])).alias("mb"))
-    other = other.join(tiles, ["cluster", "mb"])
-    both = minor.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
-    return _compare(both, ["cluster", "mb", "mk", "ab", "ak"], rule, every)
+    tiles = tiles.withColumn("ab", F.explode(F.array(*[F.col("mb") + x for x in (-1, 0, 1)])))
+    tiles = tiles.join(rows.select("cluster", F.col("band").alias("ab"), F.col("block").alias("ak")).distinct(), ["cluster", "ab"])
+    tiles = materialize(tiles.select(*_TILE), "jaccard-tiles")  # those with rows on both sides
+    minor = rows.filter("minor").select("cluster", F.col("band").alias("mb"), F.col("block").alias("mk"), "cls", "label", F.lit(0).alias("side"))
+    other = rows.select("cluster", F.col("band").alias("ab"), F.col("block").alias("ak"), "cls", "label", F.lit(1).alias("side"))
+    dealt = minor.join(tiles, ["cluster", "mb", "mk"]).unionByName(other.join(tiles, ["cluster", "ab", "ak"]))
+    return _compare(dealt.join(sets.select("cls", "n", "bits", "vals"), "cls"), _TILE, rule, every)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -255,11 +257,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct(F.col("n"), F.col("b"))).alias("b"))
     parts = best.groupBy("b").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("k"))
     split = best.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("k")).cast("int")).select("a", "b", "part")
-    label = F.col("cls").alias("label")
-    cols = ["cls", "n", "bits", "vals"]
-    member = split.withColumnRenamed("a", "cls").join(sets, "cls").select("b", "part", *cols, label, F.lit(1).alias("side"))
-    pivot = split.select("b", "part").distinct().withColumn("cls", F.col("b")).join(sets, "cls").select("b", "part", *cols, label, F.lit(0).alias("side"))
-    links = materialize(_compare(member.union(pivot), ["b", "part"], rule), "jaccard-links")
+    member = split.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("side"))
+    pivot = split.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("side"))
+    first = member.union(pivot).join(sets.select("cls", "n", "bits", "vals", F.col("cls").alias("label")), "cls")
+    links = materialize(_compare(first, ["b", "part"], rule), "jaccard-links")
 
     joined = components(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
     state = cluster.join(joined, "cls", "left").select("cls", "cluster", F.coalesce("label", "cls").alias("label"))

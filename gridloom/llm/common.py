@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Whether a finished query's shuffle files go at once or when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -28,10 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts
-    lineage, survives lost executors, and fixes values such as generated row keys."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, survives lost executors, and fixes values such as generated row keys.
+    Once the table stands, the shuffle files that it was made from are removed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,17 +2,16 @@
 
 1. Every text becomes a sorted set of 64-bit shingle hashes; texts with the same set
    are one class (128-bit digest).
-2. Candidates. The hash range is cut into m segments, m one more than the largest
-   symmetric difference that a linked pair of the size band can have (plus a little
-   slack), so a linked pair agrees on a whole segment. One key a segment: its content,
-   segment number and band. A set with so many empty segments that the argument would
-   rest on them gives a key for each of its smallest hashes too (prefix filter), so no
-   link is lost. Common passages alone don't make candidates: a segment's content must
-   agree as a whole.
+2. Candidates by prefix filter. Shingles are ordered rarest first, by a count sketch
+   over all documents, then by hash; two linked sets share a shingle among the first
+   n - ceil(t n) + 1 of each, whatever the order is. So a passage that many documents
+   share comes last and makes no candidates, unless it is most of a text. The sketch
+   only orders: its collisions cost time, never a link.
 3. Each class is first compared with one pivot. What a candidate cluster still has in
-   several components is compared tile by tile: tiles hold one size band each; the
-   parity bitmaps' bit counts bound the overlap from above; surviving pairs that
-   aren't yet connected are intersected exactly.
+   several components is compared tile by tile; tiles hold one size band each. Both
+   times the parity bitmaps go first: their bit counts bound the overlap from above,
+   and only rows that some partner may link with are dealt out again with their sets,
+   to be intersected exactly.
 4. Components by star contraction; copies only join at the end.
 
 Nothing is capped: hot clusters become more tiles, hot keys stream through sorted
@@ -22,20 +21,24 @@ partitions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, sized
 from .components import components
-from .textkit import mix, shingle_sets
+from .textkit import shingle_sets
 
 #: Bits of a parity bitmap, and the classes and shingles that a tile holds at most.
 BITMAP_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 400_000
+#: The count sketch has 2 ** SKETCH_BITS counters, added up in blocks.
+SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 
 
 class Threshold:
@@ -62,41 +65,36 @@ class Threshold:
             b += 1
         return b
 
-    @lru_cache(maxsize=None)  # noqa: B019
-    def segments(self, band: int) -> tuple[int, int]:
-        """The largest symmetric difference of a linked pair whose larger set lies in
-        the band, and the number of segments."""
-        d = 2 * (self.lower(band + 1) - 1) * (self.den - self.num) // (self.den + self.num)
-        return d, 1 if d == 0 else d + 2 + d // 40
+    def prefix(self, n: int) -> int:
+        """Of any order of all shingles, so many first ones of a set of n hold one of every linked set's."""
+        return n - -(-self.num * n // self.den) + 1
 
 
 def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def segment_keys(values: np.ndarray, rule: Threshold) -> np.ndarray:
-    """The candidate keys of one non-empty set."""
-    keys, n, own = [], len(values), rule.band(len(values))
-    content = mix(values ^ np.uint64(0xA0761D6478BD642F))
-    high = values >> np.uint64(32)
-    for band in (own, own + 1):
-        d, m = rule.segments(band)
-        of = ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # ascending, as the values are
-        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        tag = np.uint64((band * 0x1F123BB5 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + of[first].astype(np.uint64)
-        keys.append(mix(np.add.reduceat(content, first) + mix(tag)))
-        if m - len(first) >= m - d:
-            prefix = n - -(-rule.num * n // rule.den) + 1
-            keys.append(mix(values[:prefix] ^ np.uint64(0x589965CC75374CC3)))
-    return np.unique(np.concatenate(keys))
+def prefix_keys(values: np.ndarray, levels: np.ndarray, rule: Threshold) -> np.ndarray:
+    """The candidate keys of one non-empty set: its rarest shingles."""
+    high = levels[values >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)
+    return np.sort(high | (values & np.uint64((1 << 58) - 1)))[: rule.prefix(len(values))]
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity bits: two bitmaps differ in no more bits than the sets in elements."""
-    odd = np.bincount((values & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    """Parity bits, at least four a value: two bitmaps of one width differ in no more
+    bits than the sets in elements. Half as wide a bitmap is the two halves' xor."""
+    width = max(BITMAP_BITS, 1 << (4 * len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _light(words: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,16 +105,76 @@ def _light(words: int):
     return rows
 
 
-def _keys(words: int, rule: Threshold):
+def _distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Marks and non-empty sets, without the copies that a task meets: map-side combining."""
+    seen: set[int] = set()
+    for pdf in batches:
+        for s in shingle_sets(pdf["text"].tolist(), words):
+            if len(s):
+                mark = int(np.frombuffer(digest(s)[:8], "<i8")[0])
+                if mark not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(mark)
+                    yield mark, s
+
+
+def _sketch(words: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, marks = [], []
-            for s in shingle_sets(pdf["text"].tolist(), words):
-                if len(s):
-                    keys.append(segment_keys(s, rule))
-                    marks.append(np.full(len(keys[-1]), np.frombuffer(digest(s)[:8], "<i8")[0]))
-            if keys:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        held, size = [], 0
+
+        def add() -> None:
+            slots, n = np.unique(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            counts[slots] += n.astype(np.uint32)
+
+        for _, s in _distinct_sets(batches, words):
+            held.append(s)
+            size += len(s)
+            if size > 1_000_000:
+                add()
+                held, size = [], 0
+        if held:
+            add()
+        for i, block in enumerate(counts.reshape(-1, SKETCH_BLOCK)):
+            if block.any():
+                yield pd.DataFrame({"block": [i], "counts": [zlib.compress(block.tobytes(), 1)]})
+
+    return rows
+
+
+def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each block the counts' levels: the number of binary digits."""
+    sums: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for block, data in zip(pdf["block"], pdf["counts"], strict=True):
+            if block not in sums:
+                sums[block] = np.zeros(SKETCH_BLOCK, dtype=np.uint64)
+            sums[block] += np.frombuffer(zlib.decompress(data), np.uint32)
+    yield pd.DataFrame({"block": np.array(list(sums), dtype=np.int32), "levels": [np.frexp(v.astype(float))[1].astype(np.uint8).tobytes() for v in sums.values()]})
+
+
+def shingle_levels(texts: DataFrame, words: int) -> np.ndarray:
+    """How common shingles are, by the first bits of their hash: a table of a fixed size."""
+    levels = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.uint8).reshape(-1, SKETCH_BLOCK)
+    parts = texts.mapInPandas(_sketch(words), "block int, counts binary").repartition("block")
+    for block, data in parts.mapInPandas(_add_sketches, "block int, levels binary").collect():  # 4 MB
+        levels[block] = np.frombuffer(data, np.uint8)
+    return levels.reshape(-1)
+
+
+def _keys(words: int, rule: Threshold, levels: Broadcast):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, keys, marks, size = levels.value, [], [], 0
+        for mark, s in _distinct_sets(batches, words):
+            keys.append(prefix_keys(s, table, rule))
+            marks.append(np.full(len(keys[-1]), mark))
+            size += len(keys[-1])
+            if size > 500_000:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "mark": np.concatenate(marks)})
+                keys, marks, size = [], [], 0
+        if keys:
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "mark": np.concatenate(marks)})
 
     return rows
 
@@ -140,19 +198,53 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out.groupby(["mark", "pivot"], as_index=False, sort=False).size().rename(columns={"size": "n"})
 
 
-def _sets(words: int, rule: Threshold):
+def _signatures(words: int, rule: Threshold):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [s for s in shingle_sets(pdf["text"].tolist(), words) if len(s)]
             marks = [digest(s) for s in sets]
             yield pd.DataFrame({
                 "cls": marks, "mark": [np.frombuffer(x[:8], "<i8")[0] for x in marks], "n": [len(s) for s in sets],
-                "band": [rule.band(len(s)) for s in sets], "bits": [bitmap(s).tobytes() for s in sets], "vals": [s.tobytes() for s in sets],
+                "band": [rule.band(len(s)) for s in sets], "bits": [bitmap(s).tobytes() for s in sets],
             })
 
     return rows
 
 
+def _sets(words: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [s for s in shingle_sets(pdf["text"].tolist(), words) if len(s)]
+            yield pd.DataFrame({"cls": [digest(s) for s in sets], "vals": [s.tobytes() for s in sets]})
+
+    return rows
+
+
+def sift_tile(pdf: pd.DataFrame, rule: Threshold) -> pd.DataFrame:
+    """The rows of a tile that a row of the other side, of another label, may link with."""
+    pdf = pdf.drop_duplicates(["side", "cls"])
+    left, right = pdf[pdf["side"] == 0], pdf
+    sizes, labels = right["n"].to_numpy(np.int64), pd.factorize(right["label"])[0]
+    widths = right["bits"].map(len).to_numpy() // 8
+    groups = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    stacks = {w: np.stack([np.frombuffer(x, np.uint64) for x in right["bits"].iloc[at]]) for w, at in groups.items()}
+    narrow: dict[tuple[int, int], np.ndarray] = {}
+    kept = np.zeros(len(right), dtype=bool)
+    for i in np.flatnonzero((right["side"] == 0).to_numpy()) if len(left) else ():
+        own = np.frombuffer(right["bits"].iloc[i], np.uint64)
+        for w, at in groups.items():
+            least = min(w, len(own))
+            if (w, least) not in narrow:
+                narrow[w, least] = folded(stacks[w], least)
+            total = sizes[at] + sizes[i]
+            apart = np.bitwise_count(narrow[w, least] ^ folded(own, least)).sum(axis=1, dtype=np.int64)
+            most = np.minimum((total - apart) // 2, np.minimum(sizes[at], sizes[i]))
+            found = at[(most >= rule.least_overlap(total)) & (labels[at] != labels[i])]
+            if len(found):
+                kept[found] = kept[i] = True
+    return right[kept].drop(columns="bits")
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -168,8 +260,8 @@ def compare_tile(pdf: pd.DataFrame, rule: Threshold, every: bool) -> pd.DataFram
     left, right = pdf[pdf["side"] == 0], pdf
     marks = right["cls"].tolist()
     sizes = right["n"].to_numpy(np.int64)
-    bits = np.stack([np.frombuffer(x, np.uint64) for x in right["bits"]])
     values = [np.frombuffer(x, np.uint64) for x in right["vals"]]
+    bits = np.stack([folded(bitmap(v), BITMAP_BITS // 64) for v in values])
     parent: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -192,18 +284,22 @@ def compare_tile(pdf: pd.DataFrame, rule: Threshold, every: bool) -> pd.DataFram
     return pd.DataFrame(found, columns=["u", "v"])
 
 
-def _compare(rows: DataFrame, keys: list[str], rule: Threshold, every: bool = False) -> DataFrame:
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
+def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Threshold, every: bool = False) -> DataFrame:
+    """Links between side 0 and all rows of each tile; rows: keys, cls, label, side."""
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
+    sifted = materialize(dealt.groupBy(*keys).applyInPandas(lambda pdf: sift_tile(pdf, rule), f"{types}, n long"), "jaccard-sifted")
+    whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
+    return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
 
 
 _TILE = ["cluster", "mb", "mk", "ab", "ak"]
 
 
-def _tiles(sets: DataFrame, cluster: DataFrame, rule: Threshold, every: bool) -> DataFrame:
+def _tiles(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], cluster: DataFrame, rule: Threshold, every: bool) -> DataFrame:
     """Tiles of each cluster: what isn't in its largest component against everything,
-    by neighbouring size bands. Tiles are dealt out without the sets, which are joined
-    once at the end."""
-    rows = materialize(sets.select("cls", "n", "band").join(cluster, "cls"), "jaccard-rows")
+    by neighbouring size bands."""
+    rows = materialize(signatures.select("cls", "n", "band").join(cluster, "cls"), "jaccard-rows")
     blocks = rows.groupBy("cluster", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = blocks.select("cluster", "band", F.ceil(F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES)).cast("int").alias("k"))
     rows = rows.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).drop("k", "n")
@@ -214,7 +310,7 @@ def _tiles(sets: DataFrame, cluster: DataFrame, rule: Threshold, every: bool) ->
     minor = rows.filter("minor").select("cluster", F.col("band").alias("mb"), F.col("block").alias("mk"), "cls", "label", F.lit(0).alias("side"))
     other = rows.select("cluster", F.col("band").alias("ab"), F.col("block").alias("ak"), "cls", "label", F.lit(1).alias("side"))
     dealt = minor.join(tiles, ["cluster", "mb", "mk"]).unionByName(other.join(tiles, ["cluster", "ab", "ak"]))
-    return _compare(dealt.join(sets.select("cls", "n", "bits", "vals"), "cls"), _TILE, rule, every)
+    return _compare(dealt.select(*_TILE, "cls", "label", "side"), _TILE, signatures, sets_of, rule, every)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -230,20 +326,29 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rule = Threshold(num, den)
     texts = docs.select("doc_id", "text")
     light = materialize(texts.mapInPandas(_light(words), "doc_id long, n_shingles long, cls binary"), "jaccard-docs")
-    keys = texts.mapInPandas(_keys(words, rule), "key long, mark long")
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(texts, words))
+    keys = texts.mapInPandas(_keys(words, rule, levels), "key long, mark long")
     spread = keys.repartition("key").sortWithinPartitions("key", "mark")
     stars = materialize(spread.mapInPandas(_members, "mark long, pivot long, n long"), "jaccard-stars")
     stars = stars.groupBy("mark", "pivot").agg(F.sum("n").alias("n"))
     stars = materialize(stars, "jaccard-pairs")
 
     marks = stars.select("mark").union(stars.select("pivot")).distinct()
-    fetch = light.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    fetch = fetch.withColumn("mark", _mark("cls")).join(marks, "mark", "left_semi").select("doc_id").distinct()
-    fetch = sized(materialize(fetch, "jaccard-fetch"))
-    wanted = texts.join(fetch, texts["doc_id"].eqNullSafe(fetch["doc_id"]), "left_semi")
-    sets = materialize(wanted.mapInPandas(_sets(words, rule), "cls binary, mark long, n long, band int, bits binary, vals binary"), "jaccard-sets")
+    first_of = light.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    first_of = materialize(first_of.withColumn("mark", _mark("cls")).join(marks, "mark", "left_semi").select("cls", "doc_id"), "jaccard-fetch")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = sized(materialize(ids.distinct(), "jaccard-fetch"))
+        return texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = texts_of(first_of.join(classes, "cls").select("doc_id"))
+        return materialize(wanted.mapInPandas(_sets(words), "cls binary, vals binary").dropDuplicates(["cls"]), "jaccard-sets")
+
+    signatures = texts_of(first_of.select("doc_id")).mapInPandas(_signatures(words, rule), "cls binary, mark long, n long, band int, bits binary")
+    signatures = materialize(signatures.dropDuplicates(["cls"]), "jaccard-signatures")
 
-    names = sets.select("cls", "mark").distinct()
+    names = signatures.select("cls", "mark")
     pairs = stars.join(names, "mark").withColumnRenamed("cls", "a")
     pairs = pairs.join(names.select(F.col("mark").alias("pivot"), F.col("cls").alias("b")), "pivot").select("a", "b", "n")
     same_mark = names.groupBy("mark").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("a", "b", F.lit(1).cast("long").alias("n"))
@@ -252,15 +357,15 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     if every_link:
         cluster = cluster.withColumn("label", F.col("cls")).withColumn("minor", F.lit(True))
-        return light, materialize(_tiles(sets, cluster, rule, True), "jaccard-links")
+        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links")
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct(F.col("n"), F.col("b"))).alias("b"))
     parts = best.groupBy("b").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("k"))
     split = best.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("k")).cast("int")).select("a", "b", "part")
     member = split.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("side"))
     pivot = split.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("side"))
-    first = member.union(pivot).join(sets.select("cls", "n", "bits", "vals", F.col("cls").alias("label")), "cls")
-    links = materialize(_compare(first, ["b", "part"], rule), "jaccard-links")
+    first = member.union(pivot).withColumn("label", F.col("cls"))
+    links = materialize(_compare(first, ["b", "part"], signatures, sets_of, rule), "jaccard-links")
 
     joined = components(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
     state = cluster.join(joined, "cls", "left").select("cls", "cluster", F.coalesce("label", "cls").alias("label"))
@@ -269,7 +374,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     largest = shares.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"))
     open_ = largest.filter("parts > 1 and all > 2").select("cluster", "main")
     rest = state.join(open_, "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
-    return light, materialize(links.union(_tiles(sets, rest, rule, False)), "jaccard-links")
+    return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links")
 
 
 def _mark(cls: str) -> Column:

@@ -53,7 +53,7 @@ def test_jaccard_components(spark, num, words):
     assert links
 
 
-def test_segment_keys_lose_no_pair():
+def test_prefix_keys_lose_no_pair():
     rule, rng = ngram_jaccard.Threshold(85, 100), np.random.default_rng(5)
     for n in [*range(1, 60), 150, 700]:
         values = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
@@ -63,7 +63,8 @@ def test_segment_keys_lose_no_pair():
             k += 1
             other[k - 1] = rng.integers(2**63)
         other = np.unique(other)
-        assert np.intersect1d(ngram_jaccard.segment_keys(values, rule), ngram_jaccard.segment_keys(other, rule)).size
+        levels = rng.integers(0, 4, 1 << ngram_jaccard.SKETCH_BITS).astype(np.uint8)
+        assert np.intersect1d(ngram_jaccard.prefix_keys(values, levels, rule), ngram_jaccard.prefix_keys(other, levels, rule)).size
 
 
 def test_empty_tables(spark):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sized
 from .components import components
-from .textkit import shingle_sets
+from .textkit import mix, shingle_sets
 
 #: Bits of a parity bitmap, and the classes and shingles that a tile holds at most.
 BITMAP_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 400_000
@@ -75,9 +75,12 @@ def digest(values: np.ndarray) -> bytes:
 
 
 def prefix_keys(values: np.ndarray, levels: np.ndarray, rule: Threshold) -> np.ndarray:
-    """The candidate keys of one non-empty set: its rarest shingles."""
+    """The candidate keys of one non-empty set: its rarest shingles, for its own size
+    band and the next, of which a linked set of a neighbouring band has one."""
     high = levels[values >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)
-    return np.sort(high | (values & np.uint64((1 << 58) - 1)))[: rule.prefix(len(values))]
+    rarest = np.sort(high | (values & np.uint64((1 << 58) - 1)))[: rule.prefix(len(values))]
+    own = rule.band(len(values))
+    return np.concatenate([mix(rarest + mix(np.array([band + 1], dtype=np.uint64))) for band in (own, own + 1)])
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -302,7 +305,7 @@ def _tiles(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], clu
     rows = materialize(signatures.select("cls", "n", "band").join(cluster, "cls"), "jaccard-rows")
     blocks = rows.groupBy("cluster", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = blocks.select("cluster", "band", F.ceil(F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES)).cast("int").alias("k"))
-    rows = rows.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).drop("k", "n")
+    rows = rows.join(sized(materialize(blocks, "jaccard-blocks")), ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).drop("k", "n")
     tiles = rows.filter("minor").select("cluster", F.col("band").alias("mb"), F.col("block").alias("mk")).distinct()
     tiles = tiles.withColumn("ab", F.explode(F.array(*[F.col("mb") + x for x in (-1, 0, 1)])))
     tiles = tiles.join(rows.select("cluster", F.col("band").alias("ab"), F.col("block").alias("ak")).distinct(), ["cluster", "ab"])
@@ -373,7 +376,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shares = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     largest = shares.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"))
     open_ = largest.filter("parts > 1 and all > 2").select("cluster", "main")
-    rest = state.join(open_, "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
+    rest = state.join(sized(materialize(open_, "jaccard-open")), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
     return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links")
 
 

@@ -223,29 +223,68 @@ def _sets(words: int):
     return rows
 
 
-def sift_tile(pdf: pd.DataFrame, rule: Threshold) -> pd.DataFrame:
-    """The rows of a tile that a row of the other side, of another label, may link with."""
-    pdf = pdf.drop_duplicates(["side", "cls"])
-    left, right = pdf[pdf["side"] == 0], pdf
-    sizes, labels = right["n"].to_numpy(np.int64), pd.factorize(right["label"])[0]
-    widths = right["bits"].map(len).to_numpy() // 8
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of different bits of each left bitmap to each right one."""
+    if left.shape[1] > 64:
+        return np.bitwise_count(left[:, None] ^ right[None]).sum(axis=2, dtype=np.int64)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for a, b in zip(left.T, right.T, strict=True):
+        out += np.bitwise_count(a[:, None] ^ b[None])
+    return out
+
+
+def sift_tile(side: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: list[bytes], rule: Threshold) -> np.ndarray:
+    """Which rows of a tile a row of the other side, of another label, may link with."""
+    kept = np.zeros(len(side), dtype=bool)
+    widths = np.array([len(x) // 8 for x in bits])
     groups = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
-    stacks = {w: np.stack([np.frombuffer(x, np.uint64) for x in right["bits"].iloc[at]]) for w, at in groups.items()}
-    narrow: dict[tuple[int, int], np.ndarray] = {}
-    kept = np.zeros(len(right), dtype=bool)
-    for i in np.flatnonzero((right["side"] == 0).to_numpy()) if len(left) else ():
-        own = np.frombuffer(right["bits"].iloc[i], np.uint64)
-        for w, at in groups.items():
-            least = min(w, len(own))
-            if (w, least) not in narrow:
-                narrow[w, least] = folded(stacks[w], least)
-            total = sizes[at] + sizes[i]
-            apart = np.bitwise_count(narrow[w, least] ^ folded(own, least)).sum(axis=1, dtype=np.int64)
-            most = np.minimum((total - apart) // 2, np.minimum(sizes[at], sizes[i]))
-            found = at[(most >= rule.least_overlap(total)) & (labels[at] != labels[i])]
-            if len(found):
-                kept[found] = kept[i] = True
-    return right[kept].drop(columns="bits")
+    stacks = {w: np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(-1, w) for w, at in groups.items()}
+    for w, at in groups.items():
+        own = side[at] == 0
+        left, left_bits = at[own], stacks[w][own]
+        for v, right in groups.items() if len(left) else ():
+            narrow = min(w, v)
+            a, b = folded(left_bits, narrow), folded(stacks[v], narrow)
+            step = max(1, (1 << 19) // (len(right) * (narrow if narrow > 64 else 1)))
+            for k in range(0, len(left), step):
+                l = left[k : k + step]
+                n, m = sizes[l][:, None], sizes[right][None]
+                least = rule.least_overlap(n + m)
+                fit = (np.minimum(n, m) >= least) & (labels[l][:, None] != labels[right][None])
+                if fit.any():
+                    fit &= (n + m - _apart(a[k : k + step], b)) // 2 >= least
+                    kept[l] |= fit.any(axis=1)
+                    kept[right] |= fit.any(axis=0)
+    return kept
+
+
+def _sift(keys: list[str], rule: Threshold):
+    """Rows sorted by the keys -> those that sift_tile keeps. Streams: it holds a batch
+    and the tile that goes on in the next."""
+
+    def sifted(pdf: pd.DataFrame, tile: np.ndarray) -> pd.DataFrame:
+        side, sizes, bits = pdf["side"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["bits"].tolist()
+        labels, kept = pd.factorize(pdf["label"])[0], np.zeros(len(pdf), dtype=bool)
+        heads = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        for a, b in zip(heads, [*heads[1:], len(pdf)], strict=True):
+            if b - a > 1:
+                kept[a:b] = sift_tile(side[a:b], sizes[a:b], labels[a:b], bits[a:b], rule)
+        return pdf[kept].drop(columns="bits")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                tile = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+                whole = int(np.argmax(tile == tile[-1]))
+                held = pdf.iloc[whole:]
+                if whole:
+                    yield sifted(pdf.iloc[:whole], tile[:whole])
+        if held is not None:
+            yield sifted(held, np.zeros(len(held)))
+
+    return rows
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -291,7 +330,8 @@ def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: C
     """Links between side 0 and all rows of each tile; rows: keys, cls, label, side."""
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
-    sifted = materialize(dealt.groupBy(*keys).applyInPandas(lambda pdf: sift_tile(pdf, rule), f"{types}, n long"), "jaccard-sifted")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    sifted = materialize(dealt.mapInPandas(_sift(keys, rule), f"{types}, n long"), "jaccard-sifted")
     whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
     return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
 

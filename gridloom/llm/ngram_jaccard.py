@@ -98,16 +98,6 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _light(words: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = list(shingle_sets(pdf["text"].tolist(), words))
-            marks = [digest(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "cls": marks})
-
-    return rows
-
-
 def _distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[int, np.ndarray]]:
     """Marks and non-empty sets, without the copies that a task meets: map-side combining."""
     seen: set[int] = set()
@@ -122,26 +112,38 @@ def _distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tupl
                     yield mark, s
 
 
-def _sketch(words: int):
+def _light(words: int):
+    """One pass over the texts: a row for each document, then the task's count sketch
+    over different sets, block by block."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def add() -> None:
             slots, n = np.unique(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             counts[slots] += n.astype(np.uint32)
 
-        for _, s in _distinct_sets(batches, words):
-            held.append(s)
-            size += len(s)
-            if size > 1_000_000:
-                add()
-                held, size = [], 0
+        for pdf in batches:
+            marks, sizes = [], []
+            for s in shingle_sets(pdf["text"].tolist(), words):
+                marks.append(digest(s) if len(s) else None)
+                sizes.append(len(s))
+                if len(s) and marks[-1] not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(marks[-1])
+                    held.append(s)
+                    size += len(s)
+                    if size > 1_000_000:
+                        add()
+                        held, size = [], 0
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "cls": marks, "block": None, "counts": None})
         if held:
             add()
         for i, block in enumerate(counts.reshape(-1, SKETCH_BLOCK)):
             if block.any():
-                yield pd.DataFrame({"block": [i], "counts": [zlib.compress(block.tobytes(), 1)]})
+                yield pd.DataFrame({"doc_id": [None], "n_shingles": [None], "cls": [None], "block": [i], "counts": [zlib.compress(block.tobytes(), 1)]})
 
     return rows
 
@@ -157,11 +159,10 @@ def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"block": np.array(list(sums), dtype=np.int32), "levels": [np.frexp(v.astype(float))[1].astype(np.uint8).tobytes() for v in sums.values()]})
 
 
-def shingle_levels(texts: DataFrame, words: int) -> np.ndarray:
+def shingle_levels(sketches: DataFrame) -> np.ndarray:
     """How common shingles are, by the first bits of their hash: a table of a fixed size."""
     levels = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.uint8).reshape(-1, SKETCH_BLOCK)
-    parts = texts.mapInPandas(_sketch(words), "block int, counts binary").repartition("block")
-    for block, data in parts.mapInPandas(_add_sketches, "block int, levels binary").collect():  # 4 MB
+    for block, data in sketches.repartition("block").mapInPandas(_add_sketches, "block int, levels binary").collect():  # 4 MB
         levels[block] = np.frombuffer(data, np.uint8)
     return levels.reshape(-1)
 
@@ -368,8 +369,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """
     rule = Threshold(num, den)
     texts = docs.select("doc_id", "text")
-    light = materialize(texts.mapInPandas(_light(words), "doc_id long, n_shingles long, cls binary"), "jaccard-docs")
-    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(texts, words))
+    once = materialize(texts.mapInPandas(_light(words), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
+    light = once.filter("block is null").select("doc_id", "n_shingles", "cls")
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(once.filter("block is not null").select("block", "counts")))
     keys = texts.mapInPandas(_keys(words, rule, levels), "key long, mark long")
     spread = keys.repartition("key").sortWithinPartitions("key", "mark")
     stars = materialize(spread.mapInPandas(_members, "mark long, pivot long, n long"), "jaccard-stars")

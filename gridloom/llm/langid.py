@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def codewords(n: int) -> np.ndarray:
     """A 0/1 row for each of n languages: all splits up to seven, else balanced columns
-    in a fixed pseudo-random order, of which no two split alike."""
+    in a fixed pseudo-random order, of which no two split alike: BITS, or all there are."""
     if n <= 7:
         return np.array([[(c >> i) & 1 for c in range(1, 1 << max(n - 1, 0))] for i in range(n)], dtype=np.int8).reshape(n, -1)
     rng, seen = np.random.default_rng(20), []
-    while len(seen) < BITS:
+    there_are = comb(n, n // 2) // (2 if n % 2 == 0 else 1)  # halves of an even n split as their complements do
+    while len(seen) < min(BITS, there_are):
         column = rng.permutation(np.arange(n) % 2).astype(np.int8)
         if not any((column == s).all() or (column != s).all() for s in seen):
             seen.append(column)

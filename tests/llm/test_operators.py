@@ -167,6 +167,14 @@ def test_language_id(spark):
     assert found[90].lang_pred == found[91].lang_pred == "und" and found[92].lang_pred == "en"
 
 
+@pytest.mark.parametrize("n", [2, 7, 8, 9, 12])
+def test_codewords_end_and_differ(n):
+    code = langid.codewords(n)
+    splits = {min(tuple(c), tuple(1 - c)) for c in code.T}
+    assert len(splits) == code.shape[1] == {2: 1, 7: 63, 8: 35}.get(n, langid.BITS)
+    assert len({tuple(r) for r in code}) == n
+
+
 def test_context_mixing_base_and_normalization(spark):
     from pyspark.sql import functions as F
 

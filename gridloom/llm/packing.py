@@ -41,9 +41,18 @@ CACHE = 800_000
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:()\"*#%&$@|/=+_-]+\Z").match
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 
+# Python counts these as white space; the tokenizer gives them ids.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORDS = re.compile(rf"[\S{_SEPARATORS}]+").findall
+
 _workers: dict[tuple[str, bool], WordTokenizer] = {}
 
 
+def words_of(text: str) -> list[str]:
+    """The runs between what the tokenizer takes for white space."""
+    return _WORDS(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
 class WordTokenizer:
     """Token ids of texts, packed as little-endian 32-bit bytes, with a cache by word.
 
@@ -83,7 +92,7 @@ class WordTokenizer:
         self.words.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(new, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else t.split() for t in texts]
+        split = [None if any(s in t for s in self.special) else words_of(t) for t in texts]
         out: list[bytes] = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
@@ -108,7 +117,7 @@ def _tokenize(path: str, end_id: int, ordinary: bool):
             texts = [t or "" for t in pdf["text"]]
             for a in range(0, len(texts), 200):
                 some = texts[a : a + 200]
-                coder._learn([w for t in some for w in t.split()] if not coder.special or not any(s in t for t in some for s in coder.special) else [])
+                coder._learn([w for t in some for w in words_of(t)] if not coder.special or not any(s in t for t in some for s in coder.special) else [])
                 ids = [x + end for x in coder.encode(some)]
                 sources, before = pdf["key"].iloc[a : a + 200].tolist(), []
                 for key, x in zip(sources, ids, strict=True):

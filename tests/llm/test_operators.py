@@ -125,6 +125,17 @@ def test_word_cache_agrees_with_the_tokenizer():
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_cache_keeps_separators():
+    public = pytest.importorskip("public_tokenizers")
+    coder = packing.WordTokenizer(public.path("word_bpe_49k.json"), False)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rng = np.random.default_rng(8)
+    texts = ["ab\x1ccd", "ab \x1d cd", "\x1e", "a\x1f\x1f\nB \x1c", *[f"ab{c}cd {c} Ef{c}" for c in blanks]]
+    texts += ["".join(rng.choice([*blanks, "ab", "Cd", "7", "'s", "é", "\x1d", "\x1c"], 12)) for _ in range(200)]
+    for text in texts:
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_targets_drain_queues():
     plan = packing.Plan({"sa": 100, "sb": 1000}, {"sa": 1, "sb": 1}, 50)
     shares = [(plan.served(0, b) - plan.served(0, a), plan.served(1, b) - plan.served(1, a)) for a, b in map(plan.bounds, range(plan.full))]

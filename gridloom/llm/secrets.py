@@ -17,7 +17,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +31,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----((?:[^-]|-(?!----))+)-----END \1-----")
+# A line break is one, or its escape in a string of JSON or an env file.
+_ESCAPED = re.compile(r"\\+r\\+n|\\+[rn]")
+# Runs parted by single line breaks; a run doesn't begin with the letter of an escape.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[rn])|(?<=\\[rn]))[A-Za-z0-9+/_-]{40,}={0,2}(?:(?:\r?\n[ \t]*|\\+r\\+n|\\+[rn])[A-Za-z0-9+/_-]+={0,2})*")
+_HEADER = re.compile(r"[A-Za-z0-9-]+:")
+_CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,16})\s*\Z")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -41,6 +48,10 @@ _BASE64_RUNS = bytes(0x78 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" el
 _KEY_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2b656e"), bytes.fromhex("2b6570"), bytes.fromhex("2b6571"))
 
 
+#: Beginnings of the schemes that encrypt a PKCS #8 key: PKCS #5's, PKCS #12's.
+_CIPHER_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def der_items(data: bytes, depth: int = 0) -> list | None:
     """The (tag, content) items that fill ``data`` exactly, content of constructed tags
     as items again; None if a length doesn't fit or nesting is deeper than 12."""
@@ -73,7 +84,8 @@ def _has_key_oid(items: list) -> bool:
 
 
 def key_encoding(data: bytes) -> str | None:
-    """What key encoding the bytes are: pkcs1, pkcs8, spki, sec1, openssh, or None."""
+    """What key encoding the bytes are: pkcs1, pkcs8, pkcs8-encrypted, spki, sec1, dsa,
+    openssh, ssh, or None."""
     if data.startswith(b"openssh-key-v1\0"):
         at, fields = 15, 0
         while fields < 3:  # cipher, key derivation, its options
@@ -95,6 +107,10 @@ def key_encoding(data: bytes) -> str | None:
         return "pkcs1"
     if tags[:3] == [0x02, 0x30, 0x04] and _has_key_oid(items[1][1]):
         return "pkcs8"
+    if tags == [0x02] * 6 and items[0][1] == b"\0" and len(items[1][1]) >= 64:
+        return "dsa"
+    if tags == [0x30, 0x04] and [t for t, _ in items[0][1]][:1] == [0x06] and items[0][1][0][1].startswith(_CIPHER_OIDS) and items[1][1]:
+        return "pkcs8-encrypted"
     if tags == [0x30, 0x03] and _has_key_oid(items[0][1]):
         return "spki"
     if tags[:2] == [0x02, 0x04] and items[0][1] == b"\1" and len(items[1][1]) in (28, 32, 48, 66):
@@ -115,6 +131,92 @@ def decode_base64(text: str) -> bytes | None:
         return None
 
 
+def key_size(data: bytes) -> int | None:
+    """How many bytes a key encoding has by its first bytes and length fields; None if
+    the bytes don't begin as one or end too early to tell."""
+    if data[:1] == b"\x30":
+        width = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
+        if len(data) < 2 + width or width > 4:
+            return None
+        return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    at, fields = 0, 0
+    if data.startswith(b"openssh-key-v1\0"):
+        at = 15
+        for _ in range(3):  # cipher, key derivation, its options
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields = 1 + int.from_bytes(data[at : at + 4], "big")  # public keys, the private part
+        at += 4
+    elif data.startswith(b"\0\0\0\7ssh-rsa"):
+        fields = 3
+    elif data.startswith(b"\0\0\0\x0bssh-ed25519"):
+        fields = 2
+    else:
+        return None
+    for _ in range(fields):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def pem_is_key(label: str, body: str) -> bool:
+    """Whether what stands between a PEM block's markers is a key: header lines and
+    escaped line breaks are taken out first. Under a cipher that the headers name, whole
+    blocks of its ciphertext are all the structure there is."""
+    lines = [x.strip() for x in _ESCAPED.sub("\n", body).replace("\\/", "/").strip().splitlines()]
+    cipher = None
+    if lines and _HEADER.match(lines[0]):
+        end = next((i for i, x in enumerate(lines) if not x), 0)  # an empty line ends the headers
+        end = end or next((i for i, x in enumerate(lines) if not _HEADER.match(x)), len(lines))
+        cipher = next((c for x in lines[:end] if (c := _CIPHER.match(x))), None)
+        lines = lines[end:]
+    data = decode_base64("".join("".join(lines).split()))
+    if not data:
+        return False
+    if cipher and label.endswith("PRIVATE KEY") and len(data) >= 32 and len(data) % 8 == 0:
+        return True
+    return bool(key_encoding(data)) or label.startswith("OPENSSH") and data.startswith(b"openssh-key-v1")
+
+
+def base64_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Keys within a stretch of base64 runs parted by line breaks: a run that is a key,
+    or so many of them as the length fields of the first bytes ask for."""
+    breaks = list(re.finditer(r"\r?\n[ \t]*|\\+r\\+n|\\+[rn]", text[start:end]))
+    starts = [start, *[start + m.end() for m in breaks]]
+    ends = [*[start + m.start() for m in breaks], end]
+    runs = [text[a:b].rstrip("=") for a, b in zip(starts, ends, strict=True)]
+    before = [0, *accumulate(len(r) for r in runs)]  # characters
+    whole = "".join(runs)
+    i = 0
+    while i < len(runs):
+        last = _last_run(runs, before, whole, i) if len(runs[i]) >= 40 else None
+        if last is not None and any(text[ends[k] - 1] == "=" for k in range(i, last)):
+            last = None  # padding stands at a key's end only
+        if last is None and len(runs[i]) >= 40 and (data := decode_base64(text[starts[i] : ends[i]])) and key_encoding(data):
+            last = i
+        if last is not None:
+            yield starts[i], ends[last]
+            i = last
+        i += 1
+
+
+def _last_run(runs: list[str], before: list[int], whole: str, i: int) -> int | None:
+    """The run that a key beginning with run i ends with, by the key's own size."""
+    if not runs[i].startswith(("M", "b3BlbnNzaC1rZXkt", "AAAAB3NzaC1yc2", "AAAAC3NzaC1lZDI1NTE5")):
+        return None
+    head = whole[before[i] : before[i] + 8] if runs[i][0] == "M" else whole[before[i] :]
+    size = key_size(decode_base64(head[: len(head) // 4 * 4]) or b"")
+    if size is None and len(head) % 4:
+        size = key_size(decode_base64(head) or b"")
+    if size is None:
+        return None
+    stop = before[i] - (-4 * size // 3)
+    j = bisect_left(before, stop, i + 1)
+    if j == len(before) or before[j] != stop or not key_encoding(decode_base64(whole[before[i] : stop]) or b""):
+        return None
+    return j - 1
+
+
 def is_token(header: str, payload: str) -> bool:
     """A signed token's first two parts: JSON objects, the first with an algorithm."""
     parts = []
@@ -146,14 +248,12 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[1], m[2])]
     if b"-----BEGIN " in raw:
         for m in _PEM.finditer(text):
-            data = decode_base64("".join(m[2].split()))
-            if data and (key_encoding(data) or m[1].startswith("OPENSSH") and data.startswith(b"openssh-key-v1")):
+            if pem_is_key(m[1], m[2]):
                 spans.append((m.start(), m.end(), "pem"))
     if b"x" * 40 in raw.translate(_BASE64_RUNS):
         covered = [(a, b) for a, b, k in spans]
         for m in _BASE64.finditer(text):
-            if not any(a <= m.start() < b for a, b in covered) and (data := decode_base64(m[0])) and key_encoding(data):
-                spans.append((m.start(), m.end(), "key_base64"))
+            spans += [(a, b, "key_base64") for a, b in base64_keys(text, m.start(), m.end()) if not any(c <= a < d for c, d in covered)]
         for m in _LONG_HEX.finditer(text):
             if key_encoding(bytes.fromhex(m[0])):
                 spans.append((m.start(), m.end(), "key_hex"))

@@ -218,6 +218,62 @@ def test_secrets(spark):
     assert secrets.redact("a password=abcdefgh b") == "a [assign] b"
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else (b"\x82" + len(body).to_bytes(2, "big"))
+    return bytes([tag]) + size + body
+
+
+def _number(n, seed):
+    return _der(0x02, b"\x01" + np.random.default_rng(seed).bytes(n - 1))
+
+
+_RSA = _der(0x30, _der(0x02, b"\0"), _number(256, 1), _der(0x02, b"\1\0\1"), *[_number(128, s) for s in range(2, 8)])
+_DSA = _der(0x30, _der(0x02, b"\0"), _number(128, 1), _number(20, 2), _number(128, 3), _number(128, 4), _number(20, 5))
+_LOCKED = _der(0x30, _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d01050d")), _der(0x30)), _der(0x04, bytes(range(64))))
+
+
+def _wrapped(data, width, joint="\n"):
+    text = base64.b64encode(data).decode()
+    return joint.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_key_encodings_dsa_and_encrypted():
+    assert secrets.key_encoding(_RSA) == "pkcs1"
+    assert secrets.key_encoding(_DSA) == "dsa" and secrets.key_encoding(_DSA[:-1]) is None
+    assert secrets.key_encoding(_LOCKED) == "pkcs8-encrypted"
+    assert secrets.key_encoding(_der(0x30, *[_number(4, s) for s in range(6)])) is None
+    assert secrets.key_encoding(_der(0x30, _der(0x30, _der(0x06, b"\x55\x04\x03")), _der(0x04, b"x" * 40))) is None
+
+
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_pem_with_escaped_breaks_and_headers(joint):
+    for label, headers, data in [
+        ("RSA PRIVATE KEY", [], _RSA), ("DSA PRIVATE KEY", [], _DSA), ("ENCRYPTED PRIVATE KEY", [], _LOCKED), ("RSA PRIVATE KEY", ["Comment: mine, or not", ""], _RSA),
+        ("RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, ""], bytes(range(64))),
+    ]:
+        block = joint.join([f"-----BEGIN {label}-----", *headers, _wrapped(data, 64, joint), f"-----END {label}-----"])
+        text = f'{{"kind": "x", "key": "{block}{joint}"}}'
+        assert [(text[a:b], k) for a, b, k in secrets.scan(text)[1]] == [(block, "pem")], (label, headers)
+    plain = joint.join(["-----BEGIN RSA PRIVATE KEY-----", "not a key", "-----END RSA PRIVATE KEY-----"])
+    assert secrets.scan(plain)[1] == []
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_base64_keys(width, joint):
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    openssh = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(bytes(51)) + string(bytes(136))
+    ssh = string(b"ssh-rsa") + string(b"\1\0\1") + string(bytes(257))
+    for data in (_RSA, _DSA, _LOCKED, openssh, ssh):
+        key = _wrapped(data, width, joint)
+        for text in (f"the{joint}{key}{joint}after{joint}it", key, f"{key}{joint}{key}", f"{base64.b64encode(b'A' * 48).decode()}{joint}{key} x"):
+            found = secrets.scan(text)[1]
+            assert [(text[a:b], k) for a, b, k in found] == [(key, "key_base64")] * text.count(key), (len(data), text[:40])
+    assert secrets.scan(_wrapped(_RSA, width, joint)[:-30])[1] == []
+    assert secrets.redact(f"a {_wrapped(_RSA, width, joint)} b") == "a [key_base64] b"
+
+
 def test_url_rules_and_model(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
     urls = ["HTTP://A.Example.COM/en/7x", "http://a.com/en/1", "http://xcom/en/1", None, "no scheme", "http://b.net?x", "http://casino-win.example.org/fr/1", "http://library.example.org/fr/1"]

@@ -9,9 +9,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import langid, mixing, ngram_jaccard, packing, secrets
-from gridloom.llm.common import materialize, shared_dir, sized
+from gridloom.llm.common import ROW_KEY, materialize, shared_dir, sized, with_row_keys
 
 #: Packing tokenizes and mixing samples; SQL can't express the stages.
 ORACLE_SQL = None
@@ -25,14 +26,19 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five words, similarity 0.8): that of the smallest id."""
-    found = materialize(ngram_jaccard.jaccard_components(docs), "near-copies")
-    kept = found.filter("doc_id <=> component_id").select("doc_id")
-    gone = found.filter("not doc_id <=> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
-    gone = sized(materialize(gone, "near-copies-gone"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One document of each group (five words, similarity 0.8): that of the smallest id,
+    null ids last. Rows are told apart by keys of their own: ids may be null or repeat."""
+    keyed = with_row_keys(docs, "near-copies-rows")
+    found = ngram_jaccard.jaccard_components(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(ROW_KEY), F.col("component_id").alias("component"))
+    found = materialize(found, "near-copies")
+    groups = found.groupBy("component").count().filter("count > 1").select("component")
+    grouped = found.join(sized(materialize(groups, "near-copies-groups")), "component")
+    grouped = materialize(keyed.select(ROW_KEY, "doc_id").join(sized(materialize(grouped, "near-copies-grouped")), ROW_KEY), "near-copies-ids")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY)
+    kept = grouped.groupBy("component").agg(F.min_by(ROW_KEY, order).alias(ROW_KEY)).select(ROW_KEY)
+    gone = sized(materialize(grouped.select(ROW_KEY).join(kept, ROW_KEY, "left_anti"), "near-copies-gone"))
+    return keyed.join(gone, ROW_KEY, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents as the mix takes them: sources near their target weights."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    keyed = with_row_keys(docs, "mix-rows")
+    return mixing.apply_mix(keyed, mixing.mix_sources(keyed, key=ROW_KEY), ROW_KEY).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

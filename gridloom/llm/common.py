@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: The column that tells rows apart within a stage.
+ROW_KEY = "row_key"
+
 #: Whether a finished query's shuffle files go at once or when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,6 +53,12 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table with a key of each row's own, ROW_KEY; ids may be null
+    or repeat, and a key that isn't written could change whenever it is computed."""
+    return materialize(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), name)
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))

@@ -59,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("key", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(first * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, buckets: int = BUCKETS, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)``, a row for each input row.
 
     taken: words that the mix takes, repeats counted: whole copies for certain, one more
@@ -67,9 +67,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     text has size 0 and takes 0. Null sources are one source, the last. Null ids share
     one random number; ties are ranked by id and size, and rows that agree in those are
     interchangeable. Reruns agree, whatever the partitions. An empty table gives no rows.
+    key: a column that tells rows apart; it breaks the last ties and comes out as well.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # never null
-    sizes = materialize(docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    own = [key] if key else []
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # never null
+    sizes = materialize(docs.select("doc_id", "source", source.alias("key"), word_count(F.col("text")).alias("size"), *own), "mix-sizes")
     targets = sized(materialize(source_targets(sizes, weights, most), "mix-targets"))
     due = sizes.join(targets, "key")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(most))).otherwise(F.lit(0))
@@ -85,23 +87,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     sums = ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("key", "bucket", F.coalesce(earlier, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("rank", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1))
     ranked = ranked.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["key", "bucket"])
     sampled = F.least(F.greatest(F.col("rest") - F.col("before") - F.col("inside"), F.lit(0)), F.col("size"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + sampled).cast("long").alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + sampled).cast("long").alias("taken"), *own)
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
     """The documents as the mix takes them: a row for each whole copy, and where a part
-    is taken, the text's first words. Ids must be unique; a document without words stays
-    out, since the mix takes none of its words."""
-    plan = mixed.filter("taken > 0").select(F.col("doc_id").alias("id"), "size", "taken")
+    is taken, the text's first words. key: a column of both that is each row's own. A
+    document without words stays out, since the mix takes none of its words."""
+    plan = mixed.filter("taken > 0").select(F.col(key).alias("id"), "size", "taken")
     words = F.col("taken") % F.col("size")
     cut = F.regexp_extract(F.col("text"), r"\A[\x20\x09-\x0D]*", 0)  # leading blanks aren't words
     split = F.split(F.substr(F.col("text"), F.length(cut) + 1), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.slice(split, F.lit(1), words.cast("int")), " ")
     whole = F.when(F.floor(F.col("taken") / F.col("size")) > 0, F.array_repeat(F.lit(False), F.floor(F.col("taken") / F.col("size")).cast("int"))).otherwise(F.array().cast("array<boolean>"))
     plan = sized(materialize(plan, "mix-plan"))
-    each = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"])).withColumn("cut", F.explode(F.concat(whole, F.when(words > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    each = docs.join(plan, docs[key] == plan["id"]).withColumn("cut", F.explode(F.concat(whole, F.when(words > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
     each = each.withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("text")))
     return each.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

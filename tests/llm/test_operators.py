@@ -170,6 +170,41 @@ def test_mixing_meets_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target) and abs(sum(target.values()) - total) < 1e-6
 
 
+STAGED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_near_copy_stage_with_null_and_repeated_ids(spark, repeat):
+    import corpus_pipeline
+
+    a, b, c, d, e = (_text(s, 80) for s in range(50, 55))
+    rows = [(None, a), (None, a + " tail"), (None, a), (None, b), (None, c + " x"), (6, c), (4, c + " y"), (None, None), (None, ""), (9, None), (10, " ")]
+    kept = [(None, a), (None, b), (4, c + " y"), (None, None), (None, ""), (9, None), (10, " ")]
+    if repeat:
+        rows += [(7, d), (7, e), (7, d + " tail"), (8, e), (9, None), (3, "one"), (3, "two")]
+        kept += [(7, d), (7, e), (9, None), (3, "one"), (3, "two")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], STAGED).coalesce(1)
+    found = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in found.collect()], key=repr) == sorted(kept, key=repr)
+
+
+def test_mixing_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i % 5, f"t{i} " + _text(i, 3 + i % 20), "en", ["a", "b", None][i % 3 if i % 7 else 1], 0) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, None, "en", "a", 0), (None, " ", "en", "a", 0)], STAGED)
+    found = corpus_pipeline.mix_to_weights(spark, docs, "")
+    assert found.columns == docs.columns
+    out, sizes = found.collect(), {r[1].split()[0]: r for r in rows}
+    for r in out:
+        whole = sizes[r.text.split()[0]]
+        assert (r.doc_id, r.source) == (whole[0], whole[3]) and whole[1].startswith(r.text) and r.n_chars == len(r.text)
+    targets = {r.source: r.target for r in mixing.mix_sources(docs).collect()}
+    words = {s: sum(len(r.text.split()) for r in out if r.source == s) for s in targets}
+    assert all(abs(words[s] - targets[s]) <= 1 for s in targets), (words, targets)
+
+
 def test_language_id(spark):
     rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * (1 + i % 5), "en" if i % 2 else "de") for i in range(40)] + [(90, None, "en"), (91, "123 !?", "en"), (92, "the dog", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -202,10 +202,15 @@ def majority_pyramid(spark, sf_dir):
 @query(_TILES + """, b AS (SELECT id, CAST(s_suppkey AS BIGINT) AS st, x / pow(2, z) * 360 - 180 AS w, (x + 1) / pow(2, z) * 360 - 180 AS e, -125e0 + s_suppkey % 50 AS xmin FROM tiles, supplier WHERE s_suppkey < 60 AND id < 2000)
 SELECT id, st FROM b WHERE w < xmin + 2 AND e > xmin""")
 def state_overlap(spark, sf_dir):
-    """Boxes against at most 60 state extents: strict overlap, a broadcast range join."""
-    states = _table(spark, sf_dir, "supplier").filter("s_suppkey < 60").select(F.col("s_suppkey").alias("st"), (-125.0 + F.col("s_suppkey") % 50).alias("xmin"))
-    boxes = _tiles(spark, sf_dir).filter("id < 2000").select("id", geo.tile_edge_lon(F.col("x"), F.col("z")).alias("w"), geo.tile_edge_lon(F.col("x") + 1, F.col("z")).alias("e"))
-    return boxes.join(F.broadcast(states), (F.col("w") < F.col("xmin") + 2) & (F.col("e") > F.col("xmin"))).select("id", "st")
+    """All boxes against at most 60 state extents: strict overlap on both axes, a
+    broadcast range join. A state's south edge is its supplier's latitude in ``_points``.
+    The SQL has neither the latitudes nor the ids from 2000 on."""
+    k = F.col("s_suppkey")
+    states = _table(spark, sf_dir, "supplier").filter("s_suppkey < 60").select(k.alias("st"), (-125.0 + k % 50).alias("xmin"), (25.0 + (k * 91 % 2400) / 100.0).alias("ymin"))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    boxes = _tiles(spark, sf_dir).select("id", geo.tile_edge_lon(x, z).alias("w"), geo.tile_edge_lat(y + 1, z).alias("s"), geo.tile_edge_lon(x + 1, z).alias("e"), geo.tile_edge_lat(y, z).alias("n"))
+    meets = (F.col("w") < F.col("xmin") + 2) & (F.col("e") > F.col("xmin")) & (F.col("s") < F.col("ymin") + 2) & (F.col("n") > F.col("ymin"))
+    return boxes.join(F.broadcast(states), meets).select("id", "st")
 
 
 @query(_TILES + ", k AS (SELECT DISTINCT z, x, y, state FROM tiles) SELECT z, x, y, state FROM k WHERE (x + y) % 3 <> 0")
@@ -320,5 +325,8 @@ def amount_text(spark, sf_dir):
 
 @query(_TILES + " SELECT id FROM tiles WHERE z BETWEEN 3 AND 15 AND x / pow(2, z) * 360 - 180 < -66.5e0 AND (x + 1) / pow(2, z) * 360 - 180 > -125e0")
 def request_domain(spark, sf_dir):
-    x, z = F.col("x"), F.col("z")
-    return _tiles(spark, sf_dir).filter(z.between(3, 15) & (geo.tile_edge_lon(x, z) < geo.CONUS[2]) & (geo.tile_edge_lon(x + 1, z) > geo.CONUS[0])).select("id")
+    """Zooms 3 to 15 and strict overlap with CONUS on both axes; the SQL has longitudes only."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    w, s, e, n = geo.CONUS
+    across = (geo.tile_edge_lon(x, z) < e) & (geo.tile_edge_lon(x + 1, z) > w)
+    return _tiles(spark, sf_dir).filter(z.between(3, 15) & across & (geo.tile_edge_lat(y + 1, z) < n) & (geo.tile_edge_lat(y, z) > s)).select("id")

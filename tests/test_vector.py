@@ -1,9 +1,11 @@
+import math
 import struct
 import zlib
 
 import numpy as np
 
 from gridloom.operators import render, vector
+from gridloom.plans import queries
 from gridloom.sources import views
 
 
@@ -65,3 +67,20 @@ def test_tiles_are_drawn(spark):
     assert image[0, 0].tolist() == [int(colour[i : i + 2], 16) for i in (1, 3, 5)] + [255]
     assert image[5, 5].tolist() == [40, 40, 40, 210] and image[8, 255].tolist() == [40, 40, 40, 210] and image[1, 255, 3] == 0
     assert found[8].drawn == 0 and found[7].drawn == 1 + 4 + 250
+
+
+def test_overlap_of_all_tiles_on_both_axes(spark, tmp_path):
+    spark.range(4000).selectExpr("id as event_id", "id % 7 as user_id", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(80).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    boxes = {}
+    for i in range(4000):
+        side = 2 ** (3 + i % 13)
+        x, y = i * 7919 % side, i * 104729 % side
+        north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / side)))) for v in (y, y + 1))
+        boxes[i] = (x / side * 360 - 180, south, (x + 1) / side * 360 - 180, north)
+    meet = lambda a, b: a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1]
+    states = {k: (-125.0 + k % 50, 25 + k * 91 % 2400 / 100, -123.0 + k % 50, 27 + k * 91 % 2400 / 100) for k in range(60)}
+    found = [tuple(r) for r in queries.state_overlap(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted((i, k) for i, b in boxes.items() for k, state in states.items() if meet(b, state))
+    assert max(found)[0] >= 2000
+    assert sorted(r.id for r in queries.request_domain(spark, str(tmp_path)).collect()) == [i for i, b in boxes.items() if meet(b, (-125.0, 24.0, -66.5, 49.8))]

@@ -74,7 +74,7 @@ def codewords(n: int) -> np.ndarray:
     """A 0/1 row for each of n languages: all splits up to seven, else balanced columns
     in a fixed pseudo-random order, of which no two split alike: BITS, or all there are."""
     if n <= 7:
-        return np.array([[(c >> i) & 1 for c in range(1, 1 << max(n - 1, 0))] for i in range(n)], dtype=np.int8).reshape(n, -1)
+        return np.array([[(c >> i) & 1 for c in range(1, 1 << max(n - 1, 0))] for i in range(n)], dtype=np.int8).reshape(n, (1 << max(n - 1, 0)) - 1)
     rng, seen = np.random.default_rng(20), []
     there_are = comb(n, n // 2) // (2 if n % 2 == 0 else 1)  # halves of an even n split as their complements do
     while len(seen) < min(BITS, there_are):
@@ -129,37 +129,53 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, like[np.arange(len(best)), best], top2[:, 0] - top2[:, 1] < AMBIGUOUS
 
 
-def _predict(model: Model):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            judged = np.array([bool(_LETTER(t)) for t in texts]) & bool(model.languages)
-            names, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            some = np.flatnonzero(judged)
-            margins = np.zeros((len(some), model.odds.shape[1]))
-            for a, bucket, owner in gram_buckets([texts[i].encode("utf-8", "replace") for i in some]):
-                count = np.bincount(owner)  # each text has a gram at least: the space before it
-                pick = model.odds[bucket]
-                for b in range(pick.shape[1]):
-                    margins[a : a + len(count), b] = np.bincount(owner, weights=pick[:, b]) / count
-            if len(some):
-                best, score, close = decode(margins, model)
-                scores[some], unsure[some] = score, close
-                for i, k in zip(some, best, strict=True):
-                    names[i] = model.languages[k]
-            yield pdf.assign(lang_pred=names, score=scores, ambiguous=unsure)
-
-    return rows
-
-
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def _judge(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    judged = np.array([bool(_LETTER(t)) for t in texts], dtype=bool) & bool(model.languages)
+    names, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    some = np.flatnonzero(judged)
+    margins = np.zeros((len(some), model.odds.shape[1]))
+    for a, bucket, owner in gram_buckets([texts[i].encode("utf-8", "replace") for i in some]):
+        count = np.bincount(owner)  # each text has a gram at least: the space before it
+        for b in range(model.odds.shape[1]):
+            margins[a : a + len(count), b] = np.bincount(owner, weights=model.odds[:, b][bucket]) / count
+    if len(some):
+        best, score, close = decode(margins, model)
+        scores[some], unsure[some] = score, close
+        for i, k in zip(some, best, strict=True):
+            names[i] = model.languages[k]
+    return names, scores, unsure
+
+
+def predicted(text: Column, model: Model) -> Column:
+    """A struct ``lang_pred, score, ambiguous`` of each whole text; only the text goes
+    to the Python workers, the row's other columns stay where they are."""
+
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            names, scores, unsure = _judge([t or "" for t in series], model)
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": unsure})
+
+    return judge(text)
+
+
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Predict the language of every whole text: the ``keep`` columns, ``lang_pred``
     (``und`` for a null text, one without letters, or nothing learned), ``score`` (0 to
     1, 0 for und) and ``ambiguous``. A row for each input row."""
-    added = T.StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    columns = [c for c in keep if c != "text"] + ["text"]
-    judged = docs.select(*columns).mapInPandas(_predict(model), T.StructType(docs.select(*columns).schema.fields + added.fields))
-    return judged if with_text else judged.drop("text")
+    judged = docs.select(*keep, predicted(F.col("text"), model).alias("_judged"))
+    return judged.select(*keep, "_judged.lang_pred", "_judged.score", "_judged.ambiguous")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a clear language;
+    null texts, texts without letters and ambiguous ones go. The column that is judged
+    by has a name that ``docs`` doesn't use."""
+    name = "_judged"
+    while name in docs.columns:
+        name += "_"
+    judged = docs.withColumn(name, predicted(F.col("text"), model))
+    return judged.filter((F.col(f"{name}.lang_pred") != "und") & ~F.col(f"{name}.ambiguous")).drop(name)
 
 
 def identify_split(docs: DataFrame, learnable: Column, held_out: Column) -> DataFrame:
@@ -171,4 +187,4 @@ def identify_split(docs: DataFrame, learnable: Column, held_out: Column) -> Data
     are ignored; an empty table gives no rows, and with nothing to learn all is ``und``.
     """
     model = fit(docs.filter(learnable))
-    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ("doc_id", "held_out"))

@@ -31,34 +31,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sized
+from .textkit import chunks, hashed_words, ranges
 
 LENGTH, END_ID = 4096, 2
-#: Words and pieces whose ids a Python worker keeps, at most.
-CACHE = 800_000
+#: Bytes of ids and number of pieces that a task keeps of the words it has met, at most.
+CACHE_BYTES, CACHE_PIECES = 32 << 20, 200_000
+#: Bytes of text whose words are looked up together.
+CHUNK_BYTES = 2 << 20
 
 # Pieces that the tokenizer treats apart from each other whatever surrounds them:
 # letters of these ranges, single digits, and other visible characters.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:()\"*#%&$@|/=+_-]+\Z").match
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 
-# Python counts these as white space; the tokenizer gives them ids.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_WORDS = re.compile(rf"[\S{_SEPARATORS}]+").findall
-
-_workers: dict[tuple[str, bool], WordTokenizer] = {}
-
-
-def words_of(text: str) -> list[str]:
-    """The runs between what the tokenizer takes for white space."""
-    return _WORDS(text) if any(c in text for c in _SEPARATORS) else text.split()
-
 
 class WordTokenizer:
-    """Token ids of texts, packed as little-endian 32-bit bytes, with a cache by word.
-
-    Only for tokenizers that drop white space and never join across it: the ids of a
-    text are those of its words in turn. Texts that hold a special token's string go to
-    the tokenizer whole, and so do words outside the plain characters.
+    """Token ids of texts, each distinct word of a chunk tokenized once.
+
+    Only for tokenizers that drop the blanks 0x20 and 0x09-0x0D and never join across
+    them: the ids of a text are those of its words in turn. Any other white space stays
+    inside its word, which the tokenizer then sees whole. Texts that hold a special
+    token's string go to the tokenizer whole, and so do words outside the plain
+    characters. Plain words are lower-cased before they are looked up only if the
+    tokenizer lower-cases itself.
     """
 
     def __init__(self, path: str, ordinary: bool) -> None:
@@ -67,71 +62,84 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @classmethod
-    def of(cls, path: str, ordinary: bool) -> WordTokenizer:
-        if (path, ordinary) not in _workers:
-            _workers[path, ordinary] = cls(path, ordinary)
-        return _workers[path, ordinary]
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words = {}  # cheap to fill again from the pieces
-        if len(self.pieces) > CACHE:
+        self.fold = str.lower if self._ids(["AZÀ"]) == self._ids(["azà"]) else str
+        self.pieces: dict[str, list[int]] = {}
+        self._forget()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Ids of words not met before; hashes: theirs, each once."""
+        if self.ids.nbytes > CACHE_BYTES:
+            self._forget()
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
-        new = [w for w in set(words) if w not in self.words]
-        parts = [_PIECES(w.lower()) if _PLAIN(w) else [w] for w in new]
-        known = self.pieces
-        need = list({p for ps in parts for p in ps if p not in known})
-        known.update(zip(need, self._pack(need), strict=True))
-        self.words.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(new, parts, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else words_of(t) for t in texts]
-        out: list[bytes] = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out += self._pack([text])
-                continue
-            try:
-                out.append(b"".join([self.words[w] for w in words]))
-            except KeyError:
-                self._learn(words)
-                out.append(b"".join([self.words[w] for w in words]))
+        parts = [_PIECES(self.fold(w)) if _PLAIN(w) else [w] for w in words]
+        need = list({p for ps in parts for p in ps if p not in self.pieces})
+        self.pieces.update(zip(need, self._ids(need), strict=True))
+        found = [[i for p in ps for i in self.pieces[p]] for ps in parts]
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes)
+        self.hashes, self.at, self.size = hashes[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [any(s in t for s in self.special) for t in texts]
+        out: list[np.ndarray] = []
+        raw = [b"" if w else t.encode("utf-8", "replace") for t, w in zip(texts, whole, strict=True)]
+        for a, b in chunks(raw, CHUNK_BYTES):
+            out += self._encode_chunk(raw[a:b])
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self._ids([texts[i]])[0], dtype=np.uint32)
         return out
 
+    def _encode_chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        buf, starts, ends, hashes, first = hashed_words(texts)
+        if not len(hashes):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        distinct, some, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            data = buf.tobytes()
+            if self.ids.nbytes > CACHE_BYTES:
+                self._forget()
+                new[:] = True
+            self._learn(distinct[new], [data[starts[i] : ends[i]].decode("utf-8", "replace") for i in some[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        sizes = self.size[at][inverse]
+        flat = self.ids[ranges(self.at[at][inverse], sizes)]
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[first]
+        return [flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+
 
 def _tokenize(path: str, end_id: int, ordinary: bool):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gc
-
-        gc.disable()  # the caches hold a million small objects and no cycles
-        coder, part, served = WordTokenizer.of(path, ordinary), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], dtype="<u4").tobytes()
+        coder, part, served = WordTokenizer(path, ordinary), TaskContext.get().partitionId(), {}
+        end = np.array([end_id], dtype=np.uint32)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for a in range(0, len(texts), 200):
-                some = texts[a : a + 200]
-                coder._learn([w for t in some for w in words_of(t)] if not coder.special or not any(s in t for t in some for s in coder.special) else [])
-                ids = [x + end for x in coder.encode(some)]
-                sources, before = pdf["key"].iloc[a : a + 200].tolist(), []
+            for a, b in chunks(texts, CHUNK_BYTES):
+                ids = [np.concatenate([x, end]) for x in coder.encode(texts[a:b])]
+                sources, before = pdf["key"].iloc[a:b].tolist(), []
                 for key, x in zip(sources, ids, strict=True):
                     before.append(served.get(key, 0))
-                    served[key] = before[-1] + len(x) // 4
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a : a + 200].to_numpy(), "key": sources, "part": part, "before": before, "doc_tokens": [len(x) // 4 for x in ids], "ids": [_narrow(x) for x in ids]})
+                    served[key] = before[-1] + len(x)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "key": sources, "part": part, "before": before, "doc_tokens": [len(x) for x in ids], "ids": [_narrow(x) for x in ids]})
 
     return rows
 
 
-def _narrow(packed: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """32-bit ids as 16-bit ones where they fit, with a mark of the width in front."""
-    ids = np.frombuffer(packed, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + packed
+    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def _wide(stored: bytes) -> np.ndarray:

@@ -59,7 +59,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
 
 
-def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] of them), then the same for the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def chunks(texts: list[bytes] | list[str], size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes together."""
     first, total = 0, 0
     for i, text in enumerate(texts):

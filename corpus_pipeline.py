@@ -20,9 +20,7 @@ ORACLE_SQL = None
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: ``und`` (null, no letters) and ambiguous ones go."""
-    model = langid.fit(docs)
-    judged = langid.identify(docs, model, tuple(docs.columns), with_text=True)
-    return judged.filter("lang_pred != 'und' and not ambiguous").select(*docs.columns)
+    return langid.keep_identified(docs, langid.fit(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

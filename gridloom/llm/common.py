@@ -8,11 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-#: The column that tells rows apart within a stage.
-ROW_KEY = "row_key"
+#: Bytes up to which a side of a join is broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 #: Whether a finished query's shuffle files go at once or when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -22,10 +19,14 @@ _own_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, which driver
-    and executors share; a temporary one only where that setting is unset (tests)."""
+    and executors share; a temporary one only where that setting is unset and Spark runs
+    on this machine alone (tests); elsewhere an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -44,19 +45,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing needs them any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, getattr(table, "_written_to", None)
+        if path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def _row_bytes(df: DataFrame) -> int:
+    """What a row takes in a broadcast, about; texts and digests count as 48 bytes."""
+    return 16 + sum(48 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``rows`` narrow rows, else as
-    it is, for a shuffled join. Pass a materialized frame: it is counted."""
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it takes at most ``most`` bytes, else as it is,
+    for a shuffled join. Pass a materialized frame of short values: it is counted."""
+    rows = most // _row_bytes(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_row_keys(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table with a key of each row's own, ROW_KEY; ids may be null
-    or repeat, and a key that isn't written could change whenever it is computed."""
-    return materialize(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), name)
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_keys(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a written table with a key of each row's own, and that column's name,
+    which ``df`` doesn't use; ids may be null or repeat, and a key that isn't written
+    could change whenever it is computed."""
+    key = free_name("row_key", df)
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def id_remainder(doc_id: str, modulus: int) -> Column:

@@ -6,23 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+#: Edges from which on a node is looked up in a broadcast table, and such nodes at most.
+HEAVY, HEAVY_NODES = 256, 100_000
 
 
 def _larger_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, heavy: int) -> DataFrame:
+    """``edges`` with m, the least v of their u. A u with more than ``heavy`` edges is
+    looked up in a broadcast table, whose rows number the edges over ``heavy`` at most,
+    so a star's edges stay where they are; the rest is joined by u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    known = edges.join(F.broadcast(least.filter(F.col("c") > heavy).select("u", F.col("m").alias("hm"))), "u", "left")
+    light = known.filter("hm is null").select("u", "v").join(least.filter(F.col("c") <= heavy).select("u", "m"), "u")
+    return known.filter("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(light)
+
+
+def _large_star(edges: DataFrame, heavy: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, heavy).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+def _small_star(edges: DataFrame, heavy: int) -> DataFrame:
+    moved = _with_least(edges, heavy)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -34,11 +45,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     chain. Repeated edges and loops change nothing; no edges give no rows.
     """
     now = materialize(_larger_first(edges), name)
-    while True:
-        after = materialize(_larger_first(_small_star(_larger_first(_large_star(now)))), name)
-        moved = after.exceptAll(now).limit(1).count() or now.exceptAll(after).limit(1).count()
-        now = after
-        if not moved:
+    n = now.count()
+    while n:
+        heavy = max(HEAVY, n // HEAVY_NODES)
+        mid = materialize(_larger_first(_large_star(now, heavy)), name)
+        after = materialize(_larger_first(_small_star(mid, heavy)), name)
+        sums = [t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head() for t in (now, after)]
+        discard(now, mid)
+        now, n = after, sums[1][0]
+        if sums[0] == sums[1]:  # the same edges, as far as a 64-bit sum over them tells
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

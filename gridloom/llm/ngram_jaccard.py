@@ -31,12 +31,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import discard, materialize, sized
 from .components import components
 from .textkit import mix, shingle_sets
 
 #: Bits of a parity bitmap, and the classes and shingles that a tile holds at most.
-BITMAP_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 400_000
+BITMAP_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 4096, 3_000_000
 #: The count sketch has 2 ** SKETCH_BITS counters, added up in blocks.
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 
@@ -393,32 +393,42 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     signatures = texts_of(first_of.select("doc_id")).mapInPandas(_signatures(words, rule), "cls binary, mark long, n long, band int, bits binary")
     signatures = materialize(signatures.dropDuplicates(["cls"]), "jaccard-signatures")
 
-    names = signatures.select("cls", "mark")
+    names = signatures.select("cls", "mark", F.col("n").alias("size"))
     pairs = stars.join(names, "mark").withColumnRenamed("cls", "a")
-    pairs = pairs.join(names.select(F.col("mark").alias("pivot"), F.col("cls").alias("b")), "pivot").select("a", "b", "n")
-    same_mark = names.groupBy("mark").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("a", "b", F.lit(1).cast("long").alias("n"))
+    pairs = pairs.join(names.select(F.col("mark").alias("pivot"), F.col("cls").alias("b")), "pivot").select("a", "b", "n", "size")
+    same_mark = names.groupBy("mark").agg(F.min("cls").alias("b"), F.max(F.struct("cls", "size")).alias("a")).filter("a.cls != b").select(F.col("a.cls").alias("a"), "b", F.lit(1).cast("long").alias("n"), F.col("a.size").alias("size"))
     pairs = materialize(pairs.union(same_mark), "jaccard-candidates")
-    cluster = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-clusters")
-    cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    discard(stars)
     if every_link:
-        cluster = cluster.withColumn("label", F.col("cls")).withColumn("minor", F.lit(True))
+        cluster = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-clusters")
+        cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"), F.col("node").alias("label"), F.lit(True).alias("minor"))
         return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links")
 
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct(F.col("n"), F.col("b"))).alias("b"))
-    parts = best.groupBy("b").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("k"))
-    split = best.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("k")).cast("int")).select("a", "b", "part")
+    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "size"), F.struct(F.col("n"), F.col("b"))).alias("best")).select("a", "best.b", "best.size")
+    best = materialize(best, "jaccard-best")
+    parts = best.groupBy("b").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SHINGLES)).cast("int").alias("k"))
+    split = best.join(sized(materialize(parts.filter("k > 1"), "jaccard-parts")), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).cast("int")).select("a", "b", "part")
     member = split.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("side"))
     pivot = split.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("side"))
     first = member.union(pivot).withColumn("label", F.col("cls"))
     links = materialize(_compare(first, ["b", "part"], signatures, sets_of, rule), "jaccard-links")
 
+    # Two classes that share a key and aren't joined yet have met one pivot, from which one of
+    # them is still apart: only such open pivots' candidates can bring another link.
     joined = components(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
-    state = cluster.join(joined, "cls", "left").select("cls", "cluster", F.coalesce("label", "cls").alias("label"))
-    state = materialize(state, "jaccard-state")
+    labelled = signatures.select("cls").join(joined, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
+    labelled = materialize(labelled, "jaccard-labels")
+    ends = pairs.select("a", "b").join(labelled.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a")
+    ends = materialize(ends.join(labelled.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b"), "jaccard-ends")
+    open_ = materialize(ends.filter("la != lb").select("b").distinct(), "jaccard-open")
+    edges = ends.join(sized(open_), "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    cluster = components(edges, "jaccard-clusters").select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    state = materialize(cluster.join(labelled, "cls"), "jaccard-state")
+    discard(pairs, best, ends)
     shares = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    largest = shares.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"))
-    open_ = largest.filter("parts > 1 and all > 2").select("cluster", "main")
-    rest = state.join(sized(materialize(open_, "jaccard-open")), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
+    largest = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    largest = materialize(largest.select("cluster", "main"), "jaccard-main")
+    rest = state.join(sized(largest), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
     return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links")
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import free_name, materialize, sized
 
 #: Weights by the sources' order, copies at most, buckets of the rank variable.
 WEIGHTS, MOST_COPIES, BUCKETS = (5, 2, 1), 3, 1024
@@ -96,14 +96,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def apply_mix(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
     """The documents as the mix takes them: a row for each whole copy, and where a part
     is taken, the text's first words. key: a column of both that is each row's own. A
-    document without words stays out, since the mix takes none of its words."""
-    plan = mixed.filter("taken > 0").select(F.col(key).alias("id"), "size", "taken")
-    words = F.col("taken") % F.col("size")
+    document without words stays out, since the mix takes none of its words. Columns of
+    ``docs`` other than ``text`` and ``n_chars`` stay as they are, whatever their names."""
+    own, part = free_name("_mix", docs), free_name("_part", docs)
+    plan = mixed.filter("taken > 0").select(F.col(key), F.struct("size", "taken").alias(own))
+    size, taken = F.col(f"{own}.size"), F.col(f"{own}.taken")
+    words = taken % size
     cut = F.regexp_extract(F.col("text"), r"\A[\x20\x09-\x0D]*", 0)  # leading blanks aren't words
     split = F.split(F.substr(F.col("text"), F.length(cut) + 1), r"[\x20\x09-\x0D]+")
-    part = F.array_join(F.slice(split, F.lit(1), words.cast("int")), " ")
-    whole = F.when(F.floor(F.col("taken") / F.col("size")) > 0, F.array_repeat(F.lit(False), F.floor(F.col("taken") / F.col("size")).cast("int"))).otherwise(F.array().cast("array<boolean>"))
+    begin = F.array_join(F.slice(split, F.lit(1), words.cast("int")), " ")
+    none = F.array().cast("array<boolean>")
+    whole = F.when(F.floor(taken / size) > 0, F.array_repeat(F.lit(False), F.floor(taken / size).cast("int"))).otherwise(none)
     plan = sized(materialize(plan, "mix-plan"))
-    each = docs.join(plan, docs[key] == plan["id"]).withColumn("cut", F.explode(F.concat(whole, F.when(words > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
-    each = each.withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("text")))
-    return each.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    each = docs.join(plan, key).withColumn(part, F.explode(F.concat(whole, F.when(words > 0, F.array(F.lit(True))).otherwise(none))))
+    each = each.withColumn("text", F.when(F.col(part), begin).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.length("text").cast("long"))
+    return each.select(*docs.columns)

@@ -23,6 +23,7 @@ from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key_base64", "key_hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -305,11 +306,14 @@ def redact(text: str | None) -> str | None:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; secrets in ``text`` give way to ``[kind]`` and
-    ``n_chars`` follows."""
+    ``n_chars``, where there is one, follows. Null texts stay null. Only texts go to the
+    Python workers: other columns stay as they are, whatever their names."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            clean = [redact(t) for t in pdf["text"]]
-            yield pdf.assign(text=clean, n_chars=pd.array([None if t is None else len(t) for t in clean], dtype="Int64"))
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t) for t in texts], dtype=object)
 
-    return docs.mapInPandas(rows, docs.schema)
+    out = docs.withColumn("text", clean("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -6,7 +6,7 @@ adding or subtracting a paragraph's vector inserts or deletes it. Two groups of
 
 - equality: 16 lanes modulo 2^64, hashed from the whole paragraph. Texts with the same
   multiset of paragraphs agree; others don't, but for a hash collision.
-- likeness: 128 lanes modulo 2^16. Each run of three words of the paragraph (fewer words
+- likeness: 128 lanes modulo 2^32. Each run of three words of the paragraph (fewer words
   count whole) adds +1 or -1 to one lane, so the squared norm of a difference estimates
   how many runs differ (Charikar et al.'s count sketch). Likeness of two fingerprints:
   1 - |A - B|^2 / (|A|^2 + |B|^2), not below 0.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .textkit import chunks, hashed_words, mix
 
 EQUAL_LANES, LIKE_LANES, RUN = 16, 128, 3
+#: Characters of text in a range of ids, about, and ranges at most: the driver holds a row of each.
+RANGE_CHARS, MOST_RANGES = 64 << 20, 100_000
 _WEIGHTS = mix(np.arange(11, 11 + RUN, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -61,7 +63,7 @@ def _likeness_lanes(texts: list[bytes]) -> np.ndarray:
 def fingerprints(texts: list[str]) -> list[bytes]:
     """The lanes of each text: equality lanes, then likeness lanes, little-endian."""
     raw = [t.encode("utf-8", "replace") for t in texts]
-    like = _likeness_lanes(raw).astype("<u2")
+    like = _likeness_lanes(raw).astype("<u4")
     return [_equality(t).astype("<u8").tobytes() + row.tobytes() for t, row in zip(raw, like, strict=True)]
 
 
@@ -69,16 +71,16 @@ def combine(a: bytes, b: bytes, sign: int = 1) -> bytes:
     """a plus (or minus) b: the fingerprint after inserting (or deleting) paragraphs."""
     cut = 8 * EQUAL_LANES
     wide = np.frombuffer(a[:cut], "<u8") + np.uint64(sign % (1 << 64)) * np.frombuffer(b[:cut], "<u8")
-    like = np.frombuffer(a[cut:], "<u2") + np.uint16(sign % (1 << 16)) * np.frombuffer(b[cut:], "<u2")
-    return wide.astype("<u8").tobytes() + like.astype("<u2").tobytes()
+    like = np.frombuffer(a[cut:], "<u4") + np.uint32(sign % (1 << 32)) * np.frombuffer(b[cut:], "<u4")
+    return wide.astype("<u8").tobytes() + like.astype("<u4").tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
     cut = 8 * EQUAL_LANES
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(v[cut:], "<i2").astype(np.float64) for v in (a, b))
-    away = (np.frombuffer(a[cut:], "<u2") - np.frombuffer(b[cut:], "<u2")).view("<i2").astype(np.float64)
+    x, y = (np.frombuffer(v[cut:], "<i4").astype(np.float64) for v in (a, b))
+    away = (np.frombuffer(a[cut:], "<u4") - np.frombuffer(b[cut:], "<u4")).view("<i4").astype(np.float64)
     norms = (x @ x) + (y @ y)
     return float(max(0.0, 1.0 - (away @ away) / norms)) if norms else 0.0
 
@@ -158,24 +160,37 @@ def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame
     near_edited, near_next``, a row for each input row.
 
     Null texts are empty; null ids come last; rows that share an id follow each other by
-    text. A single document is its own successor. Other columns are ignored; an empty
-    table gives no rows.
-
-    Ids are cut into ranges by quantiles of the ids alone (``buckets``, by default the
-    session's shuffle partitions); texts are shuffled once, to their range. A range's
-    last document needs the next range's first: those few rows are read twice.
+    text. A single document is its own successor. Texts of any length are read whole, and
+    lines may repeat up to 2^31 times. Other columns are ignored; an empty table gives no
+    rows.
+
+    Ids are cut into ranges by quantiles of the ids alone (``buckets``, by default four a
+    shuffle partition, and no fewer than one a RANGE_CHARS of text, so ranges don't grow
+    with the table, and a partition gets several of them); texts are shuffled once, to
+    their range. A range's last document needs the next range's first: those few rows are
+    read twice.
     """
     spark = docs.sparkSession
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select("doc_id", "text")
+    partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets
+    if not n:
+        chars = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+        n = min(max(4 * partitions, chars // RANGE_CHARS), MOST_RANGES)
     cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    position = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
+    rising = np.array(cuts[::-1], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:  # the number of cuts that aren't below an id
+        return pd.Series(len(rising) - np.searchsorted(rising, ids.to_numpy(np.int64), side="left"))
+
+    position = place(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(position).cast("int")
     heads = base.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()  # a row a range
     giver = spark.createDataFrame([(heads[i - 1]["bucket"], h["head"]) for i, h in enumerate(heads)], "bucket int, head long")
     own = base.select(bucket.alias("bucket"), F.lit(False).alias("donor"), "doc_id", "text")
     donors = base.join(F.broadcast(giver), base["doc_id"].eqNullSafe(giver["head"])).select("bucket", F.lit(True).alias("donor"), "doc_id", "text")
-    dealt = own.union(donors).repartition(n, "bucket").sortWithinPartitions("bucket", "donor", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
+    dealt = own.union(donors).repartition(max(partitions, n // 4), "bucket").sortWithinPartitions("bucket", "donor", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
     return dealt.mapInPandas(_with_next, RESULT)
 

@@ -1,11 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 A source's target divided by its size is the number of copies that each of its
-documents is due. The whole part is allocated for certain. For the rest, a document's
-inclusion probability p, documents are ranked by random odds divided by inclusion odds,
-[U/(1-U)] / [p/(1-p)] (Rosen's Pareto sampling), and taken in that order until the
-source's words are reached: a sample of fixed size, in words. The last document taken
-gives its first words only, as many as are still due, so every source meets its target.
+documents is due. The whole part is allocated for certain. The words that are then left
+are sampled with probabilities proportional to size (Rosen, "On sampling with probability
+proportional to size", 1997): a document of s words has the inclusion probability
+p = min(1, a * s), where a is such that the expected words, the sum of p * s, are those
+that are left. Documents with p = 1 are certain. The others are ranked by random odds
+divided by inclusion odds, [U/(1-U)] / [p/(1-p)], and taken in that order until the words
+are reached: a sample of fixed size, in words, in which long documents are likelier than
+short ones. The last document taken gives its first words only, as many as are still due,
+so every source meets its target.
+
+a comes from a table of the sources' different sizes (no more rows a source than its
+longest document has words): the largest sizes are certain while a, from the rest, would
+bring them to 1 or more.
 
 Documents are dealt out by (source, bucket of the rank variable) and summed up in two
 levels, so a source with a third of all rows is many small windows.
@@ -59,6 +67,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("key", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(first * F.col("weight")).alias("target"))
 
 
+def inclusion_rates(due: DataFrame) -> DataFrame:
+    """``(key, size, rest)`` per document -> ``(key, certain, rate)`` per source: from
+    ``certain`` words on a document is included for certain; shorter ones with the
+    probability rate * size, such that the expected words are the rest."""
+    same = due.groupBy("key", "rest", "size").agg(F.count("*").alias("n"))
+    larger = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = (F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))).cast("double")
+    squares = F.sum(F.col("n") * F.col("size") * F.col("size")).over(smaller).cast("double")
+    rates = same.withColumn("left", left).withColumn("squares", squares)
+    rate = F.when(F.col("squares") > 0, F.greatest(F.col("left"), F.lit(0.0)) / F.col("squares")).otherwise(0.0)
+    rates = rates.withColumn("rate", rate)
+    first = F.max(F.when(F.col("rate") * F.col("size") < 1.0, F.struct("size", "rate")))  # the largest that isn't certain
+    found = rates.groupBy("key").agg(first.alias("f"))
+    return found.select("key", F.coalesce(F.col("f.size") + 1, F.lit(0)).alias("certain"), F.coalesce(F.col("f.rate"), F.lit(0.0)).alias("rate"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, buckets: int = BUCKETS, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)``, a row for each input row.
 
@@ -78,10 +103,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     due = due.withColumn("whole", whole.cast("long"))
     rest = F.round("target").cast("long") - F.col("whole") * F.col("source_size")
     due = due.withColumn("rest", F.least(F.greatest(rest, F.lit(0)), F.col("source_size")))
-    p = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
+    rates = sized(materialize(inclusion_rates(due), "mix-rates"))
+    due = due.join(rates, "key")
+    p = F.when(F.col("size") >= F.col("certain"), 1.0).otherwise(F.col("rate") * F.col("size"))
     p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
     u = uniform(F.col("doc_id"), seed)
-    odds = (u / (1.0 - u)) / (p / (1.0 - p))
+    odds = F.when(F.col("size") >= F.col("certain"), 0.0).otherwise((u / (1.0 - u)) / (p / (1.0 - p)))
     ranked = due.withColumn("rank", odds / (1.0 + odds)).withColumn("bucket", F.floor(F.col("rank") * buckets))
 
     sums = ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"))

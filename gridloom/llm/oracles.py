@@ -3,17 +3,19 @@
 ORACLES: dict[str, str] = {}
 
 ORACLES["op5_exact_top_k"] = """
-WITH parts AS (
-  SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x, len(embedding) AS dims FROM embeddings
-), ints AS (
-  SELECT vec_id, list(CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) ORDER BY i) AS v FROM parts
-  GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))
+WITH numbered AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL
+), parts AS (
+  SELECT r, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM numbered
+), ints AS MATERIALIZED (
+  SELECT r, vec_id, list(CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) ORDER BY i) AS v FROM parts
+  GROUP BY r, vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM ints q JOIN ints c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+  FROM ints q JOIN ints c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
@@ -39,10 +41,22 @@ WITH sizes AS (
 ), rest AS (
   SELECT *, least(greatest(CAST(round(target) AS BIGINT) - whole * source_size, 0), source_size) AS rest,
     (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':1'), 1, 12)) AS BIGINT) + 0.5e0) / 281474976710656e0 AS u FROM due
+), sized AS (
+  SELECT source, rest, size, CAST(count(*) AS BIGINT) AS n FROM rest GROUP BY source, rest, size
+), runs AS (
+  SELECT source, size, rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+    sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS squares FROM sized
+), trial AS (
+  SELECT source, size, CASE WHEN squares > 0 THEN greatest(CAST(left_over AS DOUBLE), 0e0) / CAST(squares AS DOUBLE) ELSE 0e0 END AS rate FROM runs
+), rates AS (
+  SELECT source, coalesce(max(size) FILTER (rate * size < 1e0) + 1, 0) AS certain, coalesce(arg_max(rate, size) FILTER (rate * size < 1e0), 0e0) AS rate FROM trial GROUP BY source
+), chances AS (
+  SELECT r.*, a.certain, least(greatest(CASE WHEN size >= certain THEN 1e0 ELSE rate * size END, 1e-12), 1 - 1e-12) AS p
+  FROM rest r JOIN rates a ON r.source IS NOT DISTINCT FROM a.source
 ), odds AS (
-  SELECT *, least(greatest(CASE WHEN source_size > 0 THEN rest / CAST(source_size AS DOUBLE) ELSE 0e0 END, 1e-12), 1 - 1e-12) AS p FROM rest
+  SELECT *, CASE WHEN size >= certain THEN 0e0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds FROM chances
 ), ranked AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + least(greatest(rest - before, 0), size) AS BIGINT) AS taken FROM ranked
 """

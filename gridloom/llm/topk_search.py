@@ -1,118 +1,138 @@
 """Exact top-k inner product search by columnar branch and bound.
 
-Candidates lie in blocks in vertical layout (dimensions by rows). For a query block and
-a candidate block, scores accumulate a few dimensions at a time; what the remaining
-dimensions can add is bounded by the product of the remaining norms (Cauchy-Schwarz).
-Candidates whose bound falls below the query's k-th best score so far are compacted
-away. A block pair gives k rows a query at most, and a window keeps the k best.
+Candidates stay where they are: every Arrow batch of them is a block in vertical layout
+(dimensions by rows). Queries come to them in batches of a bounded size, one broadcast
+after the other. For a block of queries and a block of candidates, scores accumulate a
+few dimensions at a time; what the remaining dimensions can add is bounded by the product
+of the remaining norms (Cauchy-Schwarz). Candidates whose bound falls below the query's
+floor, the k-th best score that the task has found so far, are compacted away. The floors
+go on from block to block, so later blocks are cut sooner. A task gives k rows a query at
+most, and a window keeps the k best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dimensions accumulated at once; rows of a candidate block and of a query block.
-STEP, CANDIDATES, QUERIES = 16, 16_384, 1_024
+from .common import materialize
 
+#: Dimensions accumulated at once; bytes of queries in a broadcast.
+STEP, QUERY_BYTES = 16, 32 << 20
 
-def _block(matrix: np.ndarray) -> bytes:
-    return np.ascontiguousarray(matrix, dtype=np.float64).tobytes()
 
+class Floors:
+    """The k best of each query so far: scores, ids and keys, best first, ties by id."""
 
-def top_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best rows, all tied at the k-th included;
-    rows: vertical, dimensions by candidates, integers held as doubles."""
-    dims = rows.shape[0]
-    cuts = [*range(0, dims, STEP), dims]
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores[q], self.ids[q] = scores[order], ids[order]
+
+
+def rest_norms(rows: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """By cut and column: the norm of what lies behind the cut; rows: vertical."""
     rest = np.zeros((len(cuts), rows.shape[1]))
     for b in range(len(cuts) - 2, -1, -1):
         rest[b] = rest[b + 1] + (rows[cuts[b] : cuts[b + 1]] ** 2).sum(axis=0)
-    rest = np.sqrt(rest)
-    out = []
-    for q, own in zip(queries, query_ids, strict=True):
-        alive = np.flatnonzero(ids != own)
-        partial = np.zeros(len(alive))
-        floor = -np.inf
-        for b in range(len(cuts) - 1):
-            lo, hi = cuts[b], cuts[b + 1]
-            part = rows[lo:hi]
-            partial = partial + (q[lo:hi] @ part if len(alive) == part.shape[1] else q[lo:hi] @ part[:, alive])
-            if len(alive) <= k or hi == dims:
-                continue
-            if b == 0 or floor == -np.inf:  # exact scores of the most promising give the first floor
-                best = alive[np.argpartition(-partial, k - 1)[:k]]
-                floor = (q @ rows[:, best]).min()
-            bound = partial + np.sqrt((q[hi:] ** 2).sum()) * rest[b + 1][alive] * (1 + 1e-9) + 1e-6
-            keep = bound >= floor
-            alive, partial = alive[keep], partial[keep]
-        if len(alive) > k:
-            kth = -np.partition(-partial, k - 1)[k - 1]
-            keep = partial >= kth
-            alive, partial = alive[keep], partial[keep]
-            order = np.lexsort((ids[alive], -partial))[:k]
-            alive, partial = alive[order], partial[order]
-        out += [(int(own), int(ids[i]), int(round(s))) for i, s in zip(alive, partial, strict=True)]
-    return out
-
-
-def _pack_rows(pdf: pd.DataFrame) -> tuple[bytes, bytes]:
-    matrix = np.array(pdf["v"].tolist(), dtype=np.float64)
-    return pdf["vec_id"].to_numpy(np.int64).tobytes(), _block(matrix.T)
-
-
-def _as_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, data = _pack_rows(pdf)
-    return pd.DataFrame({"dims": [pdf["dims"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [ids], "data": [data]})
-
-
-def _search(k: int):
+    return np.sqrt(rest)
+
+
+def search_block(queries: np.ndarray, query_keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, best: Floors) -> None:
+    """Add a block's rows to ``best``; queries: horizontal, rows: vertical, integers held
+    as doubles; a row whose key is the query's is the query itself."""
+    dims = rows.shape[0]
+    cuts = [*range(0, dims, STEP), dims]
+    rest, query_rest = rest_norms(rows, cuts), rest_norms(queries.T, cuts)
+    for a in range(0, len(queries), 64):
+        first = queries[a : a + 64, : cuts[1]] @ rows[: cuts[1]]
+        for q, partial in enumerate(first, start=a):
+            alive = np.flatnonzero(keys != query_keys[q])
+            partial = partial[alive]
+            for b in range(1, len(cuts) - 1):
+                if best.scores[q, -1] == -np.inf and len(alive) > best.k:  # exact scores of the most promising give the first floor
+                    some = alive[np.argpartition(-partial, best.k - 1)[: best.k]]
+                    floor = (queries[q] @ rows[:, some]).min()
+                else:
+                    floor = best.scores[q, -1]
+                bound = partial + query_rest[b, q] * rest[b][alive] * (1 + 1e-9) + 1e-6
+                keep = bound >= floor
+                if not keep.all():
+                    alive, partial = alive[keep], partial[keep]
+                part = rows[cuts[b] : cuts[b + 1]]
+                partial = partial + queries[q, cuts[b] : cuts[b + 1]] @ (part if len(alive) == part.shape[1] else part[:, alive])
+            keep = partial >= best.scores[q, -1]
+            if keep.any():
+                alive, partial = alive[keep], partial[keep]
+                if len(alive) > best.k:
+                    keep = partial >= -np.partition(-partial, best.k - 1)[best.k - 1]
+                    alive, partial = alive[keep], partial[keep]
+                best.add(q, partial, ids[alive])
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64)
+
+
+def _search(shared: Broadcast, k: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = {dims: (_matrix(some["v"]), some["key"].to_numpy(np.int64)) for dims, some in shared.value.groupby("dims")}
+        names = {dims: some["vec_id"].to_numpy(np.int64) for dims, some in shared.value.groupby("dims")}
+        best = {dims: Floors(len(keys), k) for dims, (_, keys) in queries.items()}
         for pdf in batches:
-            for dims, qids, qdata, ids, data in zip(pdf["dims"], pdf["qids"], pdf["qdata"], pdf["ids"], pdf["data"], strict=True):
-                queries = np.frombuffer(qdata).reshape(int(dims), -1).T
-                vertical = np.frombuffer(data).reshape(int(dims), -1)
-                found = top_of_block(queries, np.frombuffer(qids, np.int64), vertical, np.frombuffer(ids, np.int64), k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            for dims, some in pdf.groupby("dims"):
+                if dims in queries:
+                    vertical = np.ascontiguousarray(_matrix(some["v"]).T)
+                    search_block(*queries[dims], vertical, some["vec_id"].to_numpy(np.int64), some["key"].to_numpy(np.int64), best[dims])
+        for dims, found in best.items():
+            q, place = np.nonzero(found.scores > -np.inf)
+            yield pd.DataFrame({"query": queries[dims][1][q], "query_id": names[dims][q], "vec_id": found.ids[q, place], "score": found.scores[q, place].round().astype(np.int64)})
 
     return rows
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors of one length in blocks of about ``size`` rows, dealt by a hash of the id."""
-    n = max(1, vectors.count())
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // size))).cast("int"))
-    return dealt.groupBy("dims", "block").applyInPandas(_as_block, "dims int, block int, ids binary, data binary")
-
-
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Each query's ``k`` best rows by the inner product of floor(scale * component).
 
     vectors: ``vec_id``, ``embedding`` (array of float or double); other columns are
     ignored. Queries are the rows whose id is divisible by ``every``; candidates all
-    rows but the query's own id. Returns ``query_id, rank, vec_id, score``; ties go to
-    the smaller id.
+    rows but the query's own. Returns ``query_id, rank, vec_id, score``; ties go to the
+    smaller id. Rows that share an id, or are equal, are rows of their own: each is a
+    candidate, and each a query with ranks of its own if its id is divisible.
 
     Vectors that are null, empty, hold null or non-finite components, or have a null id
-    take no part. Vectors of different lengths aren't compared. Of several vectors with
-    one id the smallest (element by element) counts. Scores are exact while their
-    terms' sum stays below 2^53, as for any embedding of ordinary scale; a component
+    take no part. Vectors of different lengths aren't compared. Scores are exact while
+    their terms' sum stays below 2^53, as for any embedding of ordinary scale; a component
     whose scaled value is 2^31 or more is an error. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     usable = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
     fits = F.forall("v", lambda c: F.abs(c) < 2**31)
-    ints = usable.select("vec_id", x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    ints = usable.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
     ints = ints.select("vec_id", F.when(fits, F.col("v")).otherwise(F.raise_error(F.lit("component too large for an exact score"))).alias("v"))
-    ints = ints.withColumn("dims", F.size("v"))
-    queries = _blocks(ints.filter(F.col("vec_id") % every == 0), QUERIES)
-    queries = queries.select("dims", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    pairs = queries.join(_blocks(ints, CANDIDATES), "dims")  # every query block against every candidate block
-    found = pairs.repartition(F.xxhash64("qids", "ids")).mapInPandas(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ints = materialize(ints.select(F.monotonically_increasing_id().alias("key"), "vec_id", "v", F.size("v").alias("dims")), "topk-vectors")
+    queries = ints.filter(F.col("vec_id") % every == 0)
+    size = queries.agg(F.coalesce(F.sum(8 * F.col("dims") + 24), F.lit(0))).head()[0]
+    rounds = max(1, -(-size // query_bytes))
+    dealt = queries.withColumn("round", F.pmod(F.xxhash64("key"), F.lit(rounds)))
+    found = []
+    for i in range(rounds):  # query_bytes, about, in the driver and in a broadcast
+        shared = spark.sparkContext.broadcast(dealt.filter(F.col("round") == i).drop("round").toPandas())
+        found.append(materialize(ints.mapInPandas(_search(shared, k), "query long, query_id long, vec_id long, score long"), "topk-found"))
+        shared.destroy()
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

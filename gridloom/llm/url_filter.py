@@ -1,8 +1,7 @@
 """URL filter: block and allow rules first, then a logistic regression on hashed
 character n-grams of host and path. DataFrame functions only.
 
-Training works on a small labelled table (``MAX_LABELLED`` rows at most, an error
-beyond). Its gradient descent runs in the dual: the weight vector is a sum of the
+Training works on a small labelled table, or a sample of ``most`` of its rows. Its gradient descent runs in the dual: the weight vector is a sum of the
 labelled rows' feature vectors, so each step updates one coefficient a row from the
 table's Gram matrix; the weights of the hash buckets, a bounded array, follow from the
 coefficients. Scoring is one projection of the url column, without a shuffle.
@@ -70,18 +69,19 @@ def _sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def train(labelled: DataFrame) -> tuple[list[float], float]:
+def train(labelled: DataFrame, most: int = MAX_LABELLED) -> tuple[list[float], float]:
     """Weights of the buckets and the bias, from ``(url, bad)``; bad: 1 to block, 0 to
     allow, other values and null urls take no part. An empty table gives zero weights.
+    Of more than ``most`` different rows a sample of so many is fitted, the first by a hash
+    of the row: the descent holds their Gram matrix.
 
     A url's features are its n-gram counts divided by their Euclidean norm, so a Gram
     matrix entry is a cosine.
     """
     host, path = url_parts("url")
     rows = labelled.filter("url is not null and bad in (0, 1)").select("url", "bad").distinct()
-    n = rows.limit(MAX_LABELLED + 1).count()
-    if n > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} labelled urls")
+    rows = materialize(rows.orderBy(F.xxhash64("url", "bad"), "url", "bad").limit(most), "url-labelled")
+    n = rows.count()
     if not n:
         return [0.0] * BUCKETS, 0.0
     numbered = rows.withColumn("i", F.row_number().over(Window.orderBy("url", "bad")) - 1)

@@ -16,13 +16,14 @@ CHUNK_SECONDS = 86_400
 
 
 def canonical_url(url: str) -> Column:
-    """Scheme and host lower-cased (A-Z), default port, fragment and one trailing slash dropped."""
+    """Scheme and host lower-cased (A-Z); default port, fragment and one slash at the end
+    of the path dropped. A query string stays as it is."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     plain = F.regexp_replace(F.col(url), r"#.*\z", "")
     head = F.regexp_extract(plain, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
     tail = F.substr(plain, F.length(head) + 1)
     head = F.regexp_replace(F.translate(head, upper, lower), r"\A(http://.*):80\z|\A(https://.*):443\z", "$1$2")
-    return F.concat(head, F.regexp_replace(tail, r"/\z", ""))
+    return F.concat(head, F.regexp_replace(tail, r"\A([^?]*)/(\?[\s\S]*)?\z", "$1$2"))
 
 
 def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
@@ -41,10 +42,10 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
       ``mismatch`` if the compared validators differ; ``unvalidated`` if there is
       nothing to compare; ``orphan`` without an earlier response.
     - headers: if resolved the source's, replaced by the revisit's for the permitted
-      names only; else null.
+      names only, whatever the letters' case; else null. Null header maps are empty ones.
 
-    A null url or ts has no source (orphan). Rows that repeat are each resolved; an
-    empty table gives no rows.
+    A null url or ts has no source (orphan). Urls and headers may be of any length. Rows
+    that repeat are each resolved; an empty table gives no rows.
     """
     base = records.select("record_id", canonical_url("url").alias("canonical_url"), "ts", "kind", "etag", "last_modified", "headers")
     base = base.withColumn("chunk", F.floor(F.col("ts") / chunk_seconds))
@@ -71,9 +72,11 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     by_time = ~by_etag & F.col("last_modified").isNotNull() & F.col("s.smod").isNotNull()
     agrees = F.when(by_etag, strong("etag") == strong("s.setag")).when(by_time, F.col("last_modified") == F.col("s.smod"))
     status = F.when(F.col("sid").isNull(), "orphan").when(agrees.isNull(), "unvalidated").when(agrees, "resolved").otherwise("mismatch")
-    kept = F.map_filter(F.coalesce(F.col("s.sheaders"), F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.coalesce(F.map_keys("changed"), F.array().cast("array<string>")), k))
-    changed = F.map_filter("headers", lambda k, _: k.isin(*permitted))
-    out = out.withColumn("changed", F.coalesce(changed, F.create_map().cast("map<string,string>")))
+    none = F.create_map().cast("map<string,string>")
+    changed = F.map_filter("headers", lambda k, _: F.lower(k).isin(*[p.lower() for p in permitted]))
+    out = out.withColumn("changed", F.coalesce(changed, none))
+    names = F.transform(F.map_keys("changed"), F.lower)
+    kept = F.map_filter(F.coalesce(F.col("s.sheaders"), none), lambda k, _: ~F.array_contains(names, F.lower(k)))
     return out.select(
         "record_id", "canonical_url", "ts", F.col("sid").alias("source_id"), F.col("sts").alias("source_ts"),
         F.when(F.col("sid").isNotNull(), F.when(by_etag, "etag").when(by_time, "last_modified")).alias("validator"),

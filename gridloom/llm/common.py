@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +20,9 @@ BROADCAST_BYTES = 16 << 20
 #: Whether a finished query's shuffle files go at once or when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of an Arrow batch between Spark and its Python workers: texts are long.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -92,5 +101,36 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send batches of BATCH_BYTES at most to Python
+    workers; the queries made from it are planned later, so the setting stays."""
+    df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark uses a Python worker again for other tasks,
+    and what it keeps is missing elsewhere in the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(rows: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``rows``, a function for mapInPandas, that gives memory back when its task ends."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))

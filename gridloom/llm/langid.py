@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back, small_batches, tidy
 from .textkit import chunks
 
 #: Hash buckets of n-grams, n-gram lengths in bytes, code bits beyond seven languages,
@@ -94,8 +95,8 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """From ``(text, lang)``; null texts or languages take no part."""
-    usable = docs.filter("text is not null and lang is not null").select("text", "lang")
-    sums = usable.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    usable = small_batches(docs).filter("text is not null and lang is not null").select("text", "lang")
+    sums = usable.mapInPandas(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = [r[0] for r in sums.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -155,6 +156,7 @@ def predicted(text: Column, model: Model) -> Column:
         for series in batches:
             names, scores, unsure = _judge([t or "" for t in series], model)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": unsure})
+        give_back()
 
     return judge(text)
 

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, sized
+from .common import discard, materialize, sized, small_batches, tidy
 from .components import components
 from .textkit import mix, shingle_sets
 
@@ -332,7 +332,7 @@ def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: C
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    sifted = materialize(dealt.mapInPandas(_sift(keys, rule), f"{types}, n long"), "jaccard-sifted")
+    sifted = materialize(dealt.mapInPandas(tidy(_sift(keys, rule)), f"{types}, n long"), "jaccard-sifted")
     whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
     return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
 
@@ -368,13 +368,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shingles, a null class and no links. Rows with one set of shingles share a class.
     """
     rule = Threshold(num, den)
-    texts = docs.select("doc_id", "text")
-    once = materialize(texts.mapInPandas(_light(words), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
+    texts = small_batches(docs).select("doc_id", "text")
+    once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
     light = once.filter("block is null").select("doc_id", "n_shingles", "cls")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(once.filter("block is not null").select("block", "counts")))
-    keys = texts.mapInPandas(_keys(words, rule, levels), "key long, mark long")
+    keys = texts.mapInPandas(tidy(_keys(words, rule, levels)), "key long, mark long")
     spread = keys.repartition("key").sortWithinPartitions("key", "mark")
-    stars = materialize(spread.mapInPandas(_members, "mark long, pivot long, n long"), "jaccard-stars")
+    stars = materialize(spread.mapInPandas(tidy(_members), "mark long, pivot long, n long"), "jaccard-stars")
     stars = stars.groupBy("mark", "pivot").agg(F.sum("n").alias("n"))
     stars = materialize(stars, "jaccard-pairs")
 
@@ -388,9 +388,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     def sets_of(classes: DataFrame) -> DataFrame:
         wanted = texts_of(first_of.join(classes, "cls").select("doc_id"))
-        return materialize(wanted.mapInPandas(_sets(words), "cls binary, vals binary").dropDuplicates(["cls"]), "jaccard-sets")
+        return materialize(wanted.mapInPandas(tidy(_sets(words)), "cls binary, vals binary").dropDuplicates(["cls"]), "jaccard-sets")
 
-    signatures = texts_of(first_of.select("doc_id")).mapInPandas(_signatures(words, rule), "cls binary, mark long, n long, band int, bits binary")
+    signatures = texts_of(first_of.select("doc_id")).mapInPandas(tidy(_signatures(words, rule)), "cls binary, mark long, n long, band int, bits binary")
     signatures = materialize(signatures.dropDuplicates(["cls"]), "jaccard-signatures")
 
     names = signatures.select("cls", "mark", F.col("n").alias("size"))

@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import materialize, sized, small_batches, tidy
 from .textkit import chunks, hashed_words, ranges
 
 LENGTH, END_ID = 4096, 2
 #: Bytes of ids and number of pieces that a task keeps of the words it has met, at most.
 CACHE_BYTES, CACHE_PIECES = 32 << 20, 200_000
 #: Bytes of text whose words are looked up together.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # Pieces that the tokenizer treats apart from each other whatever surrounds them:
 # letters of these ranges, single digits, and other visible characters.
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~null"))
     schema = "doc_id long, key string, part int, before long, doc_tokens long, ids binary"
-    coded = docs.select("doc_id", "text", key.alias("key")).mapInPandas(_tokenize(tokenizer_path, end_id, ordinary), schema)
+    coded = small_batches(docs).select("doc_id", "text", key.alias("key")).mapInPandas(tidy(_tokenize(tokenizer_path, end_id, ordinary)), schema)
     coded = materialize(coded, "pack-ids")
     parts = coded.groupBy("part", "key").agg(F.sum("doc_tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -267,4 +267,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int
     plan = Plan(totals, named, length)
     placed = coded.join(sized(parts.drop("tokens")), ["part", "key"])
     placed = placed.select("doc_id", "key", (F.col("base") + F.col("before")).alias("first"), "ids")
-    return placed.mapInPandas(_cut(plan), PIECES)
+    return placed.mapInPandas(tidy(_cut(plan)), PIECES)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key_base64", "key_hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -313,7 +315,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t) for t in texts], dtype=object)
 
-    out = docs.withColumn("text", clean("text"))
+    out = small_batches(docs).withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; a longer single text gets a buffer of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)

@@ -83,9 +83,19 @@ def hex_channel(text: Column, channel: int) -> Column:
     return F.conv(F.substring(text, 2 + 2 * channel, 2), 16, 10).cast("int")
 
 
-def span_zoom(span: Column) -> Column:
-    """Zoom for a place's extent in degrees: 3.5 to 13.5, 10 without an extent."""
-    return F.when(span > 0, F.greatest(F.least(F.log2(F.lit(360.0) / span), F.lit(13.5)), F.lit(3.5))).otherwise(F.lit(10.0))
+def span_zoom(west: Column, north: Column, east: Column, south: Column, width: int = 1400) -> Column:
+    """Zoom at which a place's extent fills a view of ``width`` pixels but for a margin: 3.5
+    to 13.5, and 10 without an extent. Latitudes weigh twice; an extent is 0.01 at least."""
+    span = F.greatest(F.abs(east - west), F.abs(north - south) * 2, F.lit(0.01))
+    known = west.isNotNull() & north.isNotNull() & east.isNotNull() & south.isNotNull()
+    zoom = F.when(known, F.log2(360.0 * (width / 512) / span) - 0.3).otherwise(10.0)
+    return F.greatest(F.least(zoom, F.lit(13.5)), F.lit(3.5))
+
+
+def place_label(name: Column, city: Column, state: Column, query: Column) -> Column:
+    """The parts that aren't empty, or else what was asked for."""
+    label = F.concat_ws(", ", *[F.when(c != "", c) for c in (name, city, state)])
+    return F.when(label == "", query).otherwise(label)
 
 
 def amount(acres: Column) -> Column:

@@ -134,13 +134,14 @@ def view_prefetch(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, c_name AS name, -120e0 + c_custkey * 37 % 500 / 10e0 AS lon, 25e0 + c_custkey * 91 % 240 / 10e0 AS lat, c_mktsegment AS kind FROM customer)
-SELECT s_suppkey AS q, arg_min(p.id, (p.lon - (-100e0 + s_suppkey % 20)) * (p.lon - (-100e0 + s_suppkey % 20)) * 1e9 + p.id) AS id FROM supplier JOIN p ON p.kind = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] GROUP BY s_suppkey""")
+SELECT s_suppkey AS q, arg_min(p.id, ((p.lon - (-100e0 + s_suppkey % 20)) * (p.lon - (-100e0 + s_suppkey % 20)) + (p.lat - (30e0 + s_suppkey % 13)) * (p.lat - (30e0 + s_suppkey % 13))) * 1e9 + p.id) AS id FROM supplier JOIN p ON p.kind = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] GROUP BY s_suppkey""")
 def nearest_place(spark, sf_dir):
     """The first hit of a gazetteer: matching places, the nearest to the camera."""
     k, names = F.col("c_custkey"), F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")])
-    places = _table(spark, sf_dir, "customer").select(k.alias("id"), (-120.0 + k * 37 % 500 / 10.0).alias("lon"), F.col("c_mktsegment").alias("kind"))
-    asked = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("q"), (-100.0 + F.col("s_suppkey") % 20).alias("at"), F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("kind"))
-    away = (F.col("lon") - F.col("at")) * (F.col("lon") - F.col("at")) * 1e9 + F.col("id")
+    places = _table(spark, sf_dir, "customer").select(k.alias("id"), (-120.0 + k * 37 % 500 / 10.0).alias("lon"), (25.0 + k * 91 % 240 / 10.0).alias("lat"), F.col("c_mktsegment").alias("kind"))
+    asked = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("q"), (-100.0 + F.col("s_suppkey") % 20).alias("at"), (30.0 + F.col("s_suppkey") % 13).alias("up"), F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("kind"))
+    east, north = F.col("lon") - F.col("at"), F.col("lat") - F.col("up")
+    away = (east * east + north * north) * 1e9 + F.col("id")
     return asked.join(places, "kind").groupBy("q").agg(F.min_by("id", away).alias("id"))
 
 

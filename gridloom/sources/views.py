@@ -29,6 +29,12 @@ def raster(spark: SparkSession, sf_dir: str, years: range | list[int] = YEARS) -
     return base.select("year", "iy", "ix", code_of("seed", F.col("year")).alias("code"), "key")
 
 
+def stored_rows(raster: DataFrame, rows: tuple[int, int]) -> DataFrame:
+    """The cells of some rows by their stored keys: this range is pushed down to the scan,
+    as a filter on a cell computed from the key can't be."""
+    return raster.filter(F.col("key").between(rows[0] * WIDTH, (rows[1] + 1) * WIDTH - 1))
+
+
 def probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ((F.col("key") * 7919 + 104729) % 1000) / 1000.0
     return cells(spark, sf_dir).select("iy", "ix", F.when(F.col("key") % 97 == 0, F.lit(float("nan"))).otherwise(p).alias("p"))

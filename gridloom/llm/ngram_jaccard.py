@@ -84,9 +84,10 @@ def prefix_keys(values: np.ndarray, levels: np.ndarray, rule: Threshold) -> np.n
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity bits, at least four a value: two bitmaps of one width differ in no more
-    bits than the sets in elements. Half as wide a bitmap is the two halves' xor."""
-    width = max(BITMAP_BITS, 1 << (4 * len(values) - 1).bit_length())
+    """Parity bits, at least one a value: two bitmaps of one width differ in no more
+    bits than the sets in elements. Half as wide a bitmap is the two halves' xor. Sets that
+    share little still differ in a quarter of all their values' number, which is enough."""
+    width = max(BITMAP_BITS, 1 << (len(values) - 1).bit_length())
     odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 

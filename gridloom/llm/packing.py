@@ -19,6 +19,7 @@ second pass cuts the ids. Nothing is sorted; ids are shuffled only if the table
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -34,8 +35,9 @@ from .common import materialize, sized, small_batches, tidy
 from .textkit import chunks, hashed_words, ranges
 
 LENGTH, END_ID = 4096, 2
-#: Bytes of ids and number of pieces that a task keeps of the words it has met, at most.
-CACHE_BYTES, CACHE_PIECES = 32 << 20, 200_000
+#: Bytes of ids that a worker keeps of the words it has met (about three times as many with
+#: their index), and pieces that a task keeps, at most.
+CACHE_BYTES, CACHE_PIECES = 12 << 20, 200_000
 #: Bytes of text whose words are looked up together.
 CHUNK_BYTES = 1 << 20
 
@@ -45,6 +47,10 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:()\"*#%&$@|/=+_-]+\Z").matc
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 
 
+# What a worker's earlier tasks have learned, by tokenizer: a few arrays.
+_kept: dict[tuple[str, bool], tuple[np.ndarray, ...]] = {}
+
+
 class WordTokenizer:
     """Token ids of texts, each distinct word of a chunk tokenized once.
 
@@ -57,14 +63,18 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, ordinary: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
 
+        self.name = (path, ordinary)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fold = str.lower if self._ids(["AZÀ"]) == self._ids(["azà"]) else str
         self.pieces: dict[str, list[int]] = {}
         self._forget()
+        if self.name in _kept:
+            self.hashes, self.at, self.size, self.ids = _kept[self.name]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,6 +129,10 @@ class WordTokenizer:
         cuts = np.concatenate(([0], np.cumsum(sizes)))[first]
         return [flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
+    def keep(self) -> None:
+        """Leave what was learned to the worker's next task."""
+        _kept[self.name] = (self.hashes, self.at, self.size, self.ids)
+
 
 def _tokenize(path: str, end_id: int, ordinary: bool):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,6 +147,7 @@ def _tokenize(path: str, end_id: int, ordinary: bool):
                     before.append(served.get(key, 0))
                     served[key] = before[-1] + len(x)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "key": sources, "part": part, "before": before, "doc_tokens": [len(x) for x in ids], "ids": [_narrow(x) for x in ids]})
+        coder.keep()
 
     return rows
 

@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,9 @@ CHUNK_BYTES = 1 << 20
 # letters of these ranges, single digits, and other visible characters.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:()\"*#%&$@|/=+_-]+\Z").match
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z").match
+#: Pieces of letters that the tokenizer gets in one text, parted by blanks.
+TOGETHER = 32
 
 
 # What a worker's earlier tasks have learned, by tokenizer: a few arrays.
@@ -79,6 +83,22 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letter_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces of letters, which the tokenizer takes for one word each: its calls
+        cost more than such short texts, so it gets some at once."""
+        out: list[list[int]] = []
+        groups = [pieces[a : a + TOGETHER] for a in range(0, len(pieces), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            words = e.word_ids
+            if None in words or sorted(set(words)) != list(range(len(group))):
+                out += self._ids(group)  # another tokenizer's words aren't these
+                continue
+            cut: list[list[int]] = [[] for _ in group]
+            for i, w in zip(e.ids, words, strict=True):
+                cut[w].append(i)
+            out += cut
+        return out
+
     def _forget(self) -> None:
         self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -89,15 +109,19 @@ class WordTokenizer:
             self._forget()
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
-        parts = [_PIECES(self.fold(w)) if _PLAIN(w) else [w] for w in words]
-        need = list({p for ps in parts for p in ps if p not in self.pieces})
-        self.pieces.update(zip(need, self._ids(need), strict=True))
-        found = [[i for p in ps for i in self.pieces[p]] for ps in parts]
-        size = np.array([len(x) for x in found], dtype=np.int64)
+        parts = [(self.fold(w),) if _LETTERS(w) else _PIECES(self.fold(w)) if _PLAIN(w) else (w,) for w in words]
+        known = self.pieces
+        need = {p for ps in parts for p in ps if p not in known}
+        letters = [p for p in need if _LETTERS(p)]
+        known.update(zip(letters, self._letter_ids(letters), strict=True))
+        others = [p for p in need if p not in known]
+        known.update(zip(others, self._ids(others), strict=True))
+        found = [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in parts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
         hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes)
+        order = np.argsort(hashes, kind="stable")  # two sorted runs
         self.hashes, self.at, self.size = hashes[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -35,8 +35,9 @@ from .common import discard, materialize, sized, small_batches, tidy
 from .components import components
 from .textkit import mix, shingle_sets
 
-#: Bits of a parity bitmap, and the classes and shingles that a tile holds at most.
-BITMAP_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 4096, 3_000_000
+#: Bits of a parity bitmap, of one that is shuffled (at least), and the classes and
+#: shingles that a tile holds at most.
+BITMAP_BITS, SIGNATURE_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 4096, 3_000_000
 #: The count sketch has 2 ** SKETCH_BITS counters, added up in blocks.
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 
@@ -83,11 +84,11 @@ def prefix_keys(values: np.ndarray, levels: np.ndarray, rule: Threshold) -> np.n
     return np.concatenate([mix(rarest + mix(np.array([band + 1], dtype=np.uint64))) for band in (own, own + 1)])
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
+def bitmap(values: np.ndarray, least: int = BITMAP_BITS) -> np.ndarray:
     """Parity bits, at least one a value: two bitmaps of one width differ in no more
     bits than the sets in elements. Half as wide a bitmap is the two halves' xor. Sets that
     share little still differ in a quarter of all their values' number, which is enough."""
-    width = max(BITMAP_BITS, 1 << (len(values) - 1).bit_length())
+    width = max(least, 1 << (len(values) - 1).bit_length())
     odd = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -210,7 +211,7 @@ def _signatures(words: int, rule: Threshold):
             marks = [digest(s) for s in sets]
             yield pd.DataFrame({
                 "cls": marks, "mark": [np.frombuffer(x[:8], "<i8")[0] for x in marks], "n": [len(s) for s in sets],
-                "band": [rule.band(len(s)) for s in sets], "bits": [bitmap(s).tobytes() for s in sets],
+                "band": [rule.band(len(s)) for s in sets], "bits": [bitmap(s, SIGNATURE_BITS).tobytes() for s in sets],
             })
 
     return rows
@@ -220,7 +221,7 @@ def _sets(words: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [s for s in shingle_sets(pdf["text"].tolist(), words) if len(s)]
-            yield pd.DataFrame({"cls": [digest(s) for s in sets], "vals": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"digest": [digest(s) for s in sets], "vals": [s.tobytes() for s in sets]})
 
     return rows
 
@@ -306,9 +307,9 @@ def compare_tile(pdf: pd.DataFrame, rule: Threshold, every: bool) -> pd.DataFram
     sizes = right["n"].to_numpy(np.int64)
     values = [np.frombuffer(x, np.uint64) for x in right["vals"]]
     bits = np.stack([folded(bitmap(v), BITMAP_BITS // 64) for v in values])
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def root(x: bytes) -> bytes:
+    def root(x: int) -> int:
         while (up := parent.get(x, x)) != x:
             parent[x] = x = parent.get(up, up)
         return x
@@ -335,7 +336,7 @@ def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: C
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     sifted = materialize(dealt.mapInPandas(tidy(_sift(keys, rule)), f"{types}, n long"), "jaccard-sifted")
     whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
-    return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u binary, v binary").distinct()
+    return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u long, v long").distinct()
 
 
 _TILE = ["cluster", "mb", "mk", "ab", "ak"]
@@ -368,6 +369,15 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     as many as keep the connected components whole. A null or wordless text has no
     shingles, a null class and no links. Rows with one set of shingles share a class.
     """
+    light, links, digests = _numbered_links(docs, words, num, den, every_link)
+    ends = [digests.select(F.col("cls").alias(c), F.col("digest").alias(f"{c}_digest")) for c in ("u", "v")]
+    named = links.join(ends[0], "u").join(ends[1], "v")
+    return light, named.select(F.least("u_digest", "v_digest").alias("u"), F.greatest("u_digest", "v_digest").alias("v"))
+
+
+def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """jaccard_classes with links between numbers of classes, which shuffle as half of a
+    digest, and a frame ``(cls, digest)`` of the numbers of all classes with candidates."""
     rule = Threshold(num, den)
     texts = small_batches(docs).select("doc_id", "text")
     once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
@@ -387,12 +397,16 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         ids = sized(materialize(ids.distinct(), "jaccard-fetch"))
         return texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
-    def sets_of(classes: DataFrame) -> DataFrame:
-        wanted = texts_of(first_of.join(classes, "cls").select("doc_id"))
-        return materialize(wanted.mapInPandas(tidy(_sets(words)), "cls binary, vals binary").dropDuplicates(["cls"]), "jaccard-sets")
-
     signatures = texts_of(first_of.select("doc_id")).mapInPandas(tidy(_signatures(words, rule)), "cls binary, mark long, n long, band int, bits binary")
-    signatures = materialize(signatures.dropDuplicates(["cls"]), "jaccard-signatures")
+    signatures = signatures.dropDuplicates(["cls"]).withColumnRenamed("cls", "digest")
+    signatures = materialize(signatures.withColumn("cls", F.monotonically_increasing_id()), "jaccard-signatures")
+    digests = signatures.select("cls", "digest")
+    first_of = first_of.withColumnRenamed("cls", "digest")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = materialize(digests.join(classes, "cls"), "jaccard-wanted")
+        sets = texts_of(first_of.join(wanted, "digest").select("doc_id")).mapInPandas(tidy(_sets(words)), "digest binary, vals binary")
+        return materialize(sets.dropDuplicates(["digest"]).join(sized(wanted), "digest").select("cls", "vals"), "jaccard-sets")
 
     names = signatures.select("cls", "mark", F.col("n").alias("size"))
     pairs = stars.join(names, "mark").withColumnRenamed("cls", "a")
@@ -403,7 +417,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if every_link:
         cluster = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-clusters")
         cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"), F.col("node").alias("label"), F.lit(True).alias("minor"))
-        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links")
+        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links"), digests
 
     best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "size"), F.struct(F.col("n"), F.col("b"))).alias("best")).select("a", "best.b", "best.size")
     best = materialize(best, "jaccard-best")
@@ -430,7 +444,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     largest = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     largest = materialize(largest.select("cluster", "main"), "jaccard-main")
     rest = state.join(sized(largest), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
-    return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links")
+    return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links"), digests
 
 
 def _mark(cls: str) -> Column:
@@ -449,10 +463,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     as larger than any other; a component of null ids only has a null id. Rows that
     repeat an id are judged each by its own text. An empty table gives no rows.
     """
-    light, links = jaccard_classes(docs, words, num, den)
+    light, links, digests = _numbered_links(docs, words, num, den, False)
     labels = components(links, "jaccard-last").select(F.col("node").alias("cls"), "label")
+    labels = labels.join(digests, "cls").select(F.col("digest").alias("cls"), "label")
     least = light.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("m"))
-    least = materialize(least.join(labels, "cls", "left").select("cls", "m", F.coalesce("label", "cls").alias("label")), "jaccard-classes")
-    whole = least.groupBy("label").agg(F.min("m").alias("component_id"))
-    final = least.join(whole, "label").select("cls", "component_id")
+    least = materialize(least.join(labels, "cls", "left").select("cls", "m", "label"), "jaccard-classes")
+    linked, alone = least.filter("label is not null"), least.filter("label is null")
+    whole = linked.groupBy("label").agg(F.min("m").alias("component_id"))
+    final = linked.join(whole, "label").select("cls", "component_id").union(alone.select("cls", "m"))
     return light.join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -60,3 +60,69 @@ WITH sizes AS (
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + least(greatest(rest - before, 0), size) AS BIGINT) AS taken FROM ranked
 """
+
+#: crc32 by its table, byte by byte; a blob's bytes come from its hexadecimal digits.
+_CRC = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), coded AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)
+), bytes AS (
+  SELECT w, list_transform(range(len(h) // 2), lambda k: CAST(16 * (instr('0123456789ABCDEF', substr(h, 2 * k + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * k + 2, 1)) - 1 AS BIGINT)) AS b FROM coded
+), buckets AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc
+)"""
+
+ORACLES["op13_resampling"] = f"""
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), target AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark
+), corpus AS MATERIALIZED (
+  SELECT r, unnest(ws) AS w FROM rows
+), words AS (
+  SELECT w FROM corpus UNION SELECT w FROM target
+), {_CRC}, source_counts AS (
+  SELECT bucket, count(*) AS s FROM corpus JOIN buckets USING (w) GROUP BY bucket
+), target_counts AS (
+  SELECT bucket, count(*) AS t FROM target JOIN buckets USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM source_counts) + 10000) AS DOUBLE)
+    / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM source_counts LEFT JOIN target_counts USING (bucket)
+), weights AS (
+  SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM corpus JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM rows LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS eligible FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CAST(rank AS BIGINT) AS rank FROM scored LEFT JOIN (SELECT r, rank FROM ranked WHERE rank <= 10 * eligible // 100) USING (r)
+"""
+
+ORACLES["op11_lexical_search"] = """
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents
+), docs AS MATERIALIZED (
+  SELECT r, doc_id, len(ts) AS n, ts FROM texts WHERE len(ts) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), items AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS ts FROM benchmark
+), asked AS MATERIALIZED (
+  SELECT i, item_id, unnest(ts) AS t FROM items
+), postings AS MATERIALIZED (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, totals GROUP BY t, n_docs
+), scored AS (
+  SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS part
+  FROM postings JOIN docs USING (r) JOIN weights USING (t), totals
+), sums AS (
+  SELECT i, item_id, r, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN scored USING (t) GROUP BY i, item_id, r
+), ranked AS (
+  SELECT i, item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM sums JOIN docs USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, fingerprint, langid, mixing, ngram_jaccard, packing, secrets, topk_search, url_filter, warc_revisit
+from . import context_mixing, fingerprint, langid, lexical_search, mixing, ngram_jaccard, packing, piece_codec, resampling, secrets, topk_search, url_filter, warc_revisit
 from .common import documents, id_remainder
 
 
@@ -59,6 +59,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard, op3_warc_revisits, op4_packing, op5_exact_top_k, op6_mixing, op7_fingerprints, op8_language_id, op9_context_mixing, op10_secrets)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.rank_documents(documents(spark, sf_dir), items, k=50)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.digest_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_jaccard, op3_warc_revisits, op4_packing, op5_exact_top_k, op6_mixing, op7_fingerprints,
+        op8_language_id, op9_context_mixing, op10_secrets, op11_lexical_search, op12_sentencepiece, op13_resampling,
+    )
+}

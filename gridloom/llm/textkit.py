@@ -40,6 +40,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
+#: What is part of a term: letters and digits of ASCII, and all bytes beyond it.
+_TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Terms of a text in UTF-8, A-Z lower-cased; ASCII signs and blanks part them."""
+    return text.translate(_TERM).split()
+
+
 def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 

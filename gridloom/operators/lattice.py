@@ -19,6 +19,8 @@ from ..functions import geo
 RASTER_EXTENT = (-2417835.0, 158265.0, 2387295.0, 3321225.0)
 VIEW_WIDTH, VIEW_HEIGHT, VIEW_MARGIN = 1400, 700, 0.35
 FEWEST, MOST = 8, 2000
+#: Bytes up to which a window is broadcast, and what a cell takes there.
+BROADCAST_BYTES, CELL_BYTES = 16 << 20, 32
 #: Points on each side of a box whose outline is projected.
 SIDE = 9
 
@@ -58,6 +60,46 @@ def albers_box(box: Column) -> Column:
     )
 
 
+def projected_bounds(box: Column) -> Column:
+    """EPSG:5070 bounds ``x0, y0, x1, y1`` that hold every point of a box, within the raster's
+    extent or not. A parallel is an arc around the pole, lowest at the central meridian, and
+    eastings grow along it; so the corners and the lowest point of the south side are enough."""
+    lowest = F.greatest(F.least(F.lit(geo.LON_ORIGIN), box["e"]), box["w"])
+    corners = [geo.albers(lon, lat) for lon, lat in ((box["w"], box["s"]), (box["e"], box["s"]), (box["w"], box["n"]), (box["e"], box["n"]), (lowest, box["s"]))]
+    xs, ys = ([c[i] for c in corners] for i in (0, 1))
+    return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
+
+
+def raster_window(boxes: DataFrame, pixel: float, box: str = "box") -> tuple[tuple[int, int], tuple[int, int]]:
+    """The rows and columns of the raster that some boxes' samples can fall into, one more on
+    each side; one row comes to the driver. Without boxes both spans are empty."""
+    x0, _, _, y1 = RASTER_EXTENT
+    b = boxes.select(projected_bounds(F.col(box)).alias("b")).agg(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).head()
+    if b[0] is None:
+        return (0, -1), (0, -1)
+    rows, cols = ((y1 - b[3]) / pixel, (y1 - b[1]) / pixel), ((b[0] - x0) / pixel, (b[2] - x0) / pixel)
+    return tuple((int(low) - 1, int(high) + 1) for low, high in (rows, cols))
+
+
+def grid_window(boxes: DataFrame, factor: int, box: str = "box") -> tuple[tuple[int, int], tuple[int, int]]:
+    """The same of the probability grid at a level."""
+    b = boxes.agg(F.max(f"{box}.n"), F.min(f"{box}.s"), F.min(f"{box}.w"), F.max(f"{box}.e")).head()
+    if b[0] is None:
+        return (0, -1), (0, -1)
+    size = geo.GRID_CELL * factor
+    rows, cols = ((geo.GRID_TOP - b[0]) / size, (geo.GRID_TOP - b[1]) / size), ((b[2] + 180) / size, (b[3] + 180) / size)
+    return tuple((math.floor(low) - 1, math.floor(high) + 1) for low, high in (rows, cols))
+
+
+def within(cells: DataFrame, window: tuple[tuple[int, int], tuple[int, int]], layers: int = 1) -> DataFrame:
+    """``cells(iy, ix, ...)`` of a window, for a join: broadcast if the window's whole area,
+    times the layers that a cell may be in, takes BROADCAST_BYTES at most."""
+    (y0, y1), (x0, x1) = window
+    some = cells.filter(F.col("iy").between(y0, y1) & F.col("ix").between(x0, x1))
+    area = max(0, y1 - y0 + 1) * max(0, x1 - x0 + 1) * layers
+    return F.broadcast(some) if area * CELL_BYTES <= BROADCAST_BYTES else some
+
+
 def samples(boxes: DataFrame, nx: Column, ny: Column, box: str = "box") -> DataFrame:
     """``boxes`` with a row for each sample: its column ``j`` and row ``i`` (from the north),
     ``lon`` and ``lat`` of its centre."""
@@ -102,6 +144,12 @@ def timelapse_level(base: Column, k: Column) -> Column:
     return F.greatest(F.least(F.pow(F.lit(2.0), F.bround(exact)), F.lit(256.0)), F.lit(1.0)).cast("int")
 
 
+def nearest_level(ratio: float, ks: list[int]) -> int:
+    """The level of a group nearest to samples that are ``ratio`` of its finest pixels wide:
+    a power of two, halves to even, within what the group has."""
+    return max(min(ks), min(max(ks), 2 ** round(math.log2(max(ratio, 1.0)))))
+
+
 def timelapse_series(counts: DataFrame, top: DataFrame) -> DataFrame:
     """``counts(year, code, n)`` -> a row for each year in which any of the top codes occurs
     and each top code, 0 where there is none, with its share of the series' peak. Years
@@ -144,4 +192,5 @@ def legend_json(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def metres_per_pixel(lat: Column, z: Column) -> Column:
+    """Ground metres of a pixel of a 256-pixel tile at a latitude and zoom."""
     return 2 * math.pi * geo.SEMI_MAJOR / 256 * F.cos(F.radians(lat)) / F.pow(F.lit(2.0), z)

@@ -89,22 +89,22 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
     return near.filter("size(ring) >= 4").filter(inside).select("id", "field")
 
 
-def pack_mask(cells: DataFrame) -> DataFrame:
-    """True cells ``(iy, ix)`` -> ``(cy, cx, block, bits)``, 512 by 512 chunks in eight blocks
-    of bits. A block without a true cell has no row."""
-    at = F.pmod("iy", F.lit(CHUNK)) * CHUNK + F.pmod("ix", F.lit(CHUNK))
-    rows = cells.select(F.floor(F.col("iy") / CHUNK).alias("cy"), F.floor(F.col("ix") / CHUNK).alias("cx"), at.cast("long").alias("at"))
+def pack_mask(cells: DataFrame, side: int = CHUNK) -> DataFrame:
+    """True cells ``(iy, ix)`` -> ``(cy, cx, block, bits)``, chunks of ``side`` by ``side`` cells
+    (512: eight blocks of bits). A block without a true cell has no row."""
+    at = F.pmod("iy", F.lit(side)) * side + F.pmod("ix", F.lit(side))
+    rows = cells.select(F.floor(F.col("iy") / side).alias("cy"), F.floor(F.col("ix") / side).alias("cx"), at.cast("long").alias("at"))
     block = F.floor(F.col("at") / BLOCK_BITS).alias("block")
     return rows.groupBy("cy", "cx", block).agg(F.bitmap_construct_agg(F.col("at") % BLOCK_BITS).alias("bits"))
 
 
-def unpack_mask(packed: DataFrame) -> DataFrame:
+def unpack_mask(packed: DataFrame, side: int = CHUNK) -> DataFrame:
     """The true cells ``(iy, ix)`` of packed chunks."""
     byte = packed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 8 - 1))))
     byte = byte.withColumn("byte", F.conv(F.hex(F.expr("substring(bits, i + 1, 1)")), 16, 10).cast("int")).filter("byte != 0")
     bit = byte.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(7)))).filter("shiftright(byte, bit) & 1 = 1")
     at = F.col("block") * BLOCK_BITS + F.col("i") * 8 + F.col("bit")
-    return bit.select((F.col("cy") * CHUNK + F.floor(at / CHUNK)).alias("iy"), (F.col("cx") * CHUNK + at % CHUNK).alias("ix"))
+    return bit.select((F.col("cy") * side + F.floor(at / side)).alias("iy"), (F.col("cx") * side + at % side).alias("ix"))
 
 
 def line_pixels(lines: DataFrame) -> DataFrame:

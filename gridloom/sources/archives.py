@@ -1,9 +1,8 @@
-"""Binary archives as DataFrames: tile archives with directories, vector tiles, chunked arrays.
+"""Binary formats: directories of tile archives, vector tiles, chunks of arrays.
 
-Spark lists, reads and deals out the files; the helpers below decode one directory, one
-tile or one chunk. A tile archive is read once and becomes a Parquet table of tile blobs,
-partitioned by archive; all later work is joins on tile ids. One archive is one task's
-work, so archives have to fit into a task's memory (at most 2 GB, Spark's limit for a value).
+The helpers below decode one directory, one tile or one chunk; ``tiles`` and ``zarr3`` find
+and read them by byte ranges. ``read_grid`` takes arrays without shards through Spark's own
+file source, also from stores that nothing else can open.
 """
 
 from __future__ import annotations
@@ -18,9 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRIES = "archive string, id long, off long, len long, run long"
-POINTS = "ring long, seq int, x long, y long"
-
 
 def varints(data: bytes) -> np.ndarray:
     """All little-endian base-128 numbers of a byte string."""
@@ -52,43 +48,6 @@ def header(data: bytes) -> tuple[int, ...]:
     return struct.unpack_from("<8Q", data, 8)
 
 
-def archive_entries(data: bytes, depth: int = 4) -> pd.DataFrame:
-    """The tile entries of all directories, at most ``depth`` levels deep."""
-    root, root_size, _, _, leaves, _, _, _ = header(data)
-    level, out = [directory(data[root : root + root_size])], []
-    for _ in range(depth):
-        pointers = [x for d in level for x in d[d["run"] == 0].itertuples()]
-        out += [d[d["run"] > 0] for d in level]
-        level = [directory(data[leaves + x.off : leaves + x.off + x.len]) for x in pointers]
-        if not level:
-            break
-    return pd.concat(out, ignore_index=True)
-
-
-def _blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            found, tiles = archive_entries(data), header(data)[6]
-            name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            for a in range(0, len(found), 1000):
-                part = found.iloc[a : a + 1000]
-                yield part.assign(archive=name, blob=[data[tiles + o : tiles + o + n] for o, n in zip(part["off"], part["len"], strict=True)])[["archive", "id", "run", "blob"]]
-
-
-def tile_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, id, run, blob)`` of all archives below a path: a blob serves the ids
-    from ``id`` on, ``run`` of them. An archive without tiles gives no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pmtiles").load(path).select("path", "content")
-    return files.mapInPandas(_blobs, "archive string, id long, run long, blob binary")
-
-
-def fetch_tiles(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(archive, id, ...)`` with each tile's ``blob``, null for an absent tile. Runs
-    are dealt out as single ids, so the look-up is an equi-join that shuffles or broadcasts."""
-    every = blobs.withColumn("id", F.explode(F.expr("sequence(id, id + run - 1)"))).drop("run")
-    return wanted.join(every, ["archive", "id"], "left")
-
-
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """``(number, value)`` of a protocol-buffer message; fixed-width values stay bytes."""
 
@@ -168,18 +127,20 @@ def tile_rings(blob: bytes, layer: str) -> tuple[int, list[np.ndarray]]:
     return 4096, []
 
 
-def polygon_points(tiles: DataFrame, layer: str) -> DataFrame:
+def polygon_points(tiles: DataFrame, layer: str, key: str | None = None) -> DataFrame:
     """``tiles(tile long, blob)`` -> ``(tile, ring, seq, x, y, extent)``, a row a point, in
-    tile units. Null blobs (absent tiles) have no points."""
+    tile units. Null blobs (absent tiles) have no points. Where ``tile`` is a struct, ``key``
+    names its fields with their types."""
+    kind = "long" if key is None else f"struct<{', '.join(': '.join(f.split()) for f in key.split(','))}>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for tile, blob in zip(pdf["tile"], pdf["blob"], strict=True):
                 extent, rings = tile_rings(blob, layer)
                 for i, ring in enumerate(rings):
-                    yield pd.DataFrame({"tile": tile, "ring": i, "seq": np.arange(len(ring)), "x": ring[:, 0], "y": ring[:, 1], "extent": extent})
+                    yield pd.DataFrame({"tile": [tile] * len(ring), "ring": i, "seq": np.arange(len(ring)), "x": ring[:, 0], "y": ring[:, 1], "extent": extent})
 
-    return tiles.filter("blob is not null").select("tile", "blob").mapInPandas(rows, "tile long, ring long, seq int, x long, y long, extent int")
+    return tiles.filter("blob is not null").select("tile", "blob").mapInPandas(rows, f"tile {kind}, ring long, seq int, x long, y long, extent int")
 
 
 def read_grid(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int], layer: int | None = None) -> DataFrame:

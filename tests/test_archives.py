@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridloom.sources import archives
+from gridloom.sources import archives, tiles
 
 
 def _varint(n):
@@ -71,18 +71,17 @@ def archive(tmp_path):
 
 def test_tile_archive(spark, archive):
     path, tile = archive
-    blobs = archives.tile_blobs(spark, str(path))
     wanted = spark.createDataFrame([("xx", i) for i in (2, 3, 4, 5, 40, 41, 45, 46)], "archive string, id long")
-    found = {r.id: r.blob and bytes(r.blob) for r in archives.fetch_tiles(blobs, wanted).collect()}
+    found = {r.id: r.blob and bytes(r.blob) for r in tiles.fetch_tiles(wanted, str(path)).collect()}
     assert found == {2: None, 3: tile, 4: tile, 5: None, 40: b"abc", 41: b"de", 45: b"de", 46: None}
 
 
 def test_polygons_of_a_layer(spark, archive):
-    tiles = spark.createDataFrame([(3, archive[1]), (4, b""), (5, None)], "tile long, blob binary")
-    points = archives.polygon_points(tiles, "2024").orderBy("ring", "seq").collect()
+    blobs = spark.createDataFrame([(3, archive[1]), (4, b""), (5, None)], "tile long, blob binary")
+    points = archives.polygon_points(blobs, "2024").orderBy("ring", "seq").collect()
     assert [(p.x, p.y) for p in points if p.ring == 0] == [*RING, RING[0]]
     assert {p.extent for p in points} == {512} and {p.tile for p in points} == {3} and len(points) == 9
-    assert not archives.polygon_points(tiles, "2025").count()
+    assert not archives.polygon_points(blobs, "2025").count()
 
 
 def test_malformed_input():

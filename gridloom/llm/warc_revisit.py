@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Headers that a revisit may replace (RFC 9111: a 304 updates these; never the body's own).
 PERMITTED = ("date", "expires", "cache-control", "etag", "last-modified", "vary")
-CHUNK_SECONDS = 86_400
+CHUNK_SECONDS = 900
 
 
 def canonical_url(url: str) -> Column:
@@ -45,7 +45,8 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
       names only, whatever the letters' case; else null. Null header maps are empty ones.
 
     A null url or ts has no source (orphan). Urls and headers may be of any length. Rows
-    that repeat are each resolved; an empty table gives no rows.
+    that repeat are each resolved; a record_id that several urls share is taken by url; an
+    empty table gives no rows.
     """
     base = records.select("record_id", canonical_url("url").alias("canonical_url"), "ts", "kind", "etag", "last_modified", "headers")
     base = base.withColumn("chunk", F.floor(F.col("ts") / chunk_seconds))
@@ -64,9 +65,9 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     lost = base.filter(~keyed & (F.col("kind") == "revisit")).drop("chunk").withColumn("source", F.lit(None).cast("struct<ts:bigint,record_id:bigint>"))
     revisits = revisits.unionByName(lost)
 
-    sources = base.select(full.alias("s")).filter("s is not null").select(F.col("s.record_id").alias("sid"), F.col("s.ts").alias("sts"), F.col("s.etag").alias("setag"), F.col("s.last_modified").alias("smod"), F.col("s.headers").alias("sheaders"))
-    sources = sources.groupBy("sid", "sts").agg(F.min_by(F.struct("setag", "smod", "sheaders"), F.struct("setag", "smod")).alias("s"))
-    out = revisits.join(sources, (F.col("source.record_id") == F.col("sid")) & (F.col("source.ts") == F.col("sts")), "left")
+    sources = base.select(F.col("canonical_url").alias("surl"), full.alias("s")).filter("s is not null").select("surl", F.col("s.record_id").alias("sid"), F.col("s.ts").alias("sts"), F.col("s.etag").alias("setag"), F.col("s.last_modified").alias("smod"), F.col("s.headers").alias("sheaders"))
+    sources = sources.groupBy("surl", "sid", "sts").agg(F.min_by(F.struct("setag", "smod", "sheaders"), F.struct("setag", "smod")).alias("s"))
+    out = revisits.join(sources, (F.col("canonical_url") == F.col("surl")) & (F.col("source.record_id") == F.col("sid")) & (F.col("source.ts") == F.col("sts")), "left")
     strong = lambda c: F.regexp_replace(F.col(c), r"\AW/", "")
     by_etag = F.col("etag").isNotNull() & F.col("s.setag").isNotNull()
     by_time = ~by_etag & F.col("last_modified").isNotNull() & F.col("s.smod").isNotNull()

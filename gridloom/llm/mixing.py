@@ -15,8 +15,10 @@ a comes from a table of the sources' different sizes (no more rows a source than
 longest document has words): the largest sizes are certain while a, from the rest, would
 bring them to 1 or more.
 
-Documents are dealt out by (source, bucket of the rank variable) and summed up in two
-levels, so a source with a third of all rows is many small windows.
+Documents are dealt out by ranges of (source, rank variable), which Spark takes from the
+rows themselves, and summed up in two levels: within a range and over the ranges of a
+source. So a source with a third of all rows is many windows of about the same size,
+whatever its documents' sizes are and however many of them are certain.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialize, sized
 
-#: Weights by the sources' order, copies at most, buckets of the rank variable.
-WEIGHTS, MOST_COPIES, BUCKETS = (5, 2, 1), 3, 1024
+#: Weights by the sources' order, copies at most.
+WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 #: Hexadecimal digits of the md5 that the random numbers come from: 48 bits.
 DIGITS = 12
 
@@ -84,7 +86,7 @@ def inclusion_rates(due: DataFrame) -> DataFrame:
     return found.select("key", F.coalesce(F.col("f.size") + 1, F.lit(0)).alias("certain"), F.coalesce(F.col("f.rate"), F.lit(0.0)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, buckets: int = BUCKETS, key: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)``, a row for each input row.
 
     taken: words that the mix takes, repeats counted: whole copies for certain, one more
@@ -96,7 +98,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """
     own = [key] if key else []
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # never null
-    sizes = materialize(docs.select("doc_id", "source", source.alias("key"), word_count(F.col("text")).alias("size"), *own), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", source.alias("key"), word_count(F.col("text")).alias("size"), *own, F.monotonically_increasing_id().alias(free_name("row", docs))), "mix-sizes")
+    row = sizes.columns[-1]
     targets = sized(materialize(source_targets(sizes, weights, most), "mix-targets"))
     due = sizes.join(targets, "key")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(most))).otherwise(F.lit(0))
@@ -108,14 +111,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     p = F.when(F.col("size") >= F.col("certain"), 1.0).otherwise(F.col("rate") * F.col("size"))
     p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
     u = uniform(F.col("doc_id"), seed)
-    odds = F.when(F.col("size") >= F.col("certain"), 0.0).otherwise((u / (1.0 - u)) / (p / (1.0 - p)))
-    ranked = due.withColumn("rank", odds / (1.0 + odds)).withColumn("bucket", F.floor(F.col("rank") * buckets))
+    odds = (u / (1.0 - u)) / (p / (1.0 - p))
+    rank = F.when(F.col("size") >= F.col("certain"), u - 1.0).otherwise(odds / (1.0 + odds))  # certain ones first
+    order = ["rank", "doc_id", "size", *own, row]
+    dealt = due.withColumn("rank", rank).repartitionByRange("key", *order)
+    ranked = materialize(dealt.withColumn("bucket", F.spark_partition_id()), "mix-ranges")
 
     sums = ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("key", "bucket", F.coalesce(earlier, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("rank", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ranked.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["key", "bucket"])
+    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sized(materialize(sums, "mix-sums")), ["key", "bucket"])
     sampled = F.least(F.greatest(F.col("rest") - F.col("before") - F.col("inside"), F.lit(0)), F.col("size"))
     return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + sampled).cast("long").alias("taken"), *own)
 

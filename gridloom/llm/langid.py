@@ -7,8 +7,9 @@ logistic loss of every codeword's bits, weighted by how well a bit's two sides a
 apart in training, and takes the nearest codeword. A small gap to the second nearest
 flags the text as ambiguous.
 
-Training is one pass that sums n-gram counts by language, over all learnable texts: a
-bounded table (languages by buckets), the only thing that reaches the driver.
+Training is one pass that sums n-gram counts by language, over all learnable texts. What
+the classifiers need of that table (languages by buckets) is summed up in Spark, so the
+driver gets buckets by bits, and the languages' names.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import give_back, small_batches, tidy
+from .common import discard, free_name, give_back, materialize, sized, small_batches, tidy
 from .textkit import chunks
 
 #: Hash buckets of n-grams, n-gram lengths in bytes, code bits beyond seven languages,
-#: languages at most, and the scale of a mean log-odds before the loss.
-BUCKETS, GRAMS, BITS, MAX_LANGUAGES, SCALE = 1 << 15, (1, 2, 3), 63, 512, 4.0
+#: the scale of a mean log-odds before the loss, and languages that a task counts at a time.
+BUCKETS, GRAMS, BITS, SCALE, HELD = 1 << 15, (1, 2, 3), 63, 4.0, 256
 AMBIGUOUS = 0.15
-_LETTER = re.compile(r"[^\W\d_]").search
+_MAYBE_LETTER = re.compile(r"[^\W\d_]").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; signs such as \u00b2, \u00bd or \u2167 are none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER(text))
 
 
 def gram_buckets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -58,17 +63,23 @@ def gram_buckets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts by language and bucket; a task holds HELD languages' at a time."""
     sums: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
+
+    def counted() -> Iterator[pd.DataFrame]:
+        for lang, total in sums.items():
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": some.astype(np.int32), "n": total[some]})
+        sums.clear()
+
     for pdf in batches:
         for lang, group in pdf.groupby("lang", sort=False):
+            if lang not in sums and len(sums) >= HELD:
+                yield from counted()
             total = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            docs[lang] = docs.get(lang, 0) + len(group)
             for _, bucket, _ in gram_buckets([t.encode("utf-8", "replace") for t in group["text"]]):
                 total += np.bincount(bucket, minlength=BUCKETS)
-    for lang, total in sums.items():
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": some.astype(np.int32), "n": total[some]})
+    yield from counted()
 
 
 def codewords(n: int) -> np.ndarray:
@@ -94,35 +105,44 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """From ``(text, lang)``; null texts or languages take no part."""
+    """From ``(text, lang)``; null texts or languages take no part. There may be any number
+    of languages: each adds its name and codeword to the model."""
     usable = small_batches(docs).filter("text is not null and lang is not null").select("text", "lang")
     sums = usable.mapInPandas(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = [r[0] for r in sums.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = sums.toPandas()  # languages by buckets at most
-    place = {x: i for i, x in enumerate(names)}
-    counts = np.zeros((len(names), BUCKETS))
-    counts[table["lang"].map(place).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"].to_numpy(float)
-    share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)  # every language weighs alike
-    code = codewords(len(names))
-    odds = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
-    weight = np.ones(code.shape[1])
-    for b in range(code.shape[1]):
-        one, zero = share[code[:, b] == 1], share[code[:, b] == 0]
-        if len(one) and len(zero):
-            odds[:, b] = np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0))
-            margins = (share * odds[:, b]).sum(axis=1) * np.where(code[:, b] == 1, 1, -1)
-            weight[b] = max(margins.min(), 1e-3)
-    return Model(names, code, odds, weight / weight.sum() if len(weight) else weight)
+    sums = materialize(sums, "language-grams")
+    totals = sums.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").toPandas()  # a row a language
+    names, code = totals["lang"].tolist(), codewords(len(totals))
+    bits = code.shape[1]
+    if not bits:
+        discard(sums)
+        return Model(names, code, np.zeros((BUCKETS, 0), np.float32), np.ones(0))
+    # Smoothed shares: every language weighs alike, and an n-gram not seen in it has its unit.
+    units = 1 / (totals["total"].to_numpy(float) + 0.5 * BUCKETS)
+    words = docs.sparkSession.createDataFrame([(n, float(u), c.tolist()) for n, u, c in zip(names, units, code, strict=True)], "lang string, unit double, code array<int>")
+    shares = sums.join(sized(materialize(words, "language-codewords")), "lang").withColumn("share", F.col("n") * F.col("unit"))
+    on_bits = lambda f: [f(b).alias(f"b{b}") for b in range(bits)]
+    ones = shares.groupBy("bucket").agg(F.sum("share").alias("all"), *on_bits(lambda b: F.sum(F.col("code")[b] * F.col("share"))))
+    table = ones.toPandas().set_index("bucket")  # BUCKETS rows at most
+    unseen = 0.5 * units[:, None] * code
+    one, every = np.tile(unseen.sum(axis=0), (BUCKETS, 1)), np.full(BUCKETS, 0.5 * units.sum())
+    one[table.index] += table[[f"b{b}" for b in range(bits)]].to_numpy(float)
+    every[table.index] += table["all"].to_numpy(float)
+    size = code.sum(axis=0)
+    odds = (np.log(one / size) - np.log((every[:, None] - one) / (len(names) - size))).astype(np.float32)
+    learned = docs.sparkSession.createDataFrame([(b, row.tolist()) for b, row in enumerate(odds.astype(float))], "bucket int, odds array<double>")
+    margin = lambda b: (2 * F.first("code")[b] - 1) * (F.sum(F.col("share") * F.col("odds")[b]) + 0.5 * F.first("unit") * float(odds[:, b].sum(dtype=float)))
+    margins = shares.join(F.broadcast(learned), "bucket").groupBy("lang").agg(*on_bits(margin))
+    weight = np.maximum(np.array(margins.agg(*[F.min(f"b{b}") for b in range(bits)]).head(), float), 1e-3)
+    discard(sums)
+    return Model(names, code, odds, weight / weight.sum())
 
 
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean log-odds by text and bit -> nearest language, score, ambiguity."""
     if len(model.languages) == 1 or not model.code.shape[1]:
         return np.zeros(len(margins), int), np.ones(len(margins)), np.zeros(len(margins), bool)
-    sign = np.where(model.code == 1, 1.0, -1.0)
-    loss = (np.logaddexp(0.0, -SCALE * margins[:, None, :] * sign[None]) * model.weight).sum(axis=2)
+    on, off = (np.logaddexp(0.0, sign * SCALE * margins) * model.weight for sign in (-1, 1))
+    loss = on @ model.code.T.astype(float) + off @ (1.0 - model.code.T)
     like = np.exp(-2.0 * SCALE * (loss - loss.min(axis=1, keepdims=True)))
     like /= like.sum(axis=1, keepdims=True)
     best = loss.argmin(axis=1)
@@ -131,7 +151,7 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _judge(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    judged = np.array([bool(_LETTER(t)) for t in texts], dtype=bool) & bool(model.languages)
+    judged = np.array([has_letter(t) for t in texts], dtype=bool) & bool(model.languages)
     names, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     some = np.flatnonzero(judged)
     margins = np.zeros((len(some), model.odds.shape[1]))
@@ -150,11 +170,12 @@ def _judge(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.nd
 def predicted(text: Column, model: Model) -> Column:
     """A struct ``lang_pred, score, ambiguous`` of each whole text; only the text goes
     to the Python workers, the row's other columns stay where they are."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            names, scores, unsure = _judge([t or "" for t in series], model)
+            names, scores, unsure = _judge([t or "" for t in series], shared.value)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": unsure})
         give_back()
 
@@ -173,9 +194,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a clear language;
     null texts, texts without letters and ambiguous ones go. The column that is judged
     by has a name that ``docs`` doesn't use."""
-    name = "_judged"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_judged", docs)
     judged = docs.withColumn(name, predicted(F.col("text"), model))
     return judged.filter((F.col(f"{name}.lang_pred") != "und") & ~F.col(f"{name}.ambiguous")).drop(name)
 
@@ -185,6 +204,7 @@ def identify_split(docs: DataFrame, learnable: Column, held_out: Column) -> Data
     held_out, lang_pred, score, ambiguous``.
 
     Null texts and texts without letters are ``und``; null languages aren't learned;
+    of codewords equally near, the first in the languages' order is taken (and flagged);
     repeated rows are judged alike; texts of any length are read whole; other columns
     are ignored; an empty table gives no rows, and with nothing to learn all is ``und``.
     """

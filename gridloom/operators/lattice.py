@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -179,18 +179,49 @@ def outline_jobs(views: DataFrame, states: DataFrame) -> DataFrame:
     return jobs.withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1))).select("id", "state", "z", "x", "y")
 
 
+def whole_status(z: Column, k: Column, base: Column | int, tiles: Column, pixels: Column, drawn: Column, year: Column, fields_year: Column, outlines: Column, fields: Column, disagreement: Column, factor: Column, ms: Column) -> Column:
+    """The status line with all its parts. Those on fields and on the disagreement are there
+    while these are on; from zoom 12 on outlines are drawn, below it the line says so; a
+    disagreement asked for outside 2024 and 2025 isn't there, and the line says that."""
+    part = lambda on, text: F.when(on, text).otherwise("")
+    able = year.isin(2024, 2025)
+    return F.concat(
+        F.format_string("z%d · %dx · %d m pixels · %d tiles · %s px · %s drawn · year %d", z, k, base * k, tiles, F.format_number(pixels, 0), F.format_number(drawn, 0), year),
+        part(fields, F.format_string(" · FTW %d fields · %d outline tiles", fields_year, F.when(z >= 12, outlines).otherwise(0))),
+        part(disagreement & able, F.format_string(" · disagreement vs P(field) at %d m", 10 * factor)),
+        part(disagreement & ~able, F.lit(" · disagreement needs 2024 or 2025")),
+        part(fields & (z < 12), F.lit(" · outlines from z12")),
+        F.format_string(" · %d ms", ms),
+    )
+
+
 def status_line(z: Column, k: Column, tiles: Column, pixels: Column, drawn: Column, year: Column) -> Column:
     return F.format_string("z%d k%d: %d tiles, %s px, %s drawn, %d", z, k, tiles, F.format_number(pixels, 0), F.format_number(drawn, 0), year)
 
 
 def legend_json(rows: DataFrame, *by: str) -> DataFrame:
-    """``code, name, hex, pct`` in the order of pct (descending) and code as one JSON array
-    a group; a legend has 14 rows at most."""
-    order = F.struct((-F.col("pct")).alias("o"), "code", "name", "hex", "pct")
-    entries = F.transform(F.array_sort(F.collect_list(order)), lambda r: F.struct(r["code"].alias("code"), r["name"].alias("name"), r["hex"].alias("hex"), r["pct"].alias("pct")))
+    """``code, name, hex, pct`` and, where rows have one, ``note``, in the order of the counts
+    ``n`` (descending) and code, as one JSON array a group; a legend has 14 rows at most. A
+    column ``place`` sets another order."""
+    given = [c for c in ("code", "name", "hex", "pct", "note") if c in rows.columns]
+    first = F.col("place") if "place" in rows.columns else -F.col("n")
+    sorted_rows = F.array_sort(F.collect_list(F.struct(first.alias("o"), *given)))
+    entries = F.transform(sorted_rows, lambda r: F.struct(*[r[c].alias(c) for c in given]))
     return rows.groupBy(*by).agg(F.to_json(entries).alias("legend"))
 
 
+def disagreement_notes(counts: DataFrame, kinds: DataFrame, fields: bool) -> DataFrame:
+    """The legend of the disagreement: all of ``kinds(kind, label, hex)`` in their order, those
+    without a cell too, their share of ``counts(kind, n, acres)`` (acres a cell), and a note:
+    the area in thousands of acres, or, where fields clip, why kind 2 has none."""
+    whole = F.greatest(F.sum("n").over(Window.partitionBy()), F.lit(1))
+    acres = F.max("acres").over(Window.partitionBy())
+    every = F.broadcast(kinds).join(counts, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    area = F.concat(F.format_number(F.coalesce(F.col("n") * acres, F.lit(0.0)) / 1e3, 1), F.lit("k ac"))
+    note = F.when(F.lit(fields) & (F.col("kind") == 2), "turn fields off to see").otherwise(area)
+    return every.select(F.col("kind").alias("code"), F.col("label").alias("name"), "hex", F.round(100.0 * F.col("n") / whole, 1).alias("pct"), note.alias("note"), F.col("kind").alias("place"), "n")
+
+
 def metres_per_pixel(lat: Column, z: Column) -> Column:
     """Ground metres of a pixel of a 256-pixel tile at a latitude and zoom."""
     return 2 * math.pi * geo.SEMI_MAJOR / 256 * F.cos(F.radians(lat)) / F.pow(F.lit(2.0), z)

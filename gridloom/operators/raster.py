@@ -45,6 +45,15 @@ def disagreement(cells: DataFrame, classes: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).drop("noncrop")
 
 
+def select_classes(cells: DataFrame, picked: DataFrame) -> DataFrame:
+    """``cells`` with ``shown``: a pixel's code if ``picked(code)`` has it, else 0. Without any
+    picked class all are shown. Counts made of ``code`` stay those of all pixels."""
+    if picked.isEmpty():
+        return cells.withColumn("shown", F.col("code"))
+    marks = picked.select("code", F.lit(True).alias("mark"))
+    return cells.join(marks, "code", "left").withColumn("shown", F.when(F.col("mark"), F.col("code")).otherwise(0)).drop("mark")
+
+
 def histogram(cells: DataFrame, by: str = "code") -> DataFrame:
     return cells.filter(F.col(by) > 0).groupBy(by).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,19 +111,30 @@ _CELLS = """, c AS (SELECT *, CAST(trunc(({0} + 2417835e0) / 30720e0) AS BIGINT)
   CAST(floor((83.748345e0 - lat) / (8.98311982e-05 * 8192)) AS BIGINT) AS fy, CAST(floor((lon + 180) / (8.98311982e-05 * 8192)) AS BIGINT) AS fx FROM l)""".format(*_albers_sql("lon", "lat"))
 
 
-def _lattice_fields(spark, sf_dir):
-    return views.probability(spark, sf_dir).filter(ops.in_field())
+def _lattice_fields(spark, sf_dir, window=None):
+    """The cells of the probability grid that are fields; a window's rows reach the scan."""
+    if window is None:
+        return views.probability(spark, sf_dir).filter(ops.in_field())
+    return lat.within(views.probability(spark, sf_dir, window[0]).filter(ops.in_field()), window)
+
+
+def _raster_within(spark, sf_dir, years, window):
+    """The raster in a window, whose rows reach the scan."""
+    some = views.stored_rows(views.raster(spark, sf_dir, years), window[0])
+    return lat.within(some, window, len(years))
 
 
 @query(_TILE_LATTICE + _CELLS + """ SELECT c.x, c.y, c.j, c.i, coalesce(r.code, 0) AS code, coalesce(f.field, false) AS field FROM c
 LEFT JOIN (SELECT iy, ix, code FROM raster WHERE year = 2025) r ON r.iy = c.cy AND r.ix = c.cx LEFT JOIN field f ON f.iy = c.fy AND f.ix = c.fx""")
 def lattice_lookup(spark, sf_dir):
     """Tiles' pixel centres, the raster cell and the mask cell under each: truncated and
-    floored positions, 0 and false outside."""
+    floored positions, 0 and false outside. Both grids are read in the tiles' window only."""
     z, x, y = F.lit(4), F.col("x"), F.col("y")
     tiles = spark.range(2, 5).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(5), F.lit(6))).alias("y")).withColumn("box", lat.tile_box(z, x, y))
-    found = lat.look_up(lat.samples(tiles, F.lit(64), F.lit(64)), views.raster(spark, sf_dir, [2025]), PIXEL)
-    return lat.look_up_field(found, _lattice_fields(spark, sf_dir), FACTOR).select("x", "y", "j", "i", "code", "field")
+    raster = _raster_within(spark, sf_dir, [2025], lat.raster_window(tiles, PIXEL))
+    found = lat.look_up(lat.samples(tiles, F.lit(64), F.lit(64)), raster, PIXEL)
+    fields = _lattice_fields(spark, sf_dir, lat.grid_window(tiles, FACTOR))
+    return lat.look_up_field(found, fields, FACTOR).select("x", "y", "j", "i", "code", "field")
 
 
 _VIEW_LATTICE = f""", v AS (SELECT {_box_sql(_num(CAMERA[0]), _num(CAMERA[1]), _num(CAMERA[2]))}),
@@ -132,13 +144,17 @@ l AS (SELECT j, i, nx, ny, (e - w) / nx * 111.32e0 * cos(radians((n + s) / 2)) *
   w + (j + 0.5e0) * (e - w) / nx AS lon, n - (i + 0.5e0) * (n - s) / ny AS lat FROM sz, (SELECT unnest(range(2000)) AS j), (SELECT unnest(range(2000)) AS i) WHERE j < nx AND i < ny)""" + _CELLS
 
 
-def _view_lattice(spark):
-    """The samples of CAMERA's view, with the ground area of one."""
+def _sized_view(spark):
+    """CAMERA's view with its samples along both axes and the ground area of one."""
     box = F.col("box")
     view = spark.range(1).select(lat.view_box(*[F.lit(v) for v in CAMERA]).alias("box"))
     nx, ny = lat.view_size(box, PIXEL)
-    sized = view.withColumn("nx", nx).withColumn("ny", ny).withColumn("acres", lat.sample_acres(box, F.col("nx"), F.col("ny")))
-    return lat.samples(sized, F.col("nx"), F.col("ny")).drop("box")
+    return view.withColumn("nx", nx).withColumn("ny", ny).withColumn("acres", lat.sample_acres(box, F.col("nx"), F.col("ny")))
+
+
+def _view_lattice(spark):
+    """The samples of CAMERA's view, with the ground area of one."""
+    return lat.samples(_sized_view(spark), F.col("nx"), F.col("ny")).drop("box")
 
 
 @query(_VIEW_LATTICE + " SELECT nx, ny, count(*) AS samples, round(min(acres), 3) AS acres, round(min(lon), 8) AS west, round(max(lat), 8) AS north FROM c GROUP BY nx, ny")
@@ -151,11 +167,14 @@ _SAMPLED = _VIEW_LATTICE + ", h AS (SELECT r.year, r.code, count(*) AS n, min(c.
 
 
 def _sampled(spark, sf_dir, years):
-    """Counts by year and code over the view's samples that are fields."""
-    clipped = lat.look_up_field(_view_lattice(spark), _lattice_fields(spark, sf_dir), FACTOR).filter("field")
+    """Counts by year and code over the view's samples that are fields, from its window."""
+    view = _sized_view(spark)
+    fields = _lattice_fields(spark, sf_dir, lat.grid_window(view, FACTOR))
+    clipped = lat.look_up_field(_view_lattice(spark), fields, FACTOR).filter("field")
     x, y = geo.albers(F.col("lon"), F.col("lat"))
     cells = clipped.withColumn("ix", geo.raster_cell(x, lat.RASTER_EXTENT[0], PIXEL)).withColumn("iy", geo.raster_cell(lat.RASTER_EXTENT[3] - y, 0.0, PIXEL))
-    found = cells.join(views.raster(spark, sf_dir, years), ["iy", "ix"]).filter("code > 0")  # outside is 0, which isn't counted
+    raster = _raster_within(spark, sf_dir, years, lat.raster_window(view, PIXEL))
+    found = cells.join(raster, ["iy", "ix"]).filter("code > 0")  # outside is 0, which isn't counted
     return found.groupBy("year", "code").agg(F.count("*").alias("n"), F.min("acres").alias("acres"))
 
 
@@ -168,14 +187,14 @@ def analyze_lattice(spark, sf_dir):
     return named.select("code", "name", "n", F.round(F.col("n") * F.col("acres"), 1).alias("acres"), share.alias("pct"))
 
 
-@query(_SAMPLED + """, t AS (SELECT code FROM h WHERE year = 2025 ORDER BY n DESC, code LIMIT 6), s AS (SELECT year, code, n FROM h JOIN t USING (code)),
+@query(_SAMPLED + """, t AS (SELECT code FROM h WHERE year = 2025 AND code <> 81 ORDER BY n DESC, code LIMIT 6), s AS (SELECT year, code, n FROM h JOIN t USING (code)),
 g AS (SELECT year, code FROM (SELECT DISTINCT year FROM s), (SELECT DISTINCT code FROM s))
 SELECT year, code, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST((SELECT greatest(max(n), 1) FROM s) AS DOUBLE), 9) AS height FROM g LEFT JOIN s USING (year, code)""")
 def timelapse_series(spark, sf_dir):
-    """All years' counts of the current top six over the same samples and mask, filled with
-    zeros, with the height in the chart."""
+    """All years' counts of the current top six (after the drop list) over the same samples
+    and mask, filled with zeros, with the height in the chart."""
     counts = _sampled(spark, sf_dir, views.YEARS)
-    top = counts.filter("year = 2025").orderBy(F.desc("n"), "code").limit(6)
+    top = counts.filter("year = 2025 and code != 81").orderBy(F.desc("n"), "code").limit(6)
     return lat.timelapse_series(counts.select("year", "code", "n"), top)
 
 
@@ -260,20 +279,30 @@ def geocode_zoom(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(k.alias("id"), geo.place_label(name, city, state, F.lit("query")).alias("label"), F.round(geo.span_zoom(west, d / 2, d, F.lit(0.0)), 9).alias("zoom"))
 
 
-@query(_TILES + f""", b AS (SELECT *, x / pow(2e0, z) * 360 - 180 AS w, (x + 1) / pow(2e0, z) * 360 - 180 AS e, {_edge_sql('y + 1', 'z')} AS s, {_edge_sql('y', 'z')} AS n FROM tiles)
-SELECT z, state, round(min(w), 8) AS w, round(min(s), 8) AS s, round(max(e), 8) AS e, round(max(n), 8) AS n, min(x // 512) AS cx0, max(x // 512) AS cx1, count(*) AS requests, count(DISTINCT x * 65536 + y) AS tiles, count(*) FILTER ((x + y) % 3 <> 0) AS misses FROM b GROUP BY z, state""")
+@query(_TILES + f""", b AS (SELECT *, x / pow(2e0, z) * 360 - 180 AS w, (x + 1) / pow(2e0, z) * 360 - 180 AS e, {_edge_sql('y + 1', 'z')} AS s, {_edge_sql('y', 'z')} AS n FROM tiles),
+held AS (SELECT DISTINCT 3 + user_id % 13 AS z, user_id % 64 // 4 AS cx, user_id % 48 // 4 AS cy FROM events WHERE event_type = 'view')
+SELECT z, state, round(min(w), 8) AS w, round(min(s), 8) AS s, round(max(e), 8) AS e, round(max(n), 8) AS n,
+  min(x // 512) FILTER (misses) AS cx0, max(x // 512) FILTER (misses) AS cx1, min(y // 512) FILTER (misses) AS cy0, max(y // 512) FILTER (misses) AS cy1,
+  count(*) AS requests, count(DISTINCT x * 65536 + y) AS tiles, count(*) FILTER (misses) AS misses
+FROM (SELECT b.*, k.cx IS NULL AS misses FROM b LEFT JOIN held k ON k.z = b.z AND k.cx = b.x // 512 AND k.cy = b.y // 512) GROUP BY z, state""")
 def batch_summary(spark, sf_dir):
-    """A batch's union box, the bounds of its chunks, its tiles and misses."""
-    x, y = F.col("x"), F.col("y")
-    boxes = _tiles(spark, sf_dir).withColumn("b", lat.tile_box(F.col("z"), x, y))
+    """A batch's union box, its tiles and misses, and the bounds of the chunks that an earlier
+    batch's table doesn't hold: of these alone, along both axes."""
+    x, y, u = F.col("x"), F.col("y"), F.col("user_id")
+    boxes = _tiles(spark, sf_dir).withColumn("b", lat.tile_box(F.col("z"), x, y)).withColumn("cx", F.floor(x / 512)).withColumn("cy", F.floor(y / 512))
+    earlier = _table(spark, sf_dir, "events").filter("event_type = 'view'")
+    held = earlier.select((3 + u % 13).alias("z"), F.floor(u % 64 / 4).alias("cx"), F.floor(u % 48 / 4).alias("cy"), F.lit(True).alias("held")).distinct()
+    told = boxes.join(held, ["z", "cx", "cy"], "left").withColumn("misses", F.col("held").isNull())
     edges = [F.round(f(f"b.{k}"), 8).alias(k) for k, f in (("w", F.min), ("s", F.min), ("e", F.max), ("n", F.max))]
-    chunk = F.floor(x / 512)
-    return boxes.groupBy("z", "state").agg(*edges, F.min(chunk).alias("cx0"), F.max(chunk).alias("cx1"), F.count("*").alias("requests"), F.count_distinct(x * 65536 + y).alias("tiles"), F.count_if((x + y) % 3 != 0).alias("misses"))
+    missed = lambda f, c: f(F.when(F.col("misses"), F.col(c)))
+    chunks = [missed(f, c).alias(f"{c}{i}") for c in ("cx", "cy") for i, f in enumerate((F.min, F.max))]
+    tiles = F.count_distinct(x * 65536 + y).alias("tiles")
+    return told.groupBy("z", "state").agg(*edges, *chunks, F.count("*").alias("requests"), tiles, F.count_if("misses").alias("misses"))
 
 
 @query(""", h AS (SELECT year, code, count(*) AS n FROM raster WHERE year >= 2024 AND code NOT IN (0, 81) GROUP BY ALL),
 s AS (SELECT *, round(100e0 * n / sum(n) OVER (PARTITION BY year), 1) AS pct, row_number() OVER (PARTITION BY year ORDER BY n DESC, code) AS rn FROM h)
-SELECT year, CAST(to_json(list({'code': code, 'name': name, 'hex': hex, 'pct': pct} ORDER BY pct DESC, code)) AS VARCHAR) AS legend FROM s JOIN classes USING (code) WHERE rn <= 14 GROUP BY year""")
+SELECT year, CAST(to_json(list({'code': code, 'name': name, 'hex': hex, 'pct': pct} ORDER BY n DESC, code)) AS VARCHAR) AS legend FROM s JOIN classes USING (code) WHERE rn <= 14 GROUP BY year""")
 def legend_json(spark, sf_dir):
     """Each year's legend as the text that a client reads."""
     kinds = views.classes(spark)
@@ -348,7 +377,12 @@ def confidence_nonnull(spark, sf_dir):
 def view_chain(spark, sf_dir):
     """Temporary views, each made from the one before: pixels, fields by year, and how many
     fields had the crop of 2025 then."""
-    views.raster(spark, sf_dir, range(2023, 2026)).createOrReplaceTempView("chain_pixels")
-    spark.sql("CREATE OR REPLACE TEMP VIEW chain_counts AS SELECT iy DIV 10 AS fy, ix DIV 10 AS fx, year, code, count(*) AS n FROM chain_pixels WHERE code > 0 GROUP BY ALL")
-    spark.sql("CREATE OR REPLACE TEMP VIEW chain_fields AS SELECT fy, fx, year, max_by(code, n * 1000 - code) AS code FROM chain_counts GROUP BY ALL")
-    return spark.sql("SELECT a.year, count(*) AS fields, count_if(a.code = b.code) AS same FROM chain_fields a JOIN chain_fields b ON a.fy = b.fy AND a.fx = b.fx AND b.year = 2025 GROUP BY a.year")
+    pixels, counts, fields = (f"chain_{step}_{uuid.uuid4().hex}" for step in ("pixels", "counts", "fields"))
+    views.raster(spark, sf_dir, range(2023, 2026)).createOrReplaceTempView(pixels)
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW {counts} AS SELECT iy DIV 10 AS fy, ix DIV 10 AS fx, year, code, count(*) AS n FROM {pixels} WHERE code > 0 GROUP BY ALL")
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW {fields} AS SELECT fy, fx, year, max_by(code, n * 1000 - code) AS code FROM {counts} GROUP BY ALL")
+    same = "SELECT a.year, count(*) AS fields, count_if(a.code = b.code) AS same"
+    found = spark.sql(f"{same} FROM {fields} a JOIN {fields} b ON a.fy = b.fy AND a.fx = b.fx AND b.year = 2025 GROUP BY a.year")
+    for name in (fields, counts, pixels):  # the plan has them by now
+        spark.catalog.dropTempView(name)
+    return found

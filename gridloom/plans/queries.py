@@ -165,10 +165,17 @@ def disagreement_split(spark, sf_dir):
     return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query(_KIND + " SELECT kind, n AS counted, CASE WHEN kind IN (1, 3) THEN n ELSE 0 END AS drawn FROM h")
+@query(""", picked AS (SELECT DISTINCT p_size * 5 % 256 AS code FROM part), px AS (
+  SELECT iy // 32 AS ty, ix // 32 AS tx, r.code, p.code IS NOT NULL AS kept FROM raster r LEFT JOIN picked p USING (code) WHERE year = 2025 AND r.code NOT IN (0, 81))
+SELECT ty, tx, code, count(*) AS counted, count(*) FILTER (kept) AS drawn FROM px GROUP BY ALL""")
 def selection_after_count(spark, sf_dir):
-    counts = ops.histogram(_kinds(spark, sf_dir), "kind")
-    return counts.select("kind", F.col("n").alias("counted"), F.when(F.col("kind").isin(1, 3), F.col("n")).otherwise(0).alias("drawn"))
+    """Tiles' classes: a legend counts all pixels, and of these the selected classes' alone
+    are drawn. The selection comes from a table and is applied pixel by pixel."""
+    cells = ops.drop_codes(views.raster(spark, sf_dir, [2025]), views.classes(spark), False).filter("code > 0")
+    picked = _table(spark, sf_dir, "part").select((F.col("p_size") * 5 % 256).alias("code")).distinct()
+    kept = ops.select_classes(cells, F.broadcast(picked))  # no more than there are classes
+    tile = [F.floor(F.col(c) / 32).alias(t) for c, t in (("iy", "ty"), ("ix", "tx"))]
+    return kept.groupBy(*tile, "code").agg(F.count("*").alias("counted"), F.count_if(F.col("shown") > 0).alias("drawn"))
 
 
 @query(" SELECT code, count(*) AS n FROM raster WHERE year = 2025 AND code IN (3, 17, 42) GROUP BY code")
@@ -215,10 +222,16 @@ def state_overlap(spark, sf_dir):
     return boxes.join(F.broadcast(states), meets).select("id", "st")
 
 
-@query(_TILES + ", k AS (SELECT DISTINCT z, x, y, state FROM tiles) SELECT z, x, y, state FROM k WHERE (x + y) % 3 <> 0")
+@query(_TILES + """, held AS (SELECT 3 + o_orderkey % 13 AS z, (o_orderkey * 7919) % CAST(pow(2, 3 + o_orderkey % 13) AS BIGINT) AS x,
+  (o_orderkey * 104729) % CAST(pow(2, 3 + o_orderkey % 13) AS BIGINT) AS y, o_custkey % 3 AS state FROM orders)
+SELECT DISTINCT z, x, y, state FROM tiles ANTI JOIN held USING (z, x, y, state)""")
 def missing_keys(spark, sf_dir):
-    keys = _tiles(spark, sf_dir).select("z", "x", "y", "state").distinct()
-    return keys.join(keys.filter("(x + y) % 3 = 0"), ["z", "x", "y", "state"], "left_anti")
+    """Requested tiles that the cache, a table of its own, doesn't hold under their state."""
+    key, i = ["z", "x", "y", "state"], F.col("o_orderkey")
+    z = 3 + i % 13
+    n = F.pow(F.lit(2.0), z).cast("long")
+    held = _table(spark, sf_dir, "orders").select(z.alias("z"), (i * 7919 % n).alias("x"), (i * 104729 % n).alias("y"), (F.col("o_custkey") % 3).alias("state"))
+    return _tiles(spark, sf_dir).select(*key).distinct().join(held, key, "left_anti")
 
 
 @query(_TILES + " SELECT z, state, date_trunc('hour', ts) AS batch, count(*) AS requests, count(DISTINCT x * 65536 + y) AS tiles FROM tiles GROUP BY ALL")

@@ -35,9 +35,12 @@ def stored_rows(raster: DataFrame, rows: tuple[int, int]) -> DataFrame:
     return raster.filter(F.col("key").between(rows[0] * WIDTH, (rows[1] + 1) * WIDTH - 1))
 
 
-def probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def probability(spark: SparkSession, sf_dir: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    """``rows``, bounds included, reach the scan."""
     p = ((F.col("key") * 7919 + 104729) % 1000) / 1000.0
-    return cells(spark, sf_dir).select("iy", "ix", F.when(F.col("key") % 97 == 0, F.lit(float("nan"))).otherwise(p).alias("p"))
+    some = cells(spark, sf_dir)
+    some = some if rows is None else stored_rows(some, rows)
+    return some.select("iy", "ix", F.when(F.col("key") % 97 == 0, F.lit(float("nan"))).otherwise(p).alias("p"))
 
 
 def classes(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, mixing, warc_revisit
+from gridloom.llm import components, langid, mixing, ngram_jaccard, warc_revisit
 
 HEADERS = "map<string,string>"
 
@@ -99,3 +99,38 @@ def test_mixing_has_no_hot_range(spark, tmp_path, kind, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(seen) >= 3 and max(r["count"] for r in seen) <= 2 * n / len(seen)
+
+
+@pytest.mark.parametrize("shape", ["chain", "stars", "random", "cycle", "none"])
+def test_components_by_union_find(spark, shape):
+    rng = np.random.default_rng(5)
+    pairs = {
+        "chain": [(i, i + 1) for i in range(40)], "stars": [(i, i // 10 * 10) for i in range(60)], "cycle": [(i, (i + 1) % 17) for i in range(17)] + [(3, 3)],
+        "random": [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))], "none": [(4, 4)],
+    }[shape]
+    best = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in best:
+        for a, b in pairs:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    found = components.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert sorted((r.node, r.label) for r in found) == sorted(best.items())
+
+
+def test_every_link_between_classes(spark):
+    """jaccard_classes gives all links between different sets, where components need fewer."""
+    rng, words = np.random.default_rng(9), [f"w{i}" for i in range(200)]
+    base, rows = list(rng.choice(words, 150)), []
+    for i in range(12):
+        text = list(base)
+        for _ in range(i % 4):
+            text[int(rng.integers(150))] = f"x{int(rng.integers(9))}"
+        rows.append((i, " ".join(text)))
+    rows += [(20, None), (21, ""), (22, rows[0][1]), (23, "other words here that link with nothing at all")]
+    light, links = ngram_jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100, every_link=True)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows if t}
+    cls = {r.doc_id: bytes(r.cls) if r.cls else None for r in light.collect()}
+    assert cls[20] is None and cls[21] is None and cls[22] == cls[0]
+    want = {frozenset((cls[a], cls[b])) for a in sets for b in sets if cls[a] != cls[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = [frozenset((bytes(r.u), bytes(r.v))) for r in links.collect()]
+    assert set(found) == want and len(found) == len(want) > 3

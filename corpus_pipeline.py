@@ -6,13 +6,11 @@ read again as the next stage's docs. All but the last return the columns of docu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, mixing, ngram_jaccard, packing, secrets
-from gridloom.llm.common import discard, materialize, shared_dir, sized, with_row_keys
+from gridloom.llm.common import discard, materialize, sized, with_row_keys
 
 #: Packing tokenizes and mixing samples; SQL can't express the stages.
 ORACLE_SQL = None
@@ -94,11 +92,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written and read again."""
+    """Apply the stages to ``documents``, each written and read again. A stage's table goes
+    once the next one stands; the last stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        made = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(docs)
+        docs = made
     return docs
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,3 +47,32 @@ def render_tiles(pixels: DataFrame, classes: DataFrame, outlines: DataFrame | No
     if outlines is not None:
         rows = rows.unionByName(line_pixels(outlines).select("tile", "px", "py", *[F.lit(v).alias(c) for v, c in zip(line, "rgba", strict=True)], F.lit(1).alias("top")))
     return rows.groupBy("tile").applyInPandas(_image, f"tile {pixels.schema['tile'].dataType.simpleString()}, drawn long, png binary")
+
+
+def pixels_of_png(data: bytes) -> np.ndarray:
+    """The RGBA array of an image that ``png`` wrote. Raises ValueError for other images."""
+    at, parts = 8, {}
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        parts.setdefault(kind, []).append(data[at + 8 : at + 8 + size])
+        at += size + 12
+    width, height, depth, colour = struct.unpack_from(">IIBB", parts[b"IHDR"][0])
+    rows = np.frombuffer(zlib.decompress(b"".join(parts[b"IDAT"])), np.uint8).reshape(height, -1)
+    if (depth, colour) != (8, 6) or rows[:, 0].any():
+        raise ValueError("not an 8-bit RGBA image with unfiltered rows")
+    return rows[:, 1:].reshape(height, width, 4)
+
+
+def colour_counts(images: DataFrame) -> DataFrame:
+    """``(tile, png)`` -> ``(tile, colour, n)``: the pixels of each colour, as RRGGBB."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for tile, data in zip(pdf["tile"], pdf["png"], strict=True):
+                rgba = pixels_of_png(data).reshape(-1, 4).astype(np.int64)
+                shown = rgba[rgba[:, 3] > 0] @ np.array([1 << 16, 1 << 8, 1, 0])
+                colours, n = np.unique(shown, return_counts=True)
+                yield pd.DataFrame({"tile": [tile] * len(n), "colour": [f"{c:06x}" for c in colours], "n": n})
+
+    kind = images.schema["tile"].dataType.simpleString()
+    return images.select("tile", "png").mapInPandas(rows, f"tile {kind}, colour string, n long")

@@ -12,6 +12,7 @@ from ..operators import fields as fld
 from ..operators import lattice as lat
 from ..operators import polylines
 from ..operators import raster as ops
+from ..operators import render
 from ..sources import views
 from ..sources.objects import working_dir
 from .lattice_queries import PIXEL
@@ -247,6 +248,19 @@ def request_lines(spark, sf_dir):
     return every.agg(F.count_distinct("state").alias("states"), F.count("*").alias("lines"), F.sum(F.size("line")).alias("points"))
 
 
+# Tiles.
+
+
+@query(""" SELECT (iy // 64) * 10 + ix // 64 AS tile, substr(hex, 2) AS colour, count(*) AS n
+FROM raster JOIN classes USING (code) WHERE year = 2025 AND code NOT IN (0, 81) GROUP BY ALL""")
+def rendered_tiles(spark, sf_dir):
+    """Tiles as PNG images, read back: how many pixels of each class's colour they show."""
+    cells = ops.drop_codes(views.raster(spark, sf_dir, [2025]), views.classes(spark), False)
+    tile = F.floor(F.col("iy") / 64) * 10 + F.floor(F.col("ix") / 64)
+    pixels = cells.select(tile.alias("tile"), (F.col("ix") % 64).cast("int").alias("px"), (F.col("iy") % 64).cast("int").alias("py"), "code")
+    return render.colour_counts(render.render_tiles(pixels, views.classes(spark)))
+
+
 # Orders and texts.
 
 

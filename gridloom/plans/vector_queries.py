@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vector
+from ..operators import nearest, vector
 from ..sources import views
+from ..sources.objects import working_dir
 from ..streaming import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,16 +134,43 @@ def view_prefetch(spark, sf_dir):
     return requests.view_tiles(shown).distinct()
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_name AS name, -120e0 + c_custkey * 37 % 500 / 10e0 AS lon, 25e0 + c_custkey * 91 % 240 / 10e0 AS lat, c_mktsegment AS kind FROM customer)
-SELECT s_suppkey AS q, arg_min(p.id, ((p.lon - (-100e0 + s_suppkey % 20)) * (p.lon - (-100e0 + s_suppkey % 20)) + (p.lat - (30e0 + s_suppkey % 13)) * (p.lat - (30e0 + s_suppkey % 13))) * 1e9 + p.id) AS id FROM supplier JOIN p ON p.kind = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] GROUP BY s_suppkey""")
+@query("""WITH p AS (
+  SELECT c_custkey AS id, -120e0 + c_custkey * 37 % 500 / 10e0 AS lon, 25e0 + c_custkey * 91 % 240 / 10e0 AS lat, c_mktsegment AS kind FROM customer
+), a AS (
+  SELECT s_suppkey AS q, -100e0 + s_suppkey % 20 AS at_, 30e0 + s_suppkey % 13 AS up, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] AS kind FROM supplier
+), d AS (
+  SELECT q, id, (lon - at_) * (lon - at_) + (lat - up) * (lat - up) AS away FROM a JOIN p USING (kind)
+)
+SELECT q, id FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY away, id) AS rn FROM d) WHERE rn = 1""")
 def nearest_place(spark, sf_dir):
-    """The first hit of a gazetteer: matching places, the nearest to the camera."""
-    k, names = F.col("c_custkey"), F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")])
+    """The first hit of a gazetteer: of the places of a kind the one nearest to the camera."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    names = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")])
     places = _table(spark, sf_dir, "customer").select(k.alias("id"), (-120.0 + k * 37 % 500 / 10.0).alias("lon"), (25.0 + k * 91 % 240 / 10.0).alias("lat"), F.col("c_mktsegment").alias("kind"))
-    asked = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("q"), (-100.0 + F.col("s_suppkey") % 20).alias("at"), (30.0 + F.col("s_suppkey") % 13).alias("up"), F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("kind"))
-    east, north = F.col("lon") - F.col("at"), F.col("lat") - F.col("up")
-    away = (east * east + north * north) * 1e9 + F.col("id")
-    return asked.join(places, "kind").groupBy("q").agg(F.min_by("id", away).alias("id"))
+    asked = _table(spark, sf_dir, "supplier").select(s.alias("q"), (-100.0 + s % 20).alias("lon"), (30.0 + s % 13).alias("lat"), F.element_at(names, (s % 5 + 1).cast("int")).alias("kind"))
+    return nearest.nearest_places(asked, places).select("q", "id")
+
+
+@query("""WITH r AS (SELECT event_id, 3 + event_id % 9 AS z, event_id * 7 % 64 AS x, user_id % 32 AS y, user_id % 3 AS state, event_id // 2500 AS part FROM events),
+k AS (SELECT z, x, y, state, min(part) AS part FROM r GROUP BY ALL)
+SELECT z, x, y, state, z * 10000 + x * 100 + y AS tile FROM k""")
+def served_requests(spark, sf_dir):
+    """Requests as a stream of files: each tile is rendered once, whichever batch asks first. A
+    batch that fails is recorded, and its tiles come with the next one."""
+    e, inbox, out = F.col("event_id"), working_dir(spark), working_dir(spark)
+    asked = _table(spark, sf_dir, "events").select((3 + e % 9).alias("z"), (e * 7 % 64).alias("x"), (F.col("user_id") % 32).alias("y"), (F.col("user_id") % 3).alias("state"), F.floor(e / 2500).alias("part"))
+    asked.repartitionByRange(4, "part").drop("part").write.parquet(inbox)
+    stream = spark.readStream.schema("z long, x long, y long, state long").option("maxFilesPerTrigger", 1).parquet(inbox)
+    tries = []
+
+    def render(keys: DataFrame) -> DataFrame:
+        tries.append(1)
+        if len(tries) == 2:
+            raise RuntimeError("the renderer is away")
+        return keys.withColumn("tile", F.col("z") * 10000 + F.col("x") * 100 + F.col("y"))
+
+    requests.serve(stream, render, out, "z long, x long, y long, state long, tile long", f"{out}/log").awaitTermination()
+    return spark.read.parquet(f"{out}/tiles").drop("batch")
 
 
 @query("""WITH v AS (SELECT event_id AS id, CAST(event_id * 977 % 400000 + 500 AS BIGINT) AS w, CAST(event_id * 131 % 300000 + 500 AS BIGINT) AS h FROM events), l AS (SELECT CAST(pow(2, i) AS BIGINT) AS k FROM range(0, 9) t(i))

@@ -34,6 +34,14 @@ def working_dir(spark: SparkSession) -> str:
     return f"{named}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the working folder: cuts lineage, and a lost executor costs
+    a read."""
+    path = working_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def merged(ranges: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]]:
     """``(start, size)`` ranges in order, those nearer than ``gap`` joined."""
     out: list[tuple[int, int]] = []

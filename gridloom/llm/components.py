@@ -13,7 +13,7 @@ HEAVY, HEAVY_NODES = 256, 100_000
 
 
 def _larger_first(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
 
 
 def _with_least(edges: DataFrame, heavy: int) -> DataFrame:
@@ -52,11 +52,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     that are stars need no round. Nothing is collected. Rounds grow with the logarithm of the
     longest chain. Repeated edges and loops change nothing; no edges give no rows.
     """
-    now = materialize(_larger_first(edges), name)
+    now = materialize(_larger_first(edges).distinct(), name)
     while not _settled(now):
         heavy = max(HEAVY, now.count() // HEAVY_NODES)
-        mid = materialize(_larger_first(_large_star(now, heavy)), name)
-        after = materialize(_larger_first(_small_star(mid, heavy)), name)
+        mid = materialize(_larger_first(_large_star(now, heavy)), name)  # no more edges than before, some repeated
+        after = materialize(_larger_first(_small_star(mid, heavy)).distinct(), name)
         discard(now, mid)
         now = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -369,15 +369,16 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     as many as keep the connected components whole. A null or wordless text has no
     shingles, a null class and no links. Rows with one set of shingles share a class.
     """
-    light, links, digests = _numbered_links(docs, words, num, den, every_link)
+    light, links, digests, _ = _numbered_links(docs, words, num, den, every_link)
     ends = [digests.select(F.col("cls").alias(c), F.col("digest").alias(f"{c}_digest")) for c in ("u", "v")]
     named = links.join(ends[0], "u").join(ends[1], "v")
     return light, named.select(F.least("u_digest", "v_digest").alias("u"), F.greatest("u_digest", "v_digest").alias("v"))
 
 
-def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """jaccard_classes with links between numbers of classes, which shuffle as half of a
-    digest, and a frame ``(cls, digest)`` of the numbers of all classes with candidates."""
+    digest, a frame ``(cls, digest)`` of the numbers of all classes with candidates, and,
+    without every_link, their labels ``(cls, label)``: the least class that links reach."""
     rule = Threshold(num, den)
     texts = small_batches(docs).select("doc_id", "text")
     once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
@@ -417,7 +418,7 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     if every_link:
         cluster = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-clusters")
         cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"), F.col("node").alias("label"), F.lit(True).alias("minor"))
-        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links"), digests
+        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links"), digests, None
 
     best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "size"), F.struct(F.col("n"), F.col("b"))).alias("best")).select("a", "best.b", "best.size")
     best = materialize(best, "jaccard-best")
@@ -444,7 +445,14 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     largest = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     largest = materialize(largest.select("cluster", "main"), "jaccard-main")
     rest = state.join(sized(largest), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
-    return light, materialize(links.union(_tiles(signatures, sets_of, rest, rule, False)), "jaccard-links"), digests
+    more = materialize(_tiles(signatures, sets_of, rest, rule, False), "jaccard-links")
+
+    # What the tiles have linked are labels already: their graph is small, or has no edge.
+    at = lambda c: labelled.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
+    between = more.join(at("u"), "u").join(at("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    merged = components(between, "jaccard-last").select(F.col("node").alias("label"), F.col("label").alias("least"))
+    labels = labelled.join(sized(materialize(merged, "jaccard-merged")), "label", "left").select("cls", F.coalesce("least", "label").alias("label"))
+    return light, links.union(more), digests, labels
 
 
 def _mark(cls: str) -> Column:
@@ -463,8 +471,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     as larger than any other; a component of null ids only has a null id. Rows that
     repeat an id are judged each by its own text. An empty table gives no rows.
     """
-    light, links, digests = _numbered_links(docs, words, num, den, False)
-    labels = components(links, "jaccard-last").select(F.col("node").alias("cls"), "label")
+    light, _, digests, labels = _numbered_links(docs, words, num, den, False)
     labels = labels.join(digests, "cls").select(F.col("digest").alias("cls"), "label")
     least = light.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("m"))
     least = materialize(least.join(labels, "cls", "left").select("cls", "m", "label"), "jaccard-classes")

@@ -79,7 +79,8 @@ def zigzag(v: Column) -> Column:
     return F.shiftright(v, 1).bitwiseXOR(-v.bitwiseAND(F.lit(1).cast("long")))
 
 
-def hex_channel(text: Column, channel: int) -> Column:
+def hex_channel(text: Column | str, channel: int) -> Column:
+    """Red (0), green or blue of a colour written #rrggbb."""
     return F.conv(F.substring(text, 2 + 2 * channel, 2), 16, 10).cast("int")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 NODATA, CLOUDS, THRESHOLD = 0, 81, 0.5
 
 
@@ -84,7 +86,7 @@ def majority_pyramid(raster: DataFrame, k: int) -> DataFrame:
 
 def palette_cycle(classes: DataFrame, size: int = 8) -> DataFrame:
     """Red-dominant classes, in code order, get a place in the safe palette (-1: not red)."""
-    r, g, b = (F.conv(F.substring("hex", 2 + 2 * i, 2), 16, 10).cast("int") for i in range(3))
+    r, g, b = (geo.hex_channel("hex", i) for i in range(3))
     red = (r >= 170) & (g <= 100) & (b <= 110)
     place = (F.row_number().over(Window.partitionBy(red).orderBy("code")) - 1) % size
     return classes.select("code", "name", "noncrop", r.alias("r"), g.alias("g"), b.alias("b"), F.when(red, place).otherwise(-1).alias("safe"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from .vector import line_pixels
 
 TILE = 256
@@ -40,7 +41,7 @@ def render_tiles(pixels: DataFrame, classes: DataFrame, outlines: DataFrame | No
     """``pixels(tile, px, py, code)`` -> ``(tile, drawn, png)``. Codes above 0 take their
     class's colour, the rest stays clear; outlines ``(tile, line)`` in pixels lie on top.
     A tile without pixels and outlines has no row."""
-    rgb = [F.conv(F.substring("hex", 2 + 2 * i, 2), 16, 10).cast("int").alias(c) for i, c in enumerate("rgb")]
+    rgb = [geo.hex_channel("hex", i).alias(c) for i, c in enumerate("rgb")]
     known = pixels.join(F.broadcast(classes.select("code", *rgb)), "code", "left")  # 256 classes
     drawn = F.when((F.col("code") > 0) & F.col("r").isNotNull(), 255).otherwise(0)
     rows = known.select("tile", "px", "py", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"], drawn.alias("a"), F.lit(0).alias("top"))

@@ -107,6 +107,13 @@ def unpack_mask(packed: DataFrame, side: int = CHUNK) -> DataFrame:
     return bit.select((F.col("cy") * side + F.floor(at / side)).alias("iy"), (F.col("cx") * side + at % side).alias("ix"))
 
 
+def finest_level(width: Column, height: Column, base: Column | float, ks: list[int], most: int) -> Column:
+    """The smallest k whose cells (base * k wide) number at most ``most`` in a box; null where
+    even the largest has more."""
+    fits = lambda k: F.ceil(width / (base * k)) * F.ceil(height / (base * k)) <= most
+    return F.array_min(F.filter(F.array(*[F.lit(k).cast("long") for k in ks]), fits))
+
+
 def line_pixels(lines: DataFrame) -> DataFrame:
     """``(tile, line array<struct<x,y>>)`` in pixels of a tile -> distinct ``(tile, px, py)``:
     each segment's steps along its longer axis, kept within 256 by 256."""

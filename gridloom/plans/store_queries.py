@@ -157,6 +157,14 @@ def picked_levels(spark, sf_dir):
     return levels.requested(_level_store(spark, sf_dir), picked).groupBy("grp", "k", "year", "code").agg(F.count("*").alias("n"))
 
 
+@query(_LEVELS + """ SELECT grp, k, year, CASE grp WHEN 10 THEN 30720 ELSE 92160 END * k AS px_m, count(*) AS cells, count(DISTINCT code) AS codes, CAST(sum(code) AS BIGINT) AS total FROM levels GROUP BY grp, k, year""")
+def stored_levels(spark, sf_dir):
+    """All levels of both groups as the store has them."""
+    base = F.when(F.col("grp") == 10, int(BASES[10])).otherwise(int(BASES[30]))
+    by = _level_store(spark, sf_dir).groupBy("grp", "k", "year", (base * F.col("k")).alias("px_m"))
+    return by.agg(F.count("*").alias("cells"), F.count_distinct("code").alias("codes"), F.sum("code").alias("total"))
+
+
 #: The view of the stored analysis: samples as wide as a cell of the finer group's second level.
 _SAMPLE, _K = 2 * PIXEL, 2
 _STORED = _LEVELS + _VIEW_LATTICE.replace("30720e0", f"{_SAMPLE:.0f}e0") + """, placed AS (

@@ -181,3 +181,15 @@ def budget_level(spark, sf_dir):
     fits = lambda k: F.floor(F.col("w") / k) * F.floor(F.col("h") / k) <= 3_000_000
     levels = F.filter(F.array(*[F.lit(1 << j).cast("long") for j in range(9)]), fits)
     return _table(spark, sf_dir, "events").select(i.alias("id"), (i * 977 % 400000 + 500).alias("w"), (i * 131 % 300000 + 500).alias("h")).select("id", F.array_min(levels).alias("k")).filter("k is not null")
+
+
+@query("""WITH v AS (SELECT event_id AS id, event_id * 977 % 90000 + 500e0 AS w, event_id * 131 % 70000 + 500e0 AS h, CASE WHEN event_id % 2 = 0 THEN 10 ELSE 30 END AS base FROM events),
+l AS (SELECT CAST(pow(2, i) AS BIGINT) AS k FROM range(0, 9) t(i))
+SELECT id, base, min(k) AS k FROM v JOIN l ON ceil(w / (base * k)) * ceil(h / (base * k)) <= 1500000 GROUP BY id, base""")
+def join_level(spark, sf_dir):
+    """The finest level with at most 1,500,000 pixel centres in the projected box: what fields
+    are joined with."""
+    i = F.col("event_id")
+    boxes = _table(spark, sf_dir, "events").select(i.alias("id"), (i * 977 % 90000 + 500.0).alias("w"), (i * 131 % 70000 + 500.0).alias("h"), F.when(i % 2 == 0, 10).otherwise(30).alias("base"))
+    level = vector.finest_level(F.col("w"), F.col("h"), F.col("base"), [1 << j for j in range(9)], 1_500_000)
+    return boxes.select("id", "base", level.alias("k")).filter("k is not null")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, langid, mixing, ngram_jaccard, warc_revisit
+from gridloom.llm import components, context_mixing, fingerprint, langid, mixing, ngram_jaccard, warc_revisit
 
 HEADERS = "map<string,string>"
 
@@ -134,3 +134,21 @@ def test_every_link_between_classes(spark):
     want = {frozenset((cls[a], cls[b])) for a in sets for b in sets if cls[a] != cls[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     found = [frozenset((bytes(r.u), bytes(r.v))) for r in links.collect()]
     assert set(found) == want and len(found) == len(want) > 3
+
+
+def test_fingerprints_of_documents_add_up(spark):
+    docs = spark.createDataFrame([(1, "one two\nthree four"), (2, "three four\none two"), (3, "one two"), (4, None), (5, ""), (6, "three four")], "doc_id long, text string")
+    found = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint_documents(docs).collect()}
+    raw = {i: fingerprint.fingerprints([t])[0] for i, t in ((1, "one two\nthree four"), (3, "one two"), (6, "three four"))}
+    assert found[1] == found[2] != found[3] and found[4] == found[5]
+    assert raw[1] == fingerprint.combine(raw[3], raw[6]) and fingerprint.combine(raw[1], raw[6], -1) == raw[3]
+
+
+def test_scores_with_other_samples_for_the_weights(spark):
+    """The counts are those of all texts, whatever the weights are fitted on."""
+    docs = spark.createDataFrame([(i, f"the cat number {i % 7} sat on mat {i % 5} zebra{i}") for i in range(60)], "doc_id long, text string")
+    learn = F.col("doc_id") % 3 != 0
+    few = context_mixing.score_split(docs, learn, ~learn, fit_units=1, fit_words=5).orderBy("doc_id").collect()
+    many = context_mixing.score_split(docs, learn, ~learn).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in few] == [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in many]
+    assert all(r.score < 0 for r in few)

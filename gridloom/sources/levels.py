@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import raster as ops
+from .objects import written
 
 LEVEL = ["grp", "k", "year"]
 SCHEMA = "iy long, ix long, code int, grp int, k int, year int"
@@ -21,18 +21,32 @@ ROW_GROUP = 1 << 20
 SHARPNESS = 1.4
 
 
-def write_levels(raster: DataFrame, path: str, grp: int, ks: list[int]) -> None:
-    """Append a group's ``raster(year, iy, ix, code)`` and its majority levels."""
-    levels = raster.select(F.lit(1).alias("k"), "year", "iy", "ix", "code")
-    for k in ks:
-        if k > 1:
-            coarse = ops.majority_pyramid(raster, k)
-            levels = levels.unionByName(coarse.select(F.lit(k).alias("k"), "year", F.col("ry").alias("iy"), F.col("rx").alias("ix"), "code"))
-    placed = levels.select(F.lit(grp).alias("grp"), F.col("k").cast("int").alias("k"), F.col("year").cast("int").alias("year"), F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), "code")
-    dealt = placed.repartitionByRange("k", "year", "iy", "ix").sortWithinPartitions("k", "year", "iy", "ix")
+def _write(level: DataFrame, path: str, grp: int, k: int) -> None:
+    placed = level.select(F.lit(grp).alias("grp"), F.lit(k).alias("k"), F.col("year").cast("int").alias("year"), F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.col("code").cast("int").alias("code"))
+    dealt = placed.repartitionByRange("year", "iy", "ix").sortWithinPartitions("year", "iy", "ix")
     dealt.write.mode("append").partitionBy(*LEVEL).option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
+def write_levels(raster: DataFrame, path: str, grp: int, ks: list[int]) -> None:
+    """Append a group's ``raster(year, iy, ix, code)`` and its majority levels: the commonest
+    code of each k by k block, ties to the smaller code.
+
+    Codes are counted once a block; a level's counts are sums of those of the level before, as
+    far as its k is a multiple of that one's, so that the finest raster is shuffled once and
+    not once a level.
+    """
+    now, width = None, 1
+    for k in sorted(ks):
+        if k == 1:
+            _write(raster, path, grp, 1)
+            continue
+        if now is None or k % width:
+            now, width = raster.select("year", "iy", "ix", "code", F.lit(1).cast("long").alias("n")), 1
+        cut = lambda c, by=k // width: F.floor(F.col(c) / by).alias(c)
+        now, width = written(now.groupBy("year", cut("iy"), cut("ix"), "code").agg(F.sum("n").alias("n"))), k
+        _write(now.groupBy("year", "iy", "ix").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code")), path, grp, k)
+
+
 def read_levels(spark: SparkSession, path: str) -> DataFrame:
     """All levels; filter or join on (grp, k, year) to read some."""
     return spark.read.schema(SCHEMA).parquet(path)

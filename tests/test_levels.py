@@ -31,18 +31,27 @@ def test_levels_are_folders_of_majorities(spark, store):
     assert found.filter("grp = 30 and k = 4 and year = 2024 and iy = 2 and ix = 1").head().code == best
 
 
-def _scanned(df):
-    """Files that the plan's scans read, by their numbers."""
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan
+def test_levels_that_do_not_divide_each_other(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 4, (13, 17))
+    rows = [(2024, y, x, int(codes[y, x])) for y in range(13) for x in range(17)]
+    levels.write_levels(spark.createDataFrame(rows, "year int, iy long, ix long, code int"), str(tmp_path / "s"), 30, [1, 2, 3, 6])
+    for k in (1, 2, 3, 6):
+        found = {(r.iy, r.ix): r.code for r in levels.read_levels(spark, str(tmp_path / "s")).filter(F.col("k") == k).collect()}
+        want = {}
+        for y in range(0, 13, k):
+            for x in range(0, 17, k):
+                n = np.bincount(codes[y : y + k, x : x + k].ravel(), minlength=4)
+                want[y // k, x // k] = int(n.argmax())
+        assert found == want
 
 
 def test_requests_prune_folders(spark, store, tmp_path):
     spark.createDataFrame([(30, 2, 2025, "x"), (30, 2, 2025, "y")], "grp int, k int, year int, who string").write.parquet(str(tmp_path / "asked"))
     asked = spark.read.parquet(str(tmp_path / "asked"))
     found = levels.requested(levels.read_levels(spark, store), asked.filter("who > 'a'"))
-    assert "dynamicpruning" in _scanned(found).lower()
+    found.collect()
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
     assert found.count() == 900 and found.select("k", "year").distinct().count() == 1
 
 

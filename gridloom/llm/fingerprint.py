@@ -165,9 +165,9 @@ def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame
     rows.
 
     Ids are cut into ranges by quantiles of the ids alone (``buckets``, by default four a
-    shuffle partition, and no fewer than one a RANGE_CHARS of text, so ranges don't grow
-    with the table, and a partition gets several of them); texts are shuffled once, to
-    their range. A range's last document needs the next range's first: those few rows are
+    shuffle partition, and no fewer than one a RANGE_CHARS of text up to MOST_RANGES of them,
+    so ranges grow only beyond 6.4 TB, where a task streams through more of them; rows of one
+    id are in one range, however many there are); texts are shuffled once, to their range. A range's last document needs the next range's first: those few rows are
     read twice.
     """
     spark = docs.sparkSession

@@ -276,7 +276,9 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed)``, a row for
-    each input row; a null or empty text has no spans; other columns are ignored."""
+    each input row, repeated ones too; a null or empty text has no spans; texts are scanned
+    whole, however long; null ids stay null; other columns are ignored, whatever their names;
+    an empty table gives no rows."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

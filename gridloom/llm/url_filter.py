@@ -126,7 +126,8 @@ def filter_urls(pages: DataFrame, model: tuple[list[float], float], rules: list[
     verdict: the longest fitting rule's, else block where the model's probability is
     0.5 or more, else allow. A null, empty or malformed url has empty host and path,
     fits no rule and is judged by the model like any other text; long urls are judged
-    whole; repeated rows are judged alike; other columns are ignored.
+    whole; repeated rows are judged alike; other columns are ignored; an empty table gives no
+    rows.
     """
     weights, bias = model
     array = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one literal

@@ -1,13 +1,15 @@
 """Cases that earlier versions got wrong, and operators against plain versions."""
 
+import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, context_mixing, fingerprint, langid, mixing, ngram_jaccard, url_filter, warc_revisit
+from gridloom.llm import components, context_mixing, fingerprint, langid, mixing, ngram_jaccard, packing, secrets, topk_search, url_filter, warc_revisit
 
 HEADERS = "map<string,string>"
 
@@ -225,3 +227,73 @@ def test_no_pages_and_no_labels(spark):
     none = url_filter.train(spark.createDataFrame([], "url string, bad int"))
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), none).collect() == []
     assert {r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(1, "http://q.info/")], "page_id long, url string"), none).collect()} == {"block"}
+
+
+CLASHING = "doc_id long, text string, source string, lang string, key string, part int, learn boolean, unit int, spans string, bucket int, _judged int, ids string"
+
+
+def _clashing(spark, texts):
+    rows = [(i, t, "ab"[i % 2], "en" if i % 2 else "de", "k", 1, True, 2, "s", 3, 4, "i") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+LONG = "the cat sat on the mat and so on " * 20_000
+
+
+def test_packing_with_clashing_columns_long_texts_and_empty_tables(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    texts = [LONG, None, "", "a b c", "a b c"]
+    plain = tokenizers.Tokenizer.from_file(path)
+    want = {i: [*(plain.encode(t or "", add_special_tokens=False).ids), 2] for i, t in enumerate(texts)}
+    found = packing.pack(_clashing(spark, texts), path).collect()
+    for i, ids in want.items():
+        pieces = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found if r.doc_id == i)
+        at = 0
+        for start, length, crc, total in pieces:
+            assert start == at and total == len(ids)
+            assert crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert packing.pack(_clashing(spark, texts).limit(0), path).collect() == []
+
+
+def test_packing_to_targets_end_to_end(spark):
+    """With targets, early windows hold the sources in the proportions asked for."""
+    public = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(i, " ".join(["cat"] * 300), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    found = packing.pack(docs, public.path("word_bpe_49k.json"), length=1024, targets={"a": 3.0, "b": 1.0}).collect()
+    assert {i: sum(r.length for r in found if r.doc_id == i) for i in range(60)} == {i: 301 for i in range(60)}
+    a = sum(r.length for r in found if r.sequence_id == 2 and r.doc_id % 2 == 0)
+    assert abs(a - 768) <= 2
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)])]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1]
+
+
+def test_top_k_of_an_empty_table(spark):
+    assert topk_search.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_secrets_in_long_texts_with_clashing_columns(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts = [LONG + key, None, "", key, key, f"token = {'x' * 9}"]
+    found = {r.doc_id: r for r in secrets.scan_documents(_clashing(spark, texts)).collect()}
+    assert [(found[i].n_access, found[i].n_assign) for i in range(6)] == [(1, 0), (0, 0), (0, 0), (1, 0), (1, 0), (0, 1)]
+    assert found[0].spans.startswith(f"access:{len(LONG)}:{len(LONG) + 20}")
+    assert found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan_documents(_clashing(spark, texts).limit(0)).collect() == []
+
+
+def test_languages_and_scores_of_long_texts_with_clashing_columns(spark):
+    texts = [LONG, "der hund und die katze", "the dog and the cat", None, "und so weiter und so fort", "on the mat"]
+    docs = _clashing(spark, texts)
+    found = {r.doc_id: r.lang_pred for r in langid.identify_split(docs, F.lit(True), F.lit(False)).collect()}
+    assert len(found) == 6 and found[3] == "und"
+    scored = {r.doc_id: r for r in context_mixing.score_split(docs, F.col("doc_id") > 0, F.col("doc_id") == 0).collect()}
+    assert scored[0].n_tokens == 9 * 20_000 + 1 and scored[3].n_tokens == 1
+    assert all(r.score < 0 for r in scored.values())
+    assert context_mixing.score_split(docs.limit(0), F.lit(True), F.lit(False)).collect() == []

@@ -144,6 +144,13 @@ def timelapse_level(base: Column, k: Column) -> Column:
     return F.greatest(F.least(F.pow(F.lit(2.0), F.bround(exact)), F.lit(256.0)), F.lit(1.0)).cast("int")
 
 
+def mask_level(pixel: Column, factors: tuple[int, ...] = (4, 16, 64, 256), metres: float = 10.0) -> Column:
+    """The mask's level for raster pixels of so many metres: the coarsest whose cells are at
+    most four thirds of them wide, the finest where none is."""
+    widest = F.greatest(pixel * 4 / 3, F.lit(metres * min(factors)))
+    return F.array_max(F.filter(F.array(*[F.lit(f) for f in factors]), lambda f: f * metres <= widest))
+
+
 def nearest_level(ratio: float, ks: list[int]) -> int:
     """The level of a group nearest to samples that are ``ratio`` of its finest pixels wide:
     a power of two, halves to even, within what the group has."""

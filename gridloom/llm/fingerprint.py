@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import chunks, hashed_words, mix
@@ -153,6 +153,39 @@ def _with_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _cut_points(base: DataFrame, n: int) -> tuple[list[int], list[int], int]:
+    """Ids that cut all rows into ``n`` parts, about, falling; how many parts each cut's own
+    id fills (1, but for an id that a large share of the rows has); and those of null ids."""
+    at, rows, none = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n), F.count("*"), F.count_if(F.col("doc_id").isNull())).head()
+    cuts = sorted(set(at or []), reverse=True)
+    fills = {c: 0 for c in cuts}
+    for c in at or []:
+        fills[c] += 1
+    return cuts, [fills[c] for c in cuts], max(1, -(-none * n // max(1, rows)))
+
+
+def _range_of(cuts: list[int], fills: list[int], none: int) -> Column:
+    """The number of a row's range, in the order of ids (falling, null last) and, within one
+    id, of the texts' hashes. A cut's own id comes first behind
+    it: in as many ranges as it fills, and the ids up to the next cut in one more."""
+    rising = np.array(cuts[::-1], dtype=np.int64)
+    first = np.cumsum([1, *(f + 1 for f in fills)])  # of each cut's own id; ids above all cuts are in range 0
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = ids.to_numpy(np.int64)
+        behind = len(rising) - np.searchsorted(rising, own, side="left")  # the cuts that aren't below an id
+        at = np.maximum(behind, 1) - 1
+        mine = (behind > 0) & (np.array(cuts, dtype=np.int64)[at] == own) if cuts else np.zeros(len(own), bool)
+        many = np.array(fills or [1], dtype=np.int64)[at]
+        part = (hashes.to_numpy(np.int64) % (1 << 32)) * many >> 32
+        return pd.Series(np.where(behind == 0, 0, first[at] + np.where(mine, part, many)))
+
+    known = place(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("hash"))
+    last = F.floor(F.pmod("hash", F.lit(1 << 32)) * none / (1 << 32))
+    return F.when(F.col("doc_id").isNull(), F.lit(int(first[-1])) + last).otherwise(known).cast("int")
+
+
 def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprint each text and its edited text, whose last floor(n/3) code points are
     replaced by the first as many of the next document by descending id (after the last
@@ -160,15 +193,17 @@ def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame
     near_edited, near_next``, a row for each input row.
 
     Null texts are empty; null ids come last; rows that share an id follow each other by
-    text. A single document is its own successor. Texts of any length are read whole, and
-    lines may repeat up to 2^31 times. Other columns are ignored; an empty table gives no
-    rows.
+    a hash of the text. A single document is its own successor. Texts of any length are read
+    whole, and lines may repeat up to 2^31 times. Other columns are ignored; an empty table
+    gives no rows.
 
     Ids are cut into ranges by quantiles of the ids alone (``buckets``, by default four a
     shuffle partition, and no fewer than one a RANGE_CHARS of text up to MOST_RANGES of them,
-    so ranges grow only beyond 6.4 TB, where a task streams through more of them; rows of one
-    id are in one range, however many there are); texts are shuffled once, to their range. A range's last document needs the next range's first: those few rows are
-    read twice.
+    so ranges grow only beyond 6.4 TB, where a task streams through more of them). An id that
+    many rows share, or null, is as many ranges as it fills, by the texts' hashes. Texts are
+    shuffled once, to their range, and neighbouring ranges to one partition, so that all
+    partitions hold about as much. A range's last document needs the next range's first: those
+    few rows are read twice.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
@@ -177,20 +212,21 @@ def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame
     if not n:
         chars = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
         n = min(max(4 * partitions, chars // RANGE_CHARS), MOST_RANGES)
-    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    rising = np.array(cuts[::-1], dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:  # the number of cuts that aren't below an id
-        return pd.Series(len(rising) - np.searchsorted(rising, ids.to_numpy(np.int64), side="left"))
-
-    position = place(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(position).cast("int")
-    heads = base.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()  # a row a range
-    giver = spark.createDataFrame([(heads[i - 1]["bucket"], h["head"]) for i, h in enumerate(heads)], "bucket int, head long")
-    own = base.select(bucket.alias("bucket"), F.lit(False).alias("donor"), "doc_id", "text")
-    donors = base.join(F.broadcast(giver), base["doc_id"].eqNullSafe(giver["head"])).select("bucket", F.lit(True).alias("donor"), "doc_id", "text")
-    dealt = own.union(donors).repartition(max(partitions, n // 4), "bucket").sortWithinPartitions("bucket", "donor", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
-    return dealt.mapInPandas(_with_next, RESULT)
-
+    bucket = _range_of(*_cut_points(base, n))
+    keyed = base.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Order: ids fall (so their complements rise), null last, then the hash, which pmod makes rise with the range.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("fall"), F.pmod("hash", F.lit(1 << 32)).alias("low"), F.col("hash").alias("hash"))
+    heads = keyed.select(bucket.alias("bucket"), order.alias("o")).groupBy("bucket").agg(F.min("o").alias("o"), F.count("*").alias("rows")).orderBy("bucket").collect()  # a row a range
+    sum_of = max(1, sum(h["rows"] for h in heads))
+    giver = spark.createDataFrame([(heads[i - 1]["bucket"], h["o"]["none"], ~h["o"]["fall"], h["o"]["hash"]) for i, h in enumerate(heads)], "bucket int, none boolean, head long, hash long")
+    own = keyed.select(bucket.alias("bucket"), F.lit(False).alias("donor"), "doc_id", "text", "hash")
+    same = (F.coalesce(keyed["doc_id"], F.lit(0)) == giver["head"]) & (keyed["doc_id"].isNull() == giver["none"]) & (keyed["hash"] == giver["hash"])
+    donors = keyed.join(F.broadcast(giver), same).groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first(keyed["hash"]).alias("hash"))
+    dealt = own.unionByName(donors.select("bucket", F.lit(True).alias("donor"), "doc_id", "text", "hash"))
+    parts, before, places = max(partitions, n // 4), 0, []
+    for h in heads:  # neighbouring ranges to a partition, by their rows
+        places.append((h["bucket"], before * parts // sum_of))
+        before += h["rows"]
+    dealt = dealt.join(F.broadcast(spark.createDataFrame(places, "bucket int, task int")), "bucket").repartitionById(parts, "task")
+    dealt = dealt.sortWithinPartitions("bucket", "donor", F.col("doc_id").desc_nulls_last(), F.pmod("hash", F.lit(1 << 32)), "hash")
+    return dealt.select("bucket", "donor", "doc_id", "text").mapInPandas(_with_next, RESULT)

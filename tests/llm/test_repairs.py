@@ -297,3 +297,21 @@ def test_languages_and_scores_of_long_texts_with_clashing_columns(spark):
     assert scored[0].n_tokens == 9 * 20_000 + 1 and scored[3].n_tokens == 1
     assert all(r.score < 0 for r in scored.values())
     assert context_mixing.score_split(docs.limit(0), F.lit(True), F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["one id", "null ids", "both", "plain"])
+def test_fingerprints_deal_a_shared_id_to_many_tasks(spark, kind):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], int(rng.integers(0, 30)))) for _ in range(1200)]
+    ids = {"one id": [7] * 700 + list(range(500)), "null ids": [None] * 700 + list(range(500)), "both": [None] * 400 + [3] * 400 + list(range(400)), "plain": list(range(1200))}[kind]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    keyed = docs.withColumn("h", F.xxhash64("text")).collect()
+    rows = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h % (1 << 32), r.h))
+    want = []
+    for k, r in enumerate(rows):
+        following, cut = rows[(k + 1) % len(rows)].text, len(r.text) // 3
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256((r.text[: len(r.text) - cut] + following[:cut]).encode()).hexdigest()))
+    found = fingerprint.compare_with_edits(docs).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == sorted(want)
+    tasks = np.unique([r.task for r in found], return_counts=True)[1]
+    assert len(tasks) >= 4 and tasks.max() <= 2 * 1200 / len(tasks)

@@ -101,10 +101,10 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session was told to send batches of BATCH_BYTES at most to Python
-    workers; the queries made from it are planned later, so the setting stays."""
-    df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
+def small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``df``, after its session was told to send batches of ``most`` bytes to Python workers;
+    the queries made from it are planned later, so the setting stays."""
+    df.sparkSession.conf.set(BATCH_CONF, str(most))
     return df
 
 

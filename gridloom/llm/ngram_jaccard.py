@@ -31,13 +31,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, sized, small_batches, tidy
+from .common import discard, give_back, materialize, sized, small_batches, tidy
 from .components import components
 from .textkit import mix, shingle_sets
 
 #: Bits of a parity bitmap, of one that is shuffled (at least), and the classes and
 #: shingles that a tile holds at most.
 BITMAP_BITS, SIGNATURE_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 4096, 3_000_000
+#: Shingles of a tile from which on a task gives its memory back at once; bytes of a batch
+#: of texts, whose sets take several times that.
+LARGE_TILE, BATCH = 500_000, 2 << 20
 #: The count sketch has 2 ** SKETCH_BITS counters, added up in blocks.
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 
@@ -336,7 +339,16 @@ def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: C
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     sifted = materialize(dealt.mapInPandas(tidy(_sift(keys, rule)), f"{types}, n long"), "jaccard-sifted")
     whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
-    return whole.groupBy(*keys).applyInPandas(lambda pdf: compare_tile(pdf, rule, every), "u long, v long").distinct()
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        large = int(pdf["n"].sum()) > LARGE_TILE
+        links = compare_tile(pdf, rule, every)
+        if large:
+            del pdf
+            give_back()
+        return links
+
+    return whole.groupBy(*keys).applyInPandas(compared, "u long, v long").distinct()
 
 
 _TILE = ["cluster", "mb", "mk", "ab", "ak"]
@@ -380,7 +392,7 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     digest, a frame ``(cls, digest)`` of the numbers of all classes with candidates, and,
     without every_link, their labels ``(cls, label)``: the least class that links reach."""
     rule = Threshold(num, den)
-    texts = small_batches(docs).select("doc_id", "text")
+    texts = small_batches(docs, BATCH).select("doc_id", "text")
     once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
     light = once.filter("block is null").select("doc_id", "n_shingles", "cls")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(once.filter("block is not null").select("block", "counts")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key_base64", "key_hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -314,10 +314,12 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     Python workers: other columns stay as they are, whatever their names."""
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype=object)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([redact(t) for t in texts], dtype=object)
+        give_back()
 
-    out = small_batches(docs).withColumn("text", clean("text"))
+    out = small_batches(docs, 2 << 20).withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -135,10 +135,15 @@ def polygon_points(tiles: DataFrame, layer: str, key: str | None = None) -> Data
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            held: list[tuple] = []
             for tile, blob in zip(pdf["tile"], pdf["blob"], strict=True):
                 extent, rings = tile_rings(blob, layer)
-                for i, ring in enumerate(rings):
-                    yield pd.DataFrame({"tile": [tile] * len(ring), "ring": i, "seq": np.arange(len(ring)), "x": ring[:, 0], "y": ring[:, 1], "extent": extent})
+                held += [(tile, i, k, int(x), int(y), extent) for i, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
+                if len(held) > 100_000:
+                    yield pd.DataFrame(held, columns=["tile", "ring", "seq", "x", "y", "extent"])
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["tile", "ring", "seq", "x", "y", "extent"])
 
     return tiles.filter("blob is not null").select("tile", "blob").mapInPandas(rows, f"tile {kind}, ring long, seq int, x long, y long, extent int")
 

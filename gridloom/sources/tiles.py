@@ -224,12 +224,17 @@ def encode_tile(layers: dict[str, list[list[tuple[int, int]]]], extent: int = 40
 
 def vector_tiles(rings: DataFrame, extent: int = 4096) -> DataFrame:
     """``rings(archive, id, layer, ring, points array<struct<x,y>>)`` -> ``(archive, id, blob)``:
-    a tile of all its layers' rings, in order of ring. A task holds one tile's rings."""
+    a tile of all its layers' rings, in order of ring. A task holds one batch of tiles."""
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        layers: dict[str, list] = {}
-        for layer, points in pdf.sort_values(["layer", "ring"])[["layer", "points"]].itertuples(index=False):
-            layers.setdefault(layer, []).append([(int(p["x"]), int(p["y"])) for p in points])
-        return pdf.iloc[:1][KEY].assign(blob=[encode_tile(layers, extent)])
-
-    return rings.groupBy(*KEY).applyInPandas(encode, "archive string, id long, blob binary")
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            blobs = []
+            for rows in pdf["rings"]:
+                layers: dict[str, list] = {}
+                for r in rows:
+                    layers.setdefault(r["layer"], []).append([(int(p["x"]), int(p["y"])) for p in r["points"]])
+                blobs.append(encode_tile(layers, extent))
+            yield pdf[KEY].assign(blob=blobs)
+
+    gathered = rings.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("layer", "ring", "points"))).alias("rings"))
+    return gathered.mapInPandas(encode, "archive string, id long, blob binary")

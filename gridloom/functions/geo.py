@@ -100,4 +100,7 @@ def place_label(name: Column, city: Column, state: Column, query: Column) -> Col
 
 
 def amount(acres: Column) -> Column:
-    return F.when(acres >= 10_000, F.format_string("%.2f M ac", acres / 1e6)).otherwise(F.format_string("%.1f k ac", acres / 1e3))
+    """``format_number`` with a pattern rounds the exact value, halves to even, as printf does
+    elsewhere; ``format_string`` rounds a number's shortest digits, halves up."""
+    fixed = lambda v, pattern: F.call_function("format_number", v, F.lit(pattern))
+    return F.when(acres >= 10_000, F.concat(fixed(acres / 1e6, "0.00"), F.lit(" M ac"))).otherwise(F.concat(fixed(acres / 1e3, "0.0"), F.lit(" k ac")))

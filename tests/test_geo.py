@@ -43,3 +43,9 @@ def test_truncation_and_floor_differ_below_zero(spark):
 def test_zigzag(spark):
     rows = spark.createDataFrame([(i,) for i in range(6)], "v long").select(geo.zigzag(F.col("v"))).collect()
     assert [r[0] for r in rows] == [0, -1, 1, -2, 2, -3]
+
+
+def test_amounts_round_the_exact_value(spark):
+    values = [2250.0, 2350.0, 1050.0, 85000.0, 75000.0, 1005000.0, 25_000.0, 150.0, 250.0, 0.0, 9999.99, 1234567.89] + [50.0 * i + 0.05 for i in range(200)] + [5000.0 * i for i in range(2, 400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", geo.amount(F.col("v")).alias("a")).collect()
+    assert [r.a for r in rows] == [f"{r.v / 1e6:.2f} M ac" if r.v >= 10_000 else f"{r.v / 1e3:.1f} k ac" for r in rows]

@@ -68,7 +68,16 @@ def lines_of_tiles(jobs: DataFrame, lines: DataFrame) -> DataFrame:
     of states) -> ``(request, state, z, x, y, ring, line)``: the lines of all states and tiles of a
     request as one list. Tiles without lines give none; a tile that two requests name is
     joined once for each."""
-    return jobs.join(lines, ["state", "z", "x", "y"]).select("request", "state", "z", "x", "y", "ring", "line")
+    return jobs.hint("merge").join(lines, ["state", "z", "x", "y"]).select("request", "state", "z", "x", "y", "ring", "line")
+
+
+def tile_totals(jobs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(request, states, lines, points)``: what ``lines_of_tiles`` lists for each request,
+    counted. A tile's lines are counted once, before the requests that name it are joined."""
+    key = ["state", "z", "x", "y"]
+    held = lines.groupBy(*key).agg(F.count("*").alias("lines"), F.sum(F.size("line")).alias("points"))
+    found = jobs.hint("merge").join(held, key).groupBy("request")
+    return found.agg(F.count_distinct("state").alias("states"), F.sum("lines").alias("lines"), F.sum("points").alias("points"))
 
 
 def meets_box(line: str, w: Column, s: Column, e: Column, n: Column) -> Column:

@@ -158,3 +158,43 @@ def test_nearest_places_by_rings_of_cells(spark):
     assert {r.q: r.id for r in found} == want and len(found) == len(want)
     none = spark.createDataFrame([], "q long, lon double, lat double, kind string")
     assert nearest.nearest_places(none, spark.createDataFrame(places, "id long, lon double, lat double, kind string")).collect() == []
+
+
+def test_copies_of_a_shape_are_one_shape(spark):
+    many = [(i, _shifted([OUTLINE], 20.0 * (i % 2), 0.0)) for i in range(10)]
+    polygons = spark.createDataFrame(many, RINGS)
+    shapes, members = fld.shapes_of(polygons)
+    assert sorted(r.field for r in shapes.collect()) == [0, 1]
+    assert sorted((r.field, r.shape) for r in members.collect()) == [(i, i % 2) for i in range(10)]
+    (y0, y1), (x0, x1) = fld.cell_window(polygons)
+    assert y0 <= 0 and y1 >= 7 and x0 <= 0 and x1 >= 28
+    later = spark.createDataFrame([(100 + i, _shifted([OUTLINE], 20.0 * (i % 3), 0.0)) for i in range(6)], RINGS)
+    after, others = fld.shapes_of(later)
+    key = lambda df: sorted((r.field is None, r.field or 0, r.other or 0, r.shared) for r in df.collect())
+    want = fld.matches(fld.pixels_of(polygons), fld.pixels_of(later))
+    assert key(fld.with_copies(fld.matches(fld.pixels_of(shapes), fld.pixels_of(after)), members, others)) == key(want)
+
+
+def test_pixels_are_never_broadcast(spark):
+    # a small table of polygons may have very many pixels
+    pixels = fld.pixels_of(spark.createDataFrame([(1, [OUTLINE])], RINGS))
+    raster = spark.range(100).select(F.lit(2025).alias("year"), F.floor(F.col("id") / 10).alias("iy"), (F.col("id") % 10).alias("ix"), F.lit(3).alias("code"))
+    for df in (fld.field_counts(pixels, raster), fld.matches(pixels, pixels), fld.of_members(pixels, spark.createDataFrame([(1, 1)], "field long, shape long"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_and_cameras_at_one_point_meet_once(spark):
+    places = spark.range(4000).select("id", (F.col("id") % 4 / 8).alias("lon"), F.lit(0.5).alias("lat"), F.lit("a").alias("kind"))
+    asked = spark.range(3000).select(F.col("id").alias("q"), (F.col("id") % 2 / 10).alias("lon"), F.lit(0.5).alias("lat"), F.lit("a").alias("kind"))
+    found = nearest.nearest_places(asked, places)
+    assert {(r.q % 2, r.id) for r in found.collect()} == {(0, 0), (1, 1)} and found.count() == 3000
+    files = [f for f in found.inputFiles() if "/part-" in f]
+    assert spark.read.parquet(*files).count() < 100  # the points' answers, not a row for each camera
+
+
+def test_request_totals_join_counts_of_tiles(spark):
+    jobs = spark.createDataFrame([(1, s, 5, x, 0) for s in (0, 1) for x in (3, 4)] + [(2, 1, 5, 3, 0), (3, 9, 9, 9, 9)], "request long, state long, z int, x long, y long")
+    lines = spark.createDataFrame([(0, 5, 3, 0, 7, [1, 2]), (1, 5, 3, 0, 8, [1, 2, 3]), (1, 5, 3, 0, 9, [1]), (1, 5, 4, 0, 8, [4] * 5), (1, 6, 3, 0, 9, [1])], "state long, z int, x long, y long, ring long, line array<int>")
+    totals = polylines.tile_totals(jobs, lines)
+    assert sorted(tuple(r) for r in totals.select("request", "states", "lines", "points").collect()) == [(1, 2, 4, 11), (2, 1, 2, 4)]
+    assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()

@@ -8,11 +8,12 @@ window's ranges skip most of them. Levels are made once, from a group's finest r
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .objects import written
-
 LEVEL = ["grp", "k", "year"]
 SCHEMA = "iy long, ix long, code int, grp int, k int, year int"
 #: Bytes of a row group; a level's cells take about six each.
@@ -21,30 +22,29 @@ ROW_GROUP = 1 << 20
 SHARPNESS = 1.4
 
 
-def _write(level: DataFrame, path: str, grp: int, k: int) -> None:
-    placed = level.select(F.lit(grp).alias("grp"), F.lit(k).alias("k"), F.col("year").cast("int").alias("year"), F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.col("code").cast("int").alias("code"))
-    dealt = placed.repartitionByRange("year", "iy", "ix").sortWithinPartitions("year", "iy", "ix")
-    dealt.write.mode("append").partitionBy(*LEVEL).option("parquet.block.size", ROW_GROUP).parquet(path)
-
-
 def write_levels(raster: DataFrame, path: str, grp: int, ks: list[int]) -> None:
     """Append a group's ``raster(year, iy, ix, code)`` and its majority levels: the commonest
     code of each k by k block, ties to the smaller code.
 
-    Codes are counted once a block; a level's counts are sums of those of the level before, as
-    far as its k is a multiple of that one's, so that the finest raster is shuffled once and
-    not once a level.
+    The raster is dealt once, by ranges of blocks that every k divides: so each block of each
+    level lies in one task, is counted there, and nothing but the store is written. All levels
+    are one job, whose branches read the same shuffle.
     """
-    now, width = None, 1
-    for k in sorted(ks):
-        if k == 1:
-            _write(raster, path, grp, 1)
-            continue
-        if now is None or k % width:
-            now, width = raster.select("year", "iy", "ix", "code", F.lit(1).cast("long").alias("n")), 1
-        cut = lambda c, by=k // width: F.floor(F.col(c) / by).alias(c)
-        now, width = written(now.groupBy("year", cut("iy"), cut("ix"), "code").agg(F.sum("n").alias("n"))), k
-        _write(now.groupBy("year", "iy", "ix").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code")), path, grp, k)
+    side = math.lcm(*ks)
+    block = [F.floor(F.col(c) / side).alias(b) for c, b in (("iy", "by"), ("ix", "bx"))]
+    cells = raster.select(*block, *[F.col(c).cast(t).alias(c) for c, t in (("year", "int"), ("iy", "long"), ("ix", "long"), ("code", "int"))])
+    dealt = cells.repartitionByRange("by", "bx")
+
+    def level(k: int) -> DataFrame:
+        made = dealt
+        if k > 1:
+            cut = [F.floor(F.col(c) / k).alias(c) for c in ("iy", "ix")]
+            counts = dealt.groupBy("by", "bx", "year", *cut, "code").agg(F.count("*").alias("n"))
+            made = counts.groupBy("by", "bx", "year", "iy", "ix").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code"))
+        return made.select(F.lit(grp).alias("grp"), F.lit(k).alias("k"), "year", "iy", "ix", "code")
+
+    every = reduce(DataFrame.unionByName, [level(k) for k in sorted(set(ks))]).sortWithinPartitions(*LEVEL, "iy", "ix")
+    every.write.mode("append").partitionBy(*LEVEL).option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_levels(spark: SparkSession, path: str) -> DataFrame:

@@ -46,6 +46,20 @@ def test_levels_that_do_not_divide_each_other(spark, tmp_path):
         assert found == want
 
 
+def test_levels_shuffle_the_raster_once(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    cells = spark.range(40_000).select(F.lit(2025).alias("year"), F.expr("id div 200").alias("iy"), (F.col("id") % 200).alias("ix"), (F.col("id") % 7 + 1).cast("int").alias("code"))
+    spark.sparkContext.setJobGroup("once", "levels")
+    try:
+        levels.write_levels(cells, str(tmp_path / "s"), 30, [1, 2, 4])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = {s for j in tracker.getJobIdsForGroup("once") for s in tracker.getJobInfo(j).stageIds}
+    assert len(seen) <= 7  # bounds and shuffles of the raster and of what is counted, and one write; it was a few for each level
+    sizes = {r.k: r["count"] for r in levels.read_levels(spark, str(tmp_path / "s")).groupBy("k").count().collect()}
+    assert sizes == {1: 40_000, 2: 10_000, 4: 2_500}
+
+
 def test_requests_prune_folders(spark, store, tmp_path):
     spark.createDataFrame([(30, 2, 2025, "x"), (30, 2, 2025, "y")], "grp int, k int, year int, who string").write.parquet(str(tmp_path / "asked"))
     asked = spark.read.parquet(str(tmp_path / "asked"))

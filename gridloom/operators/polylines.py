@@ -8,10 +8,16 @@ follow each other in one tile are one polyline again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+#: Points that are cut at once.
+SLICE = 1 << 16
 
 
 def tile_units(lon: Column, lat: Column, z: Column | int) -> tuple[Column, Column]:
@@ -49,18 +55,82 @@ def tile_cover(lines: DataFrame) -> DataFrame:
     return pieces(lines).select("id", "tx", "ty").distinct()
 
 
+def _cut(lines: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments in the order of their lines (their numbers, ascending) -> their pieces as
+    ``pieces`` has them: segment, tile, and both ends."""
+    n, at, where = len(lines), [np.zeros(len(lines)), np.ones(len(lines))], [np.arange(len(lines))] * 2
+    for a, b in ((ax, bx), (ay, by)):
+        low = np.floor(np.minimum(a, b)) + 1
+        count = np.maximum(np.ceil(np.maximum(a, b)) - low, 0).astype(np.int64)
+        seg = np.repeat(np.arange(n), count)
+        k = low[seg] + (np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count))
+        at.append((k - a[seg]) / (b - a)[seg])
+        where.append(seg)
+    t, seg = np.concatenate(at), np.concatenate(where)
+    order = np.lexsort((t, seg))
+    t, seg = t[order], seg[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (seg[1:] != seg[:-1]) | (t[1:] != t[:-1])
+    t, seg = t[new], seg[new]
+    same = np.flatnonzero(seg[1:] == seg[:-1])
+    own, t0, t1 = seg[same], t[same], t[same + 1]
+    place = lambda a, b, v: np.where(v == 1.0, b[own], a[own] + (b - a)[own] * v)
+    middle = (t0 + t1) / 2
+    tx, ty = (np.floor(place(a, b, middle)).astype(np.int64) for a, b in ((ax, bx), (ay, by)))
+    return own, tx, ty, place(ax, bx, t0), place(ay, by, t0), place(ax, bx, t1), place(ay, by, t1)
+
+
+def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Lines of a batch -> the polylines of their tiles."""
+    line = batch.column("line")
+    flat = line.flatten()
+    x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+    sizes = pc.fill_null(pc.list_value_length(line), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    head = np.flatnonzero((of[1:] == of[:-1]) & np.isfinite(x[1:] + y[1:] + x[:-1] + y[:-1]))
+    seg, tx, ty, x0, y0, x1, y1 = _cut(of[head], x[head], y[head], x[head + 1], y[head + 1])
+    row = of[head][seg]
+    change = np.ones(len(seg), bool)
+    change[1:] = (row[1:] != row[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1]) | (head[seg[1:]] - head[seg[:-1]] > 1)
+    first = np.flatnonzero(change)
+    run = np.cumsum(change) - 1
+    # a run has its first point and the end of each piece
+    many = np.diff(np.append(first, len(seg))) + 1
+    px, py = np.empty(len(seg) + len(first)), np.empty(len(seg) + len(first))
+    begin = np.cumsum(many) - many
+    px[begin], py[begin] = (x0 - tx)[first], (y0 - ty)[first]
+    rest = np.arange(len(seg)) + run + 1
+    px[rest], py[rest] = x1 - tx, y1 - ty
+    row, tx, ty = row[first], tx[first], ty[first]
+    order = np.lexsort((ty, tx, row))  # stable: along the line within a tile
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(row[order]) != 0) | (np.diff(tx[order]) != 0) | (np.diff(ty[order]) != 0)
+    index = np.arange(len(order))
+    part = np.empty(len(order), np.int32)
+    part[order] = index - np.maximum.accumulate(np.where(fresh, index, 0))
+    points = pa.StructArray.from_arrays([pa.array(px), pa.array(py)], ["x", "y"])
+    cut = pa.ListArray.from_arrays(pa.array(np.append(begin, len(px)).astype(np.int32)), points)
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(tx), pa.array(ty), pa.array(part), cut], ["id", "tx", "ty", "part", "line"])
+
+
 def cut_at_tiles(lines: DataFrame) -> DataFrame:
     """``(id, tx, ty, part, line)``: the polylines of each tile that a line runs through, in the
-    tile's own units (0 to 1), numbered along the line."""
-    along = Window.partitionBy("id").orderBy("seq", "step")
-    inside = Window.partitionBy("id", "tx", "ty").orderBy("seq", "step")
-    run = pieces(lines).withColumn("nth", F.row_number().over(along)).withColumn("run", F.col("nth") - F.row_number().over(inside))
-    own = lambda c, t: F.col(c) - F.col(t)
-    rows = run.groupBy("id", "tx", "ty", "run").agg(F.array_sort(F.collect_list(F.struct("nth", own("x0", "tx").alias("x0"), own("y0", "ty").alias("y0"), own("x1", "tx").alias("x1"), own("y1", "ty").alias("y1")))).alias("s"))
-    head = F.array(F.struct(F.col("s")[0]["x0"].alias("x"), F.col("s")[0]["y0"].alias("y")))
-    line = F.concat(head, F.transform("s", lambda p: F.struct(p["x1"].alias("x"), p["y1"].alias("y"))))
-    part = F.row_number().over(Window.partitionBy("id", "tx", "ty").orderBy(F.col("s")[0]["nth"])) - 1
-    return rows.select("id", "tx", "ty", part.alias("part"), line.alias("line"))
+    tile's own units (0 to 1), numbered along the line. A line is one row and is cut where it
+    lies, some SLICE points at once: its pieces are neither shuffled nor sorted by Spark. A
+    point that isn't finite parts its line."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("line")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+                yield _cut_batch(batch.slice(at, upto - at))
+                at = upto
+
+    kind = lines.schema["id"].dataType.simpleString()
+    return lines.select("id", "line").mapInArrow(cut, f"id {kind}, tx long, ty long, part int, line array<struct<x:double,y:double>>")
 
 
 def lines_of_tiles(jobs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -198,3 +198,11 @@ def test_request_totals_join_counts_of_tiles(spark):
     totals = polylines.tile_totals(jobs, lines)
     assert sorted(tuple(r) for r in totals.select("request", "states", "lines", "points").collect()) == [(1, 2, 4, 11), (2, 1, 2, 4)]
     assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cutting_lines_shuffles_nothing(spark):
+    made = spark.createDataFrame([(1, [(0.5, 0.5), (2.5, 0.5), (0.5, 0.5)]), (2, None), (3, [(0.5, 0.5), (float("nan"), 1.0), (0.6, 0.5), (0.7, 0.5)])], "id long, line array<struct<x:double,y:double>>")
+    cut = polylines.cut_at_tiles(made)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted((r.id, r.tx, r.part, len(r.line)) for r in cut.collect()) == [(1, 0, 0, 2), (1, 0, 1, 2), (1, 1, 0, 2), (1, 1, 1, 2), (1, 2, 0, 3), (3, 0, 0, 2)]

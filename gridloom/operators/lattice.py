@@ -91,11 +91,17 @@ def grid_window(boxes: DataFrame, factor: int, box: str = "box") -> tuple[tuple[
     return tuple((math.floor(low) - 1, math.floor(high) + 1) for low, high in (rows, cols))
 
 
+def cut(cells: DataFrame, window: tuple[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """``cells(iy, ix, ...)`` of a window, however often a cell comes."""
+    (y0, y1), (x0, x1) = window
+    return cells.filter(F.col("iy").between(y0, y1) & F.col("ix").between(x0, x1))
+
+
 def within(cells: DataFrame, window: tuple[tuple[int, int], tuple[int, int]], layers: int = 1) -> DataFrame:
-    """``cells(iy, ix, ...)`` of a window, for a join: broadcast if the window's whole area,
-    times the layers that a cell may be in, takes BROADCAST_BYTES at most."""
+    """``cut``, for a join: broadcast if the window's whole area, times the layers that a cell
+    may be in, takes BROADCAST_BYTES at most."""
     (y0, y1), (x0, x1) = window
-    some = cells.filter(F.col("iy").between(y0, y1) & F.col("ix").between(x0, x1))
+    some = cut(cells, window)
     area = max(0, y1 - y0 + 1) * max(0, x1 - x0 + 1) * layers
     return F.broadcast(some) if area * CELL_BYTES <= BROADCAST_BYTES else some
 

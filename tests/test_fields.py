@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import fields as fld
 from gridloom.operators import nearest, polylines
+from gridloom.plans import field_queries
 
 OUTLINE = [(0.0, 0.0), (9.0, 0.5), (9.0, 8.0), (5.0, 3.25), (0.5, 8.0), (0.0, 0.0)]
 HOLE = [(2.0, 1.0), (3.0, 2.5), (4.0, 1.25), (2.0, 1.0)]
@@ -183,6 +184,13 @@ def test_pixels_are_never_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["polygon_majority", "polygon_merged", "polygon_purity", "polygon_size_by_crop", "polygon_sequences", "field_pixels"])
+def test_rasters_are_never_broadcast(spark, name):
+    # a window's area doesn't bound its rows: a raster may hold a cell more than once
+    plan = field_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_places_and_cameras_at_one_point_meet_once(spark):
     places = spark.range(4000).select("id", (F.col("id") % 4 / 8).alias("lon"), F.lit(0.5).alias("lat"), F.lit("a").alias("kind"))
     asked = spark.range(3000).select(F.col("id").alias("q"), (F.col("id") % 2 / 10).alias("lon"), F.lit(0.5).alias("lat"), F.lit("a").alias("kind"))

@@ -55,12 +55,11 @@ SLOT_BLOCK = 1 << 14  # slots in a row of a partial table
 UNIT_BYTES, BUCKET_BYTES, HASH_BYTES = 4 << 20, 8 << 20, (5, 4)
 #: Tokens between two moves of a text's weights, the moves' rate, the weights' bound.
 BLOCK, RATE, BOUND = 32, 0.004, 2.0
-#: Tokens of a unit that are taken up at once; units that the gates' weights are fitted on.
-SLICE, FIT_UNITS = 1 << 17, 64
+#: Tokens of a unit that are taken up at once.
+SLICE = 1 << 17
 #: What is added to the counts of zeros and ones; from how many sights on a byte context's
-#: evidence is of the next class; Newton steps of the spelling weights, and the words they
-#: are fitted on (about; the counts themselves are of all words).
-PRIOR, EVIDENCE, NEWTON, FIT_WORDS = 0.4, (1, 2, 3, 5, 10, 30, 100, 1000), 3, 50_000
+#: evidence is of the next class; Newton steps of the spelling weights.
+PRIOR, EVIDENCE, NEWTON = 0.4, (1, 2, 3, 5, 10, 30, 100, 1000), 3
 END = b"\n"  # can't be a word
 SPACE = 0x20
 
@@ -384,25 +383,32 @@ def start_weights() -> np.ndarray:
 def source_chances(sources: Sources, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Each bit's probability of a yes, by order and token (0 where there is no bit). A
     text's own weights start at 0 and move after every BLOCK tokens."""
-    chances = np.zeros(sources.share.shape)
     order = np.argsort(-sources.sizes, kind="stable")
-    sizes, first = sources.sizes[order], sources.first[order]
-    for bit in range(_BITS):
-        x = sources.inputs(tables, bit)
-        base = np.einsum("ij,ij->i", x, weights[bit][sources.gate].astype(np.float32))
-        coded, value = sources.coded[bit], sources.value[bit].astype(np.float32)
-        own = np.zeros((len(sizes), _INPUTS), dtype=np.float32)
-        for at in range(0, int(sizes[0]) if len(sizes) else 0, BLOCK):
-            live = int(np.searchsorted(-sizes, -at, side="left"))
-            n = np.minimum(sizes[:live] - at, BLOCK)
-            some = ranges(first[:live] + at, n)
-            lane = np.repeat(np.arange(live), n)
-            xs = x[some]
-            mixed = np.clip(base[some] + np.einsum("ij,ij->i", xs, own[lane]), -12, 12)
-            p = 1 / (1 + np.exp(-mixed))
-            chances[bit][some] = p
-            miss = np.where(coded[some], value[some] - p, np.float32(0))
-            own[:live] = np.clip(own[:live] + RATE * np.add.reduceat(xs * miss[:, None], np.cumsum(n) - n, axis=0), -BOUND, BOUND)
+    sizes = sources.sizes[order]
+    # tokens block by block, in each the texts that reach it, the longest first
+    lane = np.empty(len(order), dtype=np.int64)
+    lane[order] = np.arange(len(order))
+    place = np.arange(len(sources.gate)) - np.repeat(sources.first, sources.sizes)
+    at = np.argsort(place // BLOCK * len(order) + np.repeat(lane, sources.sizes), kind="stable")
+    x = np.stack([sources.inputs(tables, bit)[at] for bit in range(_BITS)], axis=1)
+    gate = sources.gate[at]
+    base = np.stack([np.einsum("ij,ij->i", x[:, bit], weights[bit][gate].astype(np.float32)) for bit in range(_BITS)], axis=1)
+    coded, value = sources.coded.T[at].astype(np.float32), sources.value.T[at].astype(np.float32)
+    mixed_in = np.empty(base.shape, dtype=np.float32)
+    own = np.zeros((len(sizes), _BITS, _INPUTS), dtype=np.float32)
+    a = 0
+    for done in range(0, int(sizes[0]) if len(sizes) else 0, BLOCK):
+        live = int(np.searchsorted(-sizes, -done, side="left"))
+        n = np.minimum(sizes[:live] - done, BLOCK)
+        b = a + int(n.sum())
+        xs = x[a:b]
+        mixed = np.clip(base[a:b] + np.einsum("ijk,ijk->ij", xs, np.repeat(own[:live], n, axis=0)), -12, 12)
+        mixed_in[a:b] = p = 1 / (1 + np.exp(-mixed))
+        miss = coded[a:b] * (value[a:b] - p)
+        own[:live] = np.clip(own[:live] + RATE * np.add.reduceat(xs * miss[:, :, None], np.cumsum(n) - n, axis=0), -BOUND, BOUND)
+        a = b
+    chances = np.zeros(sources.share.shape)
+    chances[:, at] = mixed_in.T
     return np.where(sources.there, chances, 0.0)
 
 
@@ -516,69 +522,74 @@ def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"block": np.array(list(sums), dtype=np.int32), "sums": [v.astype("<f4").tobytes() for v in sums.values()]})
 
 
-class Speller:
-    """Gated mixing of what hashed byte contexts saw; tables: zeros and ones by slot."""
-
-    def __init__(self, code: Code, tables: np.ndarray) -> None:
-        self.code, self.tables = code, tables
-        # by predictor and class: log-odds for what was seen alone, before they are learned
-        self.alone = np.tile(np.log((np.array([1, *EVIDENCE]) + PRIOR) / PRIOR), (_N, 1)).astype(np.float32)
-        self.weights = np.full((_GATES, _N), 0.1, dtype=np.float32)
-        self.weights[:, -1] = 0.6
-
-    def odds(self, i: int, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predictor i's log-odds, and its part of the gate: evidence class, and whether
-        both values were seen."""
-        level = np.searchsorted(EVIDENCE, zeros + ones, side="right")
-        both = (zeros > 0) & (ones > 0)
-        x = np.log((ones + PRIOR) / (zeros + PRIOR))
-        sure = self.alone[i][level]
-        x = np.where(both, x, np.where(level == 0, 0, np.where(ones > 0, sure, -sure)))
-        return x.astype(np.float32), (level + _CLASSES * both).astype(np.int64)
-
-    def seen(self, words: list[bytes], less: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Bits of each word, each bit's value, each predictor's counts less ``less``
-        sights of the word itself."""
-        sizes, bits, slots = spelled(words, self.code)
-        counts = [(np.maximum(self.tables[0, i][slots[i]] - less * (1 - bits), 0), np.maximum(self.tables[1, i][slots[i]] - less * bits, 0)) for i in range(_N)]
-        return sizes, bits, counts
-
-    def mixed(self, words: list[bytes], less: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def alone_odds(tables: np.ndarray) -> np.ndarray:
+    """By predictor and class: the log-odds that a context which saw one value alone sees it
+    again, over every bit of every word in the tables, each less its own sight."""
+    out = np.zeros((_N, 2 * _CLASSES))
+    for i in range(_N):
+        for bit in (0, 1):
+            own, other = tables[bit, i].astype(np.float64), tables[1 - bit, i].astype(np.float64)
+            left = np.maximum(own - 1, 0)
+            single = (own > 0) & ((left > 0) != (other > 0))
+            level = np.searchsorted(EVIDENCE, (left + other)[single], side="right")
+            out[i] += np.bincount(2 * level + (left[single] > 0), weights=own[single], minlength=2 * _CLASSES)
+    return np.log((out[:, 1::2] + 0.5) / (out[:, ::2] + 0.5)).astype(np.float32)
+
+
+class Looks:
+    """What a spelling's look-ups give, by slot: every predictor's log-odds of a 1 and the part
+    of the gate that the last two make up. less: a layer for each value of the bit, without one
+    sight of it; else one layer."""
+
+    def __init__(self, tables: np.ndarray, alone: np.ndarray, less: bool) -> None:
+        layers = 1 + less
+        self.odds = np.empty((_N, layers * _SLOTS), dtype=np.float32)
+        self.parts = np.empty((2, layers * _SLOTS), dtype=np.uint8)
+        for i in range(_N):
+            for bit in range(layers):
+                zeros, ones = tables[:, i]
+                if less:
+                    zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
+                level = np.searchsorted(EVIDENCE, zeros + ones, side="right")
+                both, sure = (zeros > 0) & (ones > 0), alone[i][level]
+                some = slice(bit * _SLOTS, (bit + 1) * _SLOTS)
+                self.odds[i, some] = np.where(both, np.log((ones + PRIOR) / (zeros + PRIOR)), np.where(level == 0, 0, np.where(ones > 0, sure, -sure)))
+                if i >= _N - 2:
+                    self.parts[i - _N, some] = level + _CLASSES * both
+
+    def mixed(self, words: list[bytes], code: Code, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each word, values, inputs, gates, and the combined log-odds of a 1."""
-        sizes, bits, counts = self.seen(words, less)
-        inputs, parts = zip(*[self.odds(i, *v) for i, v in enumerate(counts)], strict=True)
-        x, gate = np.stack(inputs, axis=1), parts[-1] * _CLASSES + parts[-2] % _CLASSES
-        return sizes, bits, x, gate, np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -25, 25)
+        sizes, bits, slots = spelled(words, code)
+        if self.odds.shape[1] > _SLOTS:
+            slots = slots + bits.astype(np.int32) * np.int32(_SLOTS)
+        x = np.empty((len(bits), _N), dtype=np.float32)
+        for i in range(_N):
+            x[:, i] = self.odds[i][slots[i]]
+        gate = self.parts[1][slots[-1]].astype(np.int64) * _CLASSES + self.parts[0][slots[-2]] % _CLASSES
+        return sizes, bits, x, gate, np.clip(np.einsum("ij,ij->i", x, weights[gate]), -25, 25)
+
+
+class Speller:
+    """Gated mixing of what hashed byte contexts saw."""
+
+    def __init__(self, code: Code, looks: Looks, weights: np.ndarray) -> None:
+        self.code, self.looks, self.weights = code, looks, weights
 
     def logs(self, words: list[bytes]) -> np.ndarray:
         """log10 of the probability of each word's spelling."""
         out = [np.zeros(0)]
         for a in range(0, len(words), 4_000):
-            sizes, bits, _, _, mixed = self.mixed(words[a : a + 4_000], 0)
+            sizes, bits, _, _, mixed = self.looks.mixed(words[a : a + 4_000], self.code, self.weights)
             cost = np.log1p(np.exp(np.where(bits, -mixed, mixed)))
             out.append(-np.add.reduceat(cost, np.cumsum(sizes) - sizes) / np.log(10))
         return np.concatenate(out)
 
-    def fit(self, words: list[bytes]) -> None:
-        """The log-odds of single values, then damped Newton steps of a logistic
-        regression for each gate, every word without one sight of itself."""
-        if not words:
-            return
-        alone = np.zeros((_N, 2 * _CLASSES))
-        for a in range(0, len(words), 4_000):
-            _, bits, counts = self.seen(words[a : a + 4_000], 1)
-            for i, (zeros, ones) in enumerate(counts):
-                single = (zeros > 0) != (ones > 0)
-                level = np.searchsorted(EVIDENCE, (zeros + ones)[single], side="right")
-                again = (ones[single] > 0) == (bits[single] > 0)
-                alone[i] += np.bincount(2 * level + again, minlength=2 * _CLASSES)
-        self.alone = np.log((alone[:, 1::2] + 0.5) / (alone[:, ::2] + 0.5)).astype(np.float32)
-        for _ in range(NEWTON):
-            sums = np.zeros((_GATES, _N * (_N + 1)))
-            for a in range(0, len(words), 4_000):
-                _, y, x, gate, mixed = self.mixed(words[a : a + 4_000], 1)
-                sums += newton_sums(x, y, mixed, gate, _GATES)
-            self.weights += newton_step(sums, _N).astype(np.float32)
+
+def start_spelling() -> np.ndarray:
+    """By gate, before they are fitted: the whole word counts most."""
+    weights = np.full((_GATES, _N), 0.1, dtype=np.float32)
+    weights[:, -1] = 0.6
+    return weights
 
 
 def newton_sums(x: np.ndarray, y: np.ndarray, mixed: np.ndarray, gate: np.ndarray, gates: int) -> np.ndarray:
@@ -587,13 +598,14 @@ def newton_sums(x: np.ndarray, y: np.ndarray, mixed: np.ndarray, gate: np.ndarra
     sums = np.zeros((gates, n * (n + 1)))
     if not len(y):
         return sums
-    p = 1 / (1 + np.exp(-mixed))
-    order = np.argsort(gate, kind="stable")
-    present, heads = np.unique(gate[order], return_index=True)
-    for g, some in zip(present, np.split(order, heads[1:]), strict=True):
-        xs, q = x[some].astype(np.float64), p[some]
-        sums[g, :n] = (y[some] - q) @ xs
-        sums[g, n:] = ((xs * (q * (1 - q))[:, None]).T @ xs).reshape(-1)
+    p = 1 / (1 + np.exp(-mixed.astype(np.float64)))
+    miss, sure = y - p, p * (1 - p)
+    columns = [x[:, i].astype(np.float64) for i in range(n)]
+    for i, column in enumerate(columns):
+        sums[:, i] = np.bincount(gate, weights=miss * column, minlength=gates)
+        part = sure * column
+        for j in range(i, n):
+            sums[:, n + i * n + j] = sums[:, n + j * n + i] = np.bincount(gate, weights=part * columns[j], minlength=gates)
     return sums
 
 
@@ -650,7 +662,28 @@ def _summed(units: DataFrame, rows, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def _train_speller(units: DataFrame, fit_words: int) -> Speller:
+def _spelling_sums(shared: Broadcast, weights: np.ndarray, share: float):
+    """Newton sums by gate over the words seen once, each less its own sight."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, looks = shared.value
+        total = np.zeros((_GATES, _N * (_N + 1)))
+        for pdf in batches:
+            for once in pdf["once"]:
+                words = once.split(b" ") if once else []
+                if share < 1:
+                    words = [w for w in words if zlib.crc32(w) < share * (1 << 32)]
+                for a in range(0, len(words), 4_000):
+                    _, y, x, gate, mixed = looks.mixed(words[a : a + 4_000], code, weights)
+                    total += newton_sums(x, y, mixed, gate, _GATES)
+        yield _numbered(total)
+
+    return rows
+
+
+def _train_speller(units: DataFrame, fit_words: int | None) -> Speller:
+    """Counts, the log-odds of single values, and the damped Newton steps of a logistic
+    regression for each gate: all over every word that training saw once."""
     sums = np.zeros(256)
     for byte, n in units.select("once").mapInPandas(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect():  # 256 rows
         sums[byte] = n
@@ -659,12 +692,14 @@ def _train_speller(units: DataFrame, fit_words: int) -> Speller:
     tables = np.zeros((2 * _N * _SLOTS // SLOT_BLOCK, SLOT_BLOCK), dtype=np.float32)
     for block, data in partial.repartition("block").mapInPandas(_add_blocks, "block int, sums binary").toLocalIterator():  # 16 MB
         tables[block] = np.frombuffer(data, "<f4")
-    speller = Speller(code, tables.reshape(2, _N, _SLOTS))
-    words = units.select(F.explode(F.split(F.expr("cast(once as string)"), " ")).alias("w")).filter("w != ''")
-    there = max(1, int(sums[SPACE]))
-    sample = words.filter(F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int(min(1.0, fit_words / there) * (1 << 20)))
-    speller.fit([r.w.encode() for r in sample.collect()])  # fit_words words, about
-    return speller
+    tables = tables.reshape(2, _N, _SLOTS)
+    alone, weights = alone_odds(tables), start_spelling()
+    shared = units.sparkSession.sparkContext.broadcast((code, Looks(tables, alone, True)))  # 18 MB
+    share = 1.0 if fit_words is None else min(1.0, fit_words / max(1, int(sums[SPACE])))
+    for _ in range(NEWTON if sums[SPACE] else 0):
+        weights += newton_step(_summed(units.select("once"), _spelling_sums(shared, weights, share), (_GATES, _N * (_N + 1))), _N).astype(np.float32)
+    shared.destroy()
+    return Speller(code, Looks(tables, alone, False), weights)
 
 
 @dataclass
@@ -699,16 +734,17 @@ def counted_units(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
     return counted, int(tokens), int(distinct), int(texts)
 
 
-def fit(units: DataFrame, tokens: int, distinct: int, texts: int, fit_units: int = FIT_UNITS, fit_words: int = FIT_WORDS) -> Model:
-    """The small contexts' counts are those of all units, as are the words that spelling
-    is trained on; the gates' weights are fitted on ``fit_units`` units, about, and those of
-    spelling on ``fit_words`` words."""
+def fit(units: DataFrame, tokens: int, distinct: int, texts: int, fit_units: int | None = None, fit_words: int | None = None) -> Model:
+    """All counts and weights are fitted on all units; ``fit_units`` and ``fit_words`` are bounds,
+    about, that a caller may set for the weights' units and words."""
     counts = _summed(units.select("small"), _small_counts, (_BITS, 3, _SMALL, 2))
     tables = np.log((counts[..., 1] + PRIOR) / (counts[..., 0] + PRIOR)).astype(np.float32)
     weights = start_weights()
-    share = min(1.0, fit_units / max(1, units.count()))
-    sample = units.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sums = _summed(sample.select("c1", "c2", "c3", "sizes", "learn"), _weight_sums(tokens, texts, tables, weights), (_BITS, _RUNS, _INPUTS * (_INPUTS + 1)))
+    some = units
+    if fit_units is not None:
+        share = min(1.0, fit_units / max(1, units.count()))
+        some = units.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sums = _summed(some.select("c1", "c2", "c3", "sizes", "learn"), _weight_sums(tokens, texts, tables, weights), (_BITS, _RUNS, _INPUTS * (_INPUTS + 1)))
     for bit in range(_BITS):
         weights[bit] += newton_step(sums[bit], _INPUTS)
     return Model(tokens, distinct, texts, tables, weights, _train_speller(units, fit_words))
@@ -743,7 +779,7 @@ def _score(shared: Broadcast):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def score_split(docs: DataFrame, learnable: Column, held_out: Column, fit_units: int = FIT_UNITS, fit_words: int = FIT_WORDS) -> DataFrame:
+def score_split(docs: DataFrame, learnable: Column, held_out: Column, fit_units: int | None = None, fit_words: int | None = None) -> DataFrame:
     """Learn from the rows where ``learnable`` holds and score all: ``doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, a row for each
     input row.
@@ -754,8 +790,9 @@ def score_split(docs: DataFrame, learnable: Column, held_out: Column, fit_units:
     length; repeated rows are scored alike; other columns are ignored, whatever their names;
     an empty table gives no rows, and with nothing to learn all counts are 0.
 
-    Counts are of all learnable texts. The few hundred weights that combine them are fitted
-    on bounded samples, about ``fit_units`` units of 4 MB and ``fit_words`` words.
+    Counts are of all learnable texts, and the few hundred weights that combine them are
+    fitted on all of them. A caller may bound that fit to about ``fit_units`` units of 4 MB and
+    ``fit_words`` words.
     """
     spark: SparkSession = docs.sparkSession
     picked = small_batches(docs).select("doc_id", "text", F.coalesce(learnable, F.lit(False)).alias("learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"))

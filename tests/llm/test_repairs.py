@@ -159,6 +159,50 @@ def test_scores_with_other_samples_for_the_weights(spark):
     assert all(r.score < 0 for r in few)
 
 
+def _plain_spelling(words, code):
+    """The weights of spelling, fitted on all words bit by bit, each without its own sight."""
+    cm = context_mixing
+    _, bits, slots = cm.spelled(words, code)
+    seen = [[np.bincount(s[bits == b], minlength=1 << cm.SLOT_BITS)[s] - (bits == b) for b in (0, 1)] for s in slots]
+    level = [np.searchsorted(cm.EVIDENCE, z + o, side="right") for z, o in seen]
+    both, x = [(z > 0) & (o > 0) for z, o in seen], []
+    for (zeros, ones), k, b in zip(seen, level, both, strict=True):
+        again = (ones > 0) == (bits > 0)
+        hit, miss = (np.bincount(k[~b & (k > 0) & w], minlength=len(cm.EVIDENCE) + 1) for w in (again, ~again))
+        sure = np.log((hit + 0.5) / (miss + 0.5))[k]
+        x.append(np.where(b, np.log((ones + cm.PRIOR) / (zeros + cm.PRIOR)), np.where(k == 0, 0, np.where(ones > 0, sure, -sure))))
+    x, classes = np.stack(x, axis=1), len(cm.EVIDENCE) + 1
+    gate = (level[-1] + classes * both[-1]) * classes + (level[-2] + classes * both[-2]) % classes
+    weights = np.tile([0.1, 0.1, 0.1, 0.6], (2 * classes * classes, 1))
+    for _ in range(cm.NEWTON):
+        p = 1 / (1 + np.exp(-np.clip((x * weights[gate]).sum(axis=1), -25, 25)))
+        for g in np.unique(gate):
+            xs, q, y = x[gate == g], p[gate == g], bits[gate == g]
+            curvature = (xs * (q * (1 - q))[:, None]).T @ xs
+            weights[g] += np.clip(np.linalg.solve(curvature + (0.01 * np.trace(curvature) / 4 + 1) * np.eye(4), (y - q) @ xs), -0.5, 0.5)
+    return weights
+
+
+def test_weights_are_fitted_on_all_units_and_words(spark):
+    # more words seen once, and more units, than the fits once took (50,000 and 64)
+    rng = np.random.default_rng(4)
+    texts = ["the end of " + " ".join("".join(map(chr, w)) for w in rng.integers(97, 107, (800, 7))) for _ in range(80)]
+    rows = spark.sparkContext.parallelize([(i, t, True, False) for i, t in enumerate(texts)], 80)  # a unit each
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean, held_out boolean")
+    units, *sums = context_mixing.counted_units(docs)
+    model = context_mixing.fit(units, *sums)
+    rows = units.toPandas()
+    words = [w for once in rows["once"] for w in bytes(once).split(b" ") if w]
+    assert len(rows) > 64 and len(words) > 60_000
+    assert np.abs(model.speller.weights - _plain_spelling(words, model.speller.code)).max() < 1e-3
+    found = np.zeros(3 * 8 * 30)
+    for part in context_mixing._weight_sums(sums[0], sums[2], model.tables, context_mixing.start_weights())(iter([rows])):
+        found[part["i"]] += part["v"]
+    for bit in range(3):
+        step = context_mixing.newton_step(found.reshape(3, 8, 30)[bit], 5)
+        assert np.abs(model.weights[bit] - context_mixing.start_weights()[bit] - step).max() < 1e-6
+
+
 def _plain_parts(url):
     if not url or "://" not in url:
         return "", ""

@@ -18,7 +18,8 @@ all known tokens and of spelling add up to 1.
 Spelling: each byte of a word and a terminator are the bits of a Huffman code, predicted
 by the log-odds that hashed contexts (two, three or five bytes, the word so far) gave at
 that node of the code, combined by gated weights. It is trained on the words that training
-saw once: these are what unknown words look like.
+saw once: these are what unknown words look like. What words of a unit begin alike with is
+looked up once and counts as often as words begin so.
 
 All counts of words, pairs and triples grow with the corpus; those of words are exact, pairs
 and triples are told apart by hashes (HASH_BYTES). They are held nowhere whole: texts are bundled into units of a few MB; a unit sends the hashes of its
@@ -35,16 +36,18 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, tidy
-from .textkit import _powers, chunks, hashed_words, lowered, mix, ranges, span_hashes
+from .textkit import CHUNK, _powers, chunks, hashed_words, lowered, mix, ranges, span_hashes
 
 ORDERS = (2, 3, 5, 0)  # preceding bytes; 0: the whole word so far
 SLOT_BITS = 19  # of each byte predictor's table
@@ -55,8 +58,8 @@ SLOT_BLOCK = 1 << 14  # slots in a row of a partial table
 UNIT_BYTES, BUCKET_BYTES, HASH_BYTES = 4 << 20, 8 << 20, (5, 4)
 #: Tokens between two moves of a text's weights, the moves' rate, the weights' bound.
 BLOCK, RATE, BOUND = 32, 0.004, 2.0
-#: Tokens of a unit that are taken up at once.
-SLICE = 1 << 17
+#: Tokens of a unit that are taken up at once; bits that are summed up at once.
+SLICE, BITS = 1 << 17, 1 << 15
 #: What is added to the counts of zeros and ones; from how many sights on a byte context's
 #: evidence is of the next class; Newton steps of the spelling weights.
 PRIOR, EVIDENCE, NEWTON = 0.4, (1, 2, 3, 5, 10, 30, 100, 1000), 3
@@ -74,18 +77,49 @@ _BITS, _SMALL, _INPUTS, _RUNS = 3, 256, 5, 8
 # Units: texts bundled, as hashes of words.
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Non-negative integers by byte, the lowest first, as many as the largest needs."""
     width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
     flat = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(flat.T).tobytes(), 1)
+    return bytes([width]) + _packed(np.ascontiguousarray(flat.T).tobytes())
 
 
 def _whole(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((flat.shape[1], 8), dtype=np.uint8)
-    out[:, : data[0]] = flat.T
-    return out.view("<i8").reshape(-1)
+    planes = np.frombuffer(_unpacked(data[1:]), np.uint8).reshape(data[0], -1)
+    out = planes[-1].astype(np.int64)
+    for plane in planes[-2::-1]:
+        out <<= 8
+        out |= plane
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unsigned 64-bit keys: the distinct ones, ascending, where each is first, and for each
+    key its place among them. Sorts numbers that hold a key's upper bits and where it was;
+    only if keys differ in the bits that don't fit are they sorted again."""
+    n = len(keys)
+    shift = np.uint64(n.bit_length())
+    spare = np.uint64(max(0, int(keys.max(initial=0)).bit_length() + int(shift) - 64))
+    both = ((keys >> spare) << shift) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    ascending = keys[order]
+    if spare and (ascending[1:] < ascending[:-1]).any():
+        again = np.argsort(ascending, kind="stable")
+        order, ascending = order[again], ascending[again]
+    head = np.ones(n, dtype=bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=head[1:])
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.cumsum(head) - 1
+    return ascending[head], order[head], place
 
 
 UNIT = "unit long, doc_ids array<long>, learn array<boolean>, held array<boolean>, sizes array<int>, bytes array<int>, tokens binary, words binary"
@@ -106,15 +140,14 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes += np.diff(first).tolist()
             pieces.append((buf.tobytes(), starts, ends))
         every = np.concatenate(hashes)
-        distinct, some, inverse = np.unique(every, return_index=True, return_inverse=True)
-        rank = np.argsort(some, kind="stable")  # the end first
-        at = np.empty(len(rank), dtype=np.int64)
-        at[rank] = np.arange(len(rank))
+        _, some, inverse = distinct(every)
+        new = np.zeros(len(every), dtype=bool)
+        new[some] = True
+        at = (np.cumsum(new) - 1)[some]  # numbers go by where words are first, the end before all
         offset = 1
-        firsts = some[rank][1:]
         for data, starts, ends in pieces:
-            own = firsts[(firsts >= offset) & (firsts < offset + len(starts))] - offset
-            spans += [data[i:j] for i, j in zip(starts[own], ends[own], strict=True)]
+            own = new[offset : offset + len(starts)]
+            spans += [data[i:j] for i, j in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             offset += len(starts)
         tokens = np.zeros(len(every) - 1 + len(texts), dtype=np.int64)
         n = np.array(sizes, dtype=np.int64)
@@ -122,7 +155,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = [None if r[0] is None or r[0] != r[0] else int(r[0]) for r in rows]
         frame = pd.DataFrame({
             "unit": [number], "doc_ids": [ids], "learn": [[bool(r[1]) for r in rows]], "held": [[bool(r[2]) for r in rows]], "sizes": [(n + 1).tolist()],
-            "bytes": [[len(t) for t in texts]], "tokens": [_planes(tokens)], "words": [zlib.compress(b" ".join(spans[1:]), 1)],
+            "bytes": [[len(t) for t in texts]], "tokens": [_planes(tokens)], "words": [_packed(b" ".join(spans[1:]))],
         })
         number += 1
         return frame
@@ -148,7 +181,9 @@ class Unit:
     """A unit taken apart: words, tokens, each document's first token, and for every
     token the keys of its word, its pair and its triple (none for a first token)."""
 
-    words: list[bytes]
+    words: bytes  # all but the end, a blank between two
+    starts: np.ndarray
+    ends: np.ndarray
     tokens: np.ndarray
     sizes: np.ndarray
     first: np.ndarray
@@ -156,12 +191,20 @@ class Unit:
 
     @classmethod
     def of(cls, tokens: bytes, words: bytes, sizes: list[int], learn: list[bool]) -> Unit:
-        n, words = np.asarray(sizes, dtype=np.int64), zlib.decompress(words)
-        return cls([END, *words.split(b" ")] if words else [END], _whole(tokens), n, np.cumsum(n) - n, np.repeat(np.asarray(learn, dtype=bool), n))
+        n, words = np.asarray(sizes, dtype=np.int64), _unpacked(words)
+        blanks = np.flatnonzero(np.frombuffer(words + b" " if words else b"", np.uint8) == SPACE)
+        starts = np.concatenate(([0], blanks[:-1] + 1))[: len(blanks)]
+        return cls(words, starts, blanks, _whole(tokens), n, np.cumsum(n) - n, np.repeat(np.asarray(learn, dtype=bool), n))
+
+    def spans(self, numbers: np.ndarray) -> list[bytes]:
+        """The words of these numbers."""
+        own = np.maximum(numbers - 1, 0)
+        some = zip(numbers.tolist(), self.starts[own].tolist(), self.ends[own].tolist(), strict=True) if len(self.starts) else ((i, 0, 0) for i in numbers.tolist())
+        return [self.words[i:j] if k else END for k, i, j in some]
 
     def keys(self) -> np.ndarray:
         """Three rows by token: hashes of the word, the pair, the triple."""
-        h = word_hashes(self.words)[self.tokens]
+        h = np.concatenate(([_END_HASH], word_hashes(self.words, self.starts, self.ends)))[self.tokens]
         before = np.concatenate(([_START], h[:-1]))
         before[self.first] = _START
         second = np.concatenate(([_START], before[:-1]))
@@ -174,24 +217,19 @@ class Unit:
         """Distinct words, then pairs and triples, as (bucket, hash within it) in one
         number each, ascending; where the words end; and for each key its place."""
         keys = self.keys()
-        words, at = np.unique(keys[0] >> np.uint64(64 - bits - 8 * HASH_BYTES[0]), return_inverse=True)
-        rest, place = np.unique(keys[1:].reshape(-1) >> np.uint64(64 - bits - 8 * HASH_BYTES[1]), return_inverse=True)
-        return words, rest, np.concatenate([at.reshape(-1), place.reshape(-1) + len(words)])
+        words, _, at = distinct(keys[0] >> np.uint64(64 - bits - 8 * HASH_BYTES[0]))
+        rest, _, place = distinct(keys[1:].reshape(-1) >> np.uint64(64 - bits - 8 * HASH_BYTES[1]))
+        return words, rest, np.concatenate([at, place + len(words)])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    out = []
-    for a, b in chunks(words):
-        buf, starts, ends = _spans(words[a:b])
-        out.append(span_hashes(buf, starts, ends))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    return buf, ends - sizes, ends
+def word_hashes(words: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans one after the other, about CHUNK bytes of them at once."""
+    buf, out = np.frombuffer(words, dtype=np.uint8), [np.zeros(0, np.uint64)]
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(buf), CHUNK)), len(starts)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        begin, end = starts[a], ends[b - 1]
+        out.append(span_hashes(buf[begin:end], starts[a:b] - begin, ends[a:b] - begin))
+    return np.concatenate(out)
 
 
 def _narrow(a: np.ndarray) -> bytes:
@@ -216,11 +254,10 @@ def _ask(bits: int):
             for number, tokens, words, sizes, learn in zip(pdf["unit"], pdf["tokens"], pdf["words"], pdf["sizes"], pdf["learn"], strict=True):
                 unit = Unit.of(tokens, words, sizes, learn)
                 own, rest, place = unit.asked(bits)
-                sees = np.tile(unit.learn, 3).astype(np.float64)
-                counts = np.bincount(place, weights=sees, minlength=len(own) + len(rest)).astype(np.int64)
+                counts = np.bincount(place[np.tile(unit.learn, 3)], minlength=len(own) + len(rest))
                 for kind, keys, c in ((0, own, counts[: len(own)]), (1, rest, counts[len(own) :])):
                     bucket = (keys >> np.uint64(8 * HASH_BYTES[kind])).astype(np.int64)
-                    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BYTES[kind]]
+                    low = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BYTES[kind]])
                     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
                     ends = np.append(heads[1:], len(keys))
                     for k in range(0, len(heads), 512):
@@ -242,7 +279,7 @@ def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
         width = HASH_BYTES[held[0][1]]
         low[:, :width] = np.frombuffer(b"".join([r[4] for r in held]), np.uint8).reshape(-1, width)
-        _, place = np.unique(low.view("<u8").reshape(-1), return_inverse=True)
+        _, _, place = distinct(low.view("<u8").reshape(-1).astype(np.uint64, copy=False))
         counts = np.concatenate([_wide(r[5], r[3]) for r in held])
         totals = np.bincount(place, weights=counts).astype(np.int64)
         back = totals[place]
@@ -283,14 +320,14 @@ def _count_tokens(bits: int, tokens: int, texts: int):
         c1, c2, c3 = totals[place].reshape(3, -1)
         new = np.flatnonzero(c1 == 0)
         kinds, which = np.unique(unit.tokens[new], return_inverse=True)
-        once = np.unique(unit.tokens[(c1 == 1) & unit.learn])
+        once = sorted(w for w in unit.spans(unit.tokens[(c1 == 1) & unit.learn]) if w != END)
         small = np.zeros((_BITS, 3, _SMALL, 2))
         for a, b, sources in sliced(c1, c2, c3, unit.sizes, tokens, texts, True):
             small += sources.counts(unit.learn[a:b])
         return pd.DataFrame({
             "unit": [own["unit"]], "doc_ids": [own["doc_ids"]], "learn": [own["learn"]], "held": [own["held"]], "sizes": [own["sizes"]], "bytes": [own["bytes"]],
             "c1": [_planes(c1)], "c2": [_planes(c2)], "c3": [_planes(c3)], "new_at": [_planes(np.concatenate([new, which]))],
-            "new_words": [b" ".join([unit.words[i] for i in kinds])], "once": [b" ".join([unit.words[i] for i in once if i])],
+            "new_words": [b" ".join(unit.spans(kinds))], "once": [b" ".join(once)],
             "small": [_planes(small.reshape(-1))],
         })
 
@@ -299,7 +336,7 @@ def _count_tokens(bits: int, tokens: int, texts: int):
 
 def _level(n: np.ndarray) -> np.ndarray:
     """0, then a class for each binary digit, 15 at most."""
-    return np.minimum(np.frexp(np.maximum(n, 0).astype(np.float64))[1], 15)
+    return np.minimum(np.frexp(np.maximum(n, 0).astype(np.float64))[1], 15).astype(np.intp)
 
 
 class Sources:
@@ -321,45 +358,55 @@ class Sources:
         seen = [np.maximum(c - one, 0) for c in (np.where(head, 0, c3), c2, c1)]
         total = [np.maximum(t - one, 0) for t in (t3, t2, np.full(n, tokens))]
         hit = [(s > 0) & (t > 0) for s, t in zip(seen, total, strict=True)]
-        self.first, self.sizes = first, sizes
+        self.first, self.sizes, self.begin = first, sizes, begin
+        self.seen, self.total = seen, total
         self.value = np.stack(hit)
         open_ = [total[0] > 0, (total[1] > 0) & ~hit[0], (total[2] > 0) & ~hit[0] & ~hit[1]]
         self.coded = np.stack(open_)  # bits that a text's learning goes by
         self.there = np.stack([t > 0 for t in total])
-        self.share = np.stack([s / np.maximum(t, 1) for s, t in zip(seen, total, strict=True)])
         status = np.where(hit[0], 3, np.where(hit[1], 2, np.where(hit[2], 1, 0)))
         s1 = np.where(head, 0, np.concatenate(([0], status[:-1])))
         s2 = np.where(index - begin < 2, 0, np.concatenate(([0, 0], status[:-2]))[:n])
         broken = np.maximum.accumulate(np.where(status != 3, index, -1))
         run = index - 1 - np.maximum(np.concatenate(([-1], broken[:-1])), begin - 1)
-        self.gate = np.minimum(np.frexp(np.maximum(run, 0).astype(float))[1], _RUNS - 1)
+        self.gate = np.minimum(_level(run), _RUNS - 1)
         l3, l2 = _level(total[0]), _level(total[1])
         self.small = np.stack([l3 * _RUNS + self.gate, l3 * 16 + l2, (s1 * 4 + s2) * 16 + l2])
-        history = []
+
+    @cached_property
+    def share(self) -> np.ndarray:
+        return np.stack([s / np.maximum(t, 1) for s, t in zip(self.seen, self.total, strict=True)])
+
+    @cached_property
+    def history(self) -> np.ndarray:
+        out = []
         for bit in range(_BITS):
             past = []
             for x in (self.coded[bit] & self.value[bit], self.coded[bit] & ~self.value[bit]):
                 up = np.concatenate(([0], np.cumsum(x)))
-                past.append(up[:-1] - up[begin])
-            history.append(np.log((past[0] + 0.5) / (past[1] + 0.5)))
-        self.history = np.stack(history).astype(np.float32)
+                past.append(up[:-1] - up[self.begin])
+            out.append(np.log((past[0] + 0.5) / (past[1] + 0.5)))
+        return np.stack(out).astype(np.float32)
 
     def counts(self, where: np.ndarray) -> np.ndarray:
         """How often each small context's bit was 0 and 1, over the tokens ``where``."""
         out = np.zeros((_BITS, 3, _SMALL, 2))
         for bit in range(_BITS):
-            some = self.coded[bit] & where
+            some = np.flatnonzero(self.coded[bit] & where)
+            value = self.value[bit].take(some)
             for i in range(3):
-                out[bit, i] = np.bincount(2 * self.small[i][some] + self.value[bit][some], minlength=2 * _SMALL).reshape(-1, 2)
+                out[bit, i] = np.bincount(2 * self.small[i].take(some) + value, minlength=2 * _SMALL).reshape(-1, 2)
         return out
 
-    def inputs(self, tables: np.ndarray, bit: int) -> np.ndarray:
-        """Tokens by inputs. tables: log-odds by bit and small context."""
-        x = np.ones((self.gate.shape[0], _INPUTS), dtype=np.float32)
+    def inputs(self, tables: np.ndarray, bit: int, some: np.ndarray | None = None) -> np.ndarray:
+        """Tokens by inputs, of all tokens or of some. tables: log-odds by bit and small context."""
+        if some is None:
+            some = np.arange(len(self.gate))
+        x = np.ones((_INPUTS, len(some)), dtype=np.float32)
         for i in range(3):
-            x[:, i] = tables[bit, i][self.small[i]]
-        x[:, 3] = self.history[bit]
-        return x
+            x[i] = tables[bit, i].take(self.small[i].take(some))
+        x[3] = self.history[bit].take(some)
+        return x.T
 
 
 def sliced(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, sizes: np.ndarray, tokens: int, texts: int, less: bool) -> Iterator[tuple[int, int, Sources]]:
@@ -388,11 +435,19 @@ def source_chances(sources: Sources, tables: np.ndarray, weights: np.ndarray) ->
     # tokens block by block, in each the texts that reach it, the longest first
     lane = np.empty(len(order), dtype=np.int64)
     lane[order] = np.arange(len(order))
-    place = np.arange(len(sources.gate)) - np.repeat(sources.first, sources.sizes)
-    at = np.argsort(place // BLOCK * len(order) + np.repeat(lane, sources.sizes), kind="stable")
-    x = np.stack([sources.inputs(tables, bit)[at] for bit in range(_BITS)], axis=1)
-    gate = sources.gate[at]
-    base = np.stack([np.einsum("ij,ij->i", x[:, bit], weights[bit][gate].astype(np.float32)) for bit in range(_BITS)], axis=1)
+    blocks = -(-sources.sizes // BLOCK)
+    done = ranges(np.zeros(len(blocks), dtype=np.int64), blocks)
+    turn = np.argsort(done * len(order) + np.repeat(lane, blocks))
+    begins = (np.repeat(sources.first, blocks) + done * BLOCK)[turn]
+    at = ranges(begins, np.minimum(np.repeat(sources.sizes, blocks) - done * BLOCK, BLOCK)[turn])
+    x = np.empty((len(at), _BITS, _INPUTS), dtype=np.float32)
+    base = np.zeros((len(at), _BITS), dtype=np.float32)
+    gate = sources.gate.take(at)
+    for bit in range(_BITS):
+        columns, own_weights = sources.inputs(tables, bit, at).T, weights[bit].T.astype(np.float32)
+        for i in range(_INPUTS):
+            x[:, bit, i] = columns[i]
+            base[:, bit] += columns[i] * own_weights[i].take(gate)
     coded, value = sources.coded.T[at].astype(np.float32), sources.value.T[at].astype(np.float32)
     mixed_in = np.empty(base.shape, dtype=np.float32)
     own = np.zeros((len(sizes), _BITS, _INPUTS), dtype=np.float32)
@@ -417,8 +472,10 @@ def token_logs(sources: Sources, chances: np.ndarray, spelling: np.ndarray) -> n
     0 (not used) for known ones."""
     (p3, p2, p1), (q3, q2, q1) = chances, sources.share
     known = p3 * q3 + (1 - p3) * (p2 * q2 + (1 - p2) * p1 * q1)
-    left = np.log1p(-p3) + np.log1p(-p2) + np.log1p(-p1)
-    return np.where(sources.value.any(axis=0), np.log10(np.maximum(known, 1e-300)), left / np.log(10) + spelling)
+    new = ~sources.value.any(axis=0)
+    out = np.log10(np.maximum(known, 1e-300))
+    out[new] = (np.log1p(-p3[new]) + np.log1p(-p2[new]) + np.log1p(-p1[new])) / np.log(10) + spelling[new]
+    return out
 
 
 # Spelling.
@@ -451,10 +508,9 @@ class Code:
         self.bits = np.array([b for _, b in flat], dtype=np.uint8)
 
 
-def spelled(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words one after the other: bits of each word, the bits, and each bit's slot in
-    every predictor's table (predictors by bits). The end is its one byte, without a
-    terminator."""
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words one after the other: bytes, sizes, each byte's place in its word, and the hash of
+    what is before it, for every predictor. The end is its one byte, without a terminator."""
     buf = np.frombuffer(b"".join([w if w == END else w + b" " for w in words]), dtype=np.uint8)
     sizes = np.array([1 if w == END else len(w) + 1 for w in words], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -473,15 +529,46 @@ def spelled(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, np.
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64, out=sums[1:])
         begin = np.repeat(starts, sizes)
         contexts[ORDERS.index(0)] = (mix((sums[:-1] - sums[begin]) * down[begin] + place.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return buf, sizes, place, contexts
+
+
+def _bits_of(buf: np.ndarray, contexts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of each byte, the bits, and each bit's slot in every predictor's table (predictors
+    by bits)."""
     lengths = code.sizes[buf]
     where = ranges(code.first[buf], lengths)
-    node = code.nodes[where]
+    node = code.nodes.take(where) * np.uint32(0x9E3779B1)
     slots = np.empty((_N, len(where)), dtype=np.int32)
     for i in range(_N):
-        h = (np.repeat(contexts[i], lengths) + node * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+        h = (np.repeat(contexts[i], lengths) + node) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
         slots[i] = (h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOT_BITS)
-    return np.add.reduceat(lengths, starts), code.bits[where], slots
+    return lengths, code.bits.take(where), slots
+
+
+def spelled(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words one after the other: bits of each word, the bits, and their slots."""
+    buf, sizes, _, contexts = _letters(words)
+    lengths, bits, slots = _bits_of(buf, contexts, code)
+    return np.add.reduceat(lengths, np.cumsum(sizes) - sizes), bits, slots
+
+
+def spelled_alike(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of words and their slots, those that a word and the one before it begin alike with
+    once, and how many words each stands for: the same bits in the same contexts. The words
+    may come in any order; sorted, half the bytes go."""
+    buf, sizes, place, contexts = _letters(words)
+    starts = np.cumsum(sizes) - sizes
+    back = np.repeat(np.concatenate((np.zeros(1, dtype=np.int64), sizes[:-1])), sizes)
+    alike = (place < back) & (buf[np.arange(len(buf)) - back] == buf)
+    until = np.minimum.reduceat(np.where(alike, len(buf), place), starts)
+    new = place >= np.repeat(until, sizes)
+    # by place, then word: those that a byte stands for follow it
+    order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
+    heads = np.flatnonzero(new[order])
+    some, times = order[heads], np.diff(np.append(heads, len(buf)))
+    lengths, bits, slots = _bits_of(buf[some], contexts[:, some], code)
+    return bits, slots, np.repeat(times, lengths)
 
 
 def _byte_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -501,10 +588,12 @@ def _context_counts(code: Code):
             for once in pdf["once"]:
                 words = once.split(b" ") if once else []
                 for a in range(0, len(words), 10_000):
-                    _, bits, slots = spelled(words[a : a + 10_000], code)
-                    for i in range(_N):
-                        for bit in (0, 1):
-                            tables[bit, i] += np.bincount(slots[i][bits == bit], minlength=_SLOTS).astype(np.uint32)
+                    bits, slots, times = spelled_alike(words[a : a + 10_000], code)
+                    times = times.astype(np.uint32)
+                    for bit in (0, 1):
+                        some = np.flatnonzero(bits == bit)
+                        for i in range(_N):
+                            np.add.at(tables[bit, i], slots[i].take(some), times.take(some))
         flat = tables.reshape(-1, SLOT_BLOCK)
         some = np.flatnonzero(flat.any(axis=1))
         for k in range(0, len(some), 32):
@@ -557,16 +646,17 @@ class Looks:
                 if i >= _N - 2:
                     self.parts[i - _N, some] = level + _CLASSES * both
 
-    def mixed(self, words: list[bytes], code: Code, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bits of each word, values, inputs, gates, and the combined log-odds of a 1."""
-        sizes, bits, slots = spelled(words, code)
+    def mixed(self, bits: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of bits: inputs, gates, and the combined log-odds of a 1."""
         if self.odds.shape[1] > _SLOTS:
             slots = slots + bits.astype(np.int32) * np.int32(_SLOTS)
-        x = np.empty((len(bits), _N), dtype=np.float32)
-        for i in range(_N):
-            x[:, i] = self.odds[i][slots[i]]
-        gate = self.parts[1][slots[-1]].astype(np.int64) * _CLASSES + self.parts[0][slots[-2]] % _CLASSES
-        return sizes, bits, x, gate, np.clip(np.einsum("ij,ij->i", x, weights[gate]), -25, 25)
+        gate = self.parts[1].take(slots[-1]).astype(np.intp) * _CLASSES + self.parts[0].take(slots[-2]) % _CLASSES
+        x = np.empty((_N, len(bits)), dtype=np.float32)
+        mixed = np.zeros(len(bits), dtype=np.float32)
+        for i, column in enumerate(weights.T.astype(np.float32)):
+            x[i] = self.odds[i].take(slots[i])
+            mixed += x[i] * column.take(gate)
+        return x.T, gate, np.clip(mixed, -25, 25)
 
 
 class Speller:
@@ -579,7 +669,8 @@ class Speller:
         """log10 of the probability of each word's spelling."""
         out = [np.zeros(0)]
         for a in range(0, len(words), 4_000):
-            sizes, bits, _, _, mixed = self.looks.mixed(words[a : a + 4_000], self.code, self.weights)
+            sizes, bits, slots = spelled(words[a : a + 4_000], self.code)
+            _, _, mixed = self.looks.mixed(bits, slots, self.weights)
             cost = np.log1p(np.exp(np.where(bits, -mixed, mixed)))
             out.append(-np.add.reduceat(cost, np.cumsum(sizes) - sizes) / np.log(10))
         return np.concatenate(out)
@@ -592,20 +683,26 @@ def start_spelling() -> np.ndarray:
     return weights
 
 
-def newton_sums(x: np.ndarray, y: np.ndarray, mixed: np.ndarray, gate: np.ndarray, gates: int) -> np.ndarray:
-    """By gate: gradient and curvature of the cost of bits y whose log-odds are mixed."""
+def newton_sums(x: np.ndarray, y: np.ndarray, mixed: np.ndarray, gate: np.ndarray, gates: int, times: np.ndarray | None = None) -> np.ndarray:
+    """By gate: gradient and curvature of the cost of bits y whose log-odds are mixed, each
+    counted ``times`` (once, if not given)."""
     n = x.shape[1]
     sums = np.zeros((gates, n * (n + 1)))
-    if not len(y):
-        return sums
-    p = 1 / (1 + np.exp(-mixed.astype(np.float64)))
-    miss, sure = y - p, p * (1 - p)
-    columns = [x[:, i].astype(np.float64) for i in range(n)]
-    for i, column in enumerate(columns):
-        sums[:, i] = np.bincount(gate, weights=miss * column, minlength=gates)
-        part = sure * column
-        for j in range(i, n):
-            sums[:, n + i * n + j] = sums[:, n + j * n + i] = np.bincount(gate, weights=part * columns[j], minlength=gates)
+    for a in range(0, len(y), BITS):  # what the caches hold
+        some = slice(a, a + BITS)
+        p = 1 / (1 + np.exp(-mixed[some].astype(np.float64)))
+        miss, sure, own = y[some] - p, p * (1 - p), gate[some].astype(np.intp, copy=False)
+        if times is not None:
+            miss, sure = miss * times[some], sure * times[some]
+        columns = [x[some, i].astype(np.float64) for i in range(n)]
+        for i, column in enumerate(columns):
+            sums[:, i] += np.bincount(own, weights=miss * column, minlength=gates)
+            part = sure * column
+            for j in range(i, n):
+                sums[:, n + i * n + j] += np.bincount(own, weights=part * columns[j], minlength=gates)
+    for i in range(n):
+        for j in range(i):
+            sums[:, n + i * n + j] = sums[:, n + j * n + i]
     return sums
 
 
@@ -620,8 +717,9 @@ def newton_step(sums: np.ndarray, n: int) -> np.ndarray:
 # Learning, and scoring.
 
 
-def _by_token(row: pd.Series, tokens: int, texts: int, less: bool) -> Iterator[tuple[int, int, Sources]]:
-    return sliced(*(_whole(row[c]) for c in ("c1", "c2", "c3")), np.asarray(row["sizes"], dtype=np.int64), tokens, texts, less)
+def _counts_of(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by token of word, pair and triple; the documents' sizes."""
+    return _whole(row["c1"]), _whole(row["c2"]), _whole(row["c3"]), np.asarray(row["sizes"], dtype=np.int64)
 
 
 def _small_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -638,11 +736,14 @@ def _weight_sums(tokens: int, texts: int, tables: np.ndarray, weights: np.ndarra
         for pdf in batches:
             for _, row in pdf.iterrows():
                 learn = np.repeat(np.asarray(row["learn"], dtype=bool), np.asarray(row["sizes"], dtype=np.int64))
-                for a, b, sources in _by_token(row, tokens, texts, True):
+                for a, b, sources in sliced(*_counts_of(row), tokens, texts, True):
                     for bit in range(_BITS):
                         some = np.flatnonzero(sources.coded[bit] & learn[a:b])
-                        x, gate = sources.inputs(tables, bit)[some], sources.gate[some]
-                        mixed = np.clip(np.einsum("ij,ij->i", x, weights[bit][gate]), -12, 12)
+                        x, gate = sources.inputs(tables, bit, some), sources.gate[some]
+                        mixed = np.zeros(len(some))
+                        for i, column in enumerate(weights[bit].T):
+                            mixed += x[:, i] * column.take(gate)
+                        mixed = np.clip(mixed, -12, 12)
                         total[bit] += newton_sums(x, sources.value[bit][some], mixed, gate, _RUNS)
         yield _numbered(total)
 
@@ -674,8 +775,9 @@ def _spelling_sums(shared: Broadcast, weights: np.ndarray, share: float):
                 if share < 1:
                     words = [w for w in words if zlib.crc32(w) < share * (1 << 32)]
                 for a in range(0, len(words), 4_000):
-                    _, y, x, gate, mixed = looks.mixed(words[a : a + 4_000], code, weights)
-                    total += newton_sums(x, y, mixed, gate, _GATES)
+                    bits, slots, times = spelled_alike(words[a : a + 4_000], code)
+                    x, gate, mixed = looks.mixed(bits, slots, weights)
+                    total += newton_sums(x, bits, mixed, gate, _GATES, times)
         yield _numbered(total)
 
     return rows
@@ -756,14 +858,14 @@ def _score(shared: Broadcast):
         scale = model.tokens + 0.1 * (model.distinct + 1)
         for pdf in batches:
             for _, row in pdf.iterrows():
-                sizes, c1 = np.asarray(row["sizes"], dtype=np.int64), _whole(row["c1"])
+                c1, c2, c3, sizes = _counts_of(row)
                 new_at, which = _whole(row["new_at"]).reshape(2, -1)
                 spelling = np.zeros(len(c1))
                 if len(new_at):
                     words = [w or END for w in row["new_words"].replace(END, b"").split(b" ")]
                     spelling[new_at] = model.speller.logs(words)[which]
                 logs = [np.zeros(0)]
-                for a, b, sources in _by_token(row, model.tokens, model.texts, False):
+                for a, b, sources in sliced(c1, c2, c3, sizes, model.tokens, model.texts, False):
                     logs.append(token_logs(sources, source_chances(sources, model.tables, model.weights), spelling[a:b]))
                 first, size = np.cumsum(sizes) - sizes, np.maximum(np.asarray(row["bytes"], dtype=np.int64), 1)
                 score = np.add.reduceat(np.concatenate(logs), first)

@@ -203,6 +203,45 @@ def test_weights_are_fitted_on_all_units_and_words(spark):
         assert np.abs(model.weights[bit] - context_mixing.start_weights()[bit] - step).max() < 1e-6
 
 
+def test_words_that_begin_alike_are_looked_up_once():
+    cm = context_mixing
+    rng = np.random.default_rng(6)
+    words = sorted({b"".join(bytes(rng.choice([b"pre", b"inter", b"over", b"a", b"\xc3\xa9"])) for _ in range(rng.integers(1, 6))) + bytes(rng.integers(97, 110, 3).tolist()) for _ in range(3_000)})
+    for some in (words, words[::-1] + words[:7] + [words[6]], [b"z" * 70_000, b"z" * 70_000 + b"y", b"q"], [b"one"]):
+        code = cm.Code(np.bincount(np.frombuffer(b" ".join(some) + b" ", np.uint8), minlength=256))
+        _, bits, slots = cm.spelled(some, code)
+        own, own_slots, times = cm.spelled_alike(some, code)
+        assert times.sum() == len(bits)
+        for i in range(len(slots)):
+            for bit in (0, 1):
+                plain = np.bincount(slots[i][bits == bit], minlength=1 << cm.SLOT_BITS)
+                assert (plain == np.bincount(own_slots[i][own == bit], weights=times[own == bit], minlength=1 << cm.SLOT_BITS)).all()
+        assert some is not words or len(own) < 0.6 * len(bits)
+        x, y, mixed, gate = rng.normal(size=(len(bits), 3)), bits, rng.normal(size=len(bits)), rng.integers(0, 4, len(bits))
+        twice = cm.newton_sums(np.repeat(x, 2, axis=0), np.repeat(y, 2), np.repeat(mixed, 2), np.repeat(gate, 2), 4)
+        assert np.allclose(twice, cm.newton_sums(x, y, mixed, gate, 4, np.full(len(y), 2)))
+
+
+def test_distinct_keys_and_packed_numbers():
+    cm = context_mixing
+    rng = np.random.default_rng(7)
+    near = (rng.integers(0, 3, 5_000, dtype=np.uint64) << np.uint64(62)) + rng.integers(0, 40, 5_000, dtype=np.uint64)  # alike but for bits that don't fit
+    for keys in (near, rng.integers(0, 1 << 38, 5_000, dtype=np.uint64) >> np.uint64(28), rng.integers(0, 1 << 63, 999, dtype=np.uint64), near[:1], near[:0]):
+        for found, plain in zip(cm.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+            assert found.tolist() == plain.tolist()
+    for top in (0, 1, 255, 256, 1 << 24, (1 << 40) + 3, (1 << 62) + 5):
+        numbers = np.array([0, top, top // 2, top // 3])
+        assert cm._whole(cm._planes(numbers)).tolist() == numbers.tolist()
+    assert cm._whole(cm._planes(np.zeros(0, np.int64))).tolist() == []
+    words = [b"w" * n for n in (1, 600_000, 3, 5)] + [b"x%d" % i for i in range(90_000)] + [b"y" * 1_200_000]
+    blob, sizes = b" ".join(words), np.array([len(w) for w in words])
+    ends = np.cumsum(sizes + 1) - 1
+    hashes = cm.word_hashes(blob, ends - sizes, ends)
+    assert len(hashes) == len(words)
+    for i in (0, 1, 2, 3, 4, 50_000, len(words) - 1):
+        assert hashes[i] == cm.span_hashes(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([sizes[i]]))[0]
+
+
 def _plain_parts(url):
     if not url or "://" not in url:
         return "", ""

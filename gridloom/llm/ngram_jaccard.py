@@ -6,16 +6,16 @@
    over all documents, then by hash; two linked sets share a shingle among the first
    n - ceil(t n) + 1 of each, whatever the order is. So a passage that many documents
    share comes last and makes no candidates, unless it is most of a text. The sketch
-   only orders: its collisions cost time, never a link.
-3. Each class is first compared with one pivot. What a candidate cluster still has in
-   several components is compared tile by tile; tiles hold one size band each. Both
-   times the parity bitmaps go first: their bit counts bound the overlap from above,
-   and only rows that some partner may link with are dealt out again with their sets,
-   to be intersected exactly.
+   only orders: its collisions cost time, never a link. It has as many counters as
+   the shingles call for, since a full one tells nothing apart.
+3. Each class is first compared with one pivot. Of classes that share a key and are still
+   in several components, parity bitmaps tell which may link: their bit counts bound the
+   overlap from above. Those make clusters, whose components are compared tile by tile;
+   tiles hold one size band each. Both times the bitmaps go first, and only rows that some
+   partner may link with are dealt out again with their sets, to be intersected exactly.
 4. Components by star contraction; copies only join at the end.
 
-Nothing is capped: hot clusters become more tiles, hot keys stream through sorted
-partitions.
+Nothing is capped: hot keys become more tiles and stream through sorted partitions.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, give_back, materialize, sized, small_batches, tidy
 from .components import components
-from .textkit import mix, shingle_sets
+from .textkit import mix, ranges, shingle_sets
 
 #: Bits of a parity bitmap, of one that is shuffled (at least), and the classes and
 #: shingles that a tile holds at most.
@@ -41,8 +41,12 @@ BITMAP_BITS, SIGNATURE_BITS, TILE_ROWS, TILE_SHINGLES = 1024, 256, 4096, 3_000_0
 #: Shingles of a tile from which on a task gives its memory back at once; bytes of a batch
 #: of texts, whose sets take several times that.
 LARGE_TILE, BATCH = 500_000, 2 << 20
-#: The count sketch has 2 ** SKETCH_BITS counters, added up in blocks.
-SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
+#: The count sketch has 2 ** SKETCH_BITS counters at least, so many that each counts SLOT_LOAD
+#: shingles, 2 ** SLOT_BITS at most; added up in 2 ** BLOCK_BITS blocks. Tasks send the slots of
+#: so many shingles at a time.
+SKETCH_BITS, SLOT_BITS, SLOT_LOAD, BLOCK_BITS, SLOTS_HELD = 22, 26, 16, 8, 4_000_000
+#: Rows of a tile up to which its pairs are listed with those of other tiles.
+SMALL_TILE = 64
 
 
 class Threshold:
@@ -81,7 +85,7 @@ def digest(values: np.ndarray) -> bytes:
 def prefix_keys(values: np.ndarray, levels: np.ndarray, rule: Threshold) -> np.ndarray:
     """The candidate keys of one non-empty set: its rarest shingles, for its own size
     band and the next, of which a linked set of a neighbouring band has one."""
-    high = levels[values >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)
+    high = levels[values >> np.uint64(65 - len(levels).bit_length())].astype(np.uint64) << np.uint64(58)
     rarest = np.sort(high | (values & np.uint64((1 << 58) - 1)))[: rule.prefix(len(values))]
     own = rule.band(len(values))
     return np.concatenate([mix(rarest + mix(np.array([band + 1], dtype=np.uint64))) for band in (own, own + 1)])
@@ -117,17 +121,33 @@ def _distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tupl
                     yield mark, s
 
 
+def packed_slots(slots: np.ndarray) -> bytes:
+    """Sorted numbers as steps of a byte; 255 goes on."""
+    more, last = np.divmod(np.diff(slots, prepend=slots.dtype.type(0)), 255)
+    out = np.full(len(slots) + int(more.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(more + 1) - 1] = last
+    return zlib.compress(out.tobytes(), 1)
+
+
+def unpacked_slots(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
 def _light(words: int):
-    """One pass over the texts: a row for each document, then the task's count sketch
-    over different sets, block by block."""
+    """One pass over the texts: a row for each document, and the sketch's slots that
+    different sets of the task count in, block by block."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         held, size, seen = [], 0, set()
 
-        def add() -> None:
-            slots, n = np.unique(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            counts[slots] += n.astype(np.uint32)
+        def blocks() -> pd.DataFrame:
+            slots = np.sort(np.concatenate(held))
+            starts = np.arange((1 << BLOCK_BITS) + 1, dtype=np.int64) << (SLOT_BITS - BLOCK_BITS)
+            at = np.searchsorted(slots, starts)
+            full = np.flatnonzero(at[1:] > at[:-1])
+            packed = [packed_slots(slots[at[i] : at[i + 1]].astype(np.int64) - starts[i]) for i in full]
+            return pd.DataFrame({"doc_id": None, "n_shingles": None, "cls": None, "block": full, "slots": packed})
 
         for pdf in batches:
             marks, sizes = [], []
@@ -138,43 +158,63 @@ def _light(words: int):
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(marks[-1])
-                    held.append(s)
+                    held.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
                     size += len(s)
-                    if size > 1_000_000:
-                        add()
-                        held, size = [], 0
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "cls": marks, "block": None, "counts": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "cls": marks, "block": None, "slots": None})
+            if size > SLOTS_HELD:
+                yield blocks()
+                held, size = [], 0
         if held:
-            add()
-        for i, block in enumerate(counts.reshape(-1, SKETCH_BLOCK)):
-            if block.any():
-                yield pd.DataFrame({"doc_id": [None], "n_shingles": [None], "cls": [None], "block": [i], "counts": [zlib.compress(block.tobytes(), 1)]})
+            yield blocks()
 
     return rows
 
 
-def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _add_sketches(bits: int):
     """Of each block the counts' levels: the number of binary digits."""
-    sums: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for block, data in zip(pdf["block"], pdf["counts"], strict=True):
-            if block not in sums:
-                sums[block] = np.zeros(SKETCH_BLOCK, dtype=np.uint64)
-            sums[block] += np.frombuffer(zlib.decompress(data), np.uint32)
-    yield pd.DataFrame({"block": np.array(list(sums), dtype=np.int32), "levels": [np.frexp(v.astype(float))[1].astype(np.uint8).tobytes() for v in sums.values()]})
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, data in zip(pdf["block"], pdf["slots"], strict=True):
+                if block not in sums:
+                    sums[block] = np.zeros(1 << (bits - BLOCK_BITS), dtype=np.int64)
+                slots = unpacked_slots(data) >> (SLOT_BITS - bits)
+                if len(slots) * 8 < len(sums[block]):
+                    np.add.at(sums[block], slots, 1)
+                else:
+                    sums[block] += np.bincount(slots, minlength=len(sums[block]))
+        levels = [zlib.compress(np.frexp(v.astype(float))[1].astype(np.uint8).tobytes(), 1) for v in sums.values()]
+        yield pd.DataFrame({"block": np.array(list(sums), dtype=np.int32), "levels": levels})
 
-def shingle_levels(sketches: DataFrame) -> np.ndarray:
-    """How common shingles are, by the first bits of their hash: a table of a fixed size."""
-    levels = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.uint8).reshape(-1, SKETCH_BLOCK)
-    for block, data in sketches.repartition("block").mapInPandas(_add_sketches, "block int, levels binary").collect():  # 4 MB
-        levels[block] = np.frombuffer(data, np.uint8)
-    return levels.reshape(-1)
+    return rows
+
+
+def sketch_bits(shingles: int) -> int:
+    """Of a sketch that tells so many shingles apart."""
+    return min(SLOT_BITS, max(SKETCH_BITS, (shingles // SLOT_LOAD).bit_length()))
+
+
+def shingle_levels(sketches: DataFrame, bits: int) -> list[bytes]:
+    """How common shingles are, by the first bits of their hash: blocks for level_table."""
+    found = sketches.repartition("block").mapInPandas(tidy(_add_sketches(bits)), "block int, levels binary").collect()
+    known, none = {r.block: bytes(r.levels) for r in found}, zlib.compress(bytes(1 << (bits - BLOCK_BITS)), 1)
+    return [known.get(i, none) for i in range(1 << BLOCK_BITS)]
+
+
+def level_table(blocks: list[bytes]) -> np.ndarray:
+    table = None
+    for i, block in enumerate(blocks):
+        levels = np.frombuffer(zlib.decompress(block), np.uint8)
+        if table is None:
+            table = np.empty((len(blocks), len(levels)), dtype=np.uint8)
+        table[i] = levels
+    return table.reshape(-1)
 
 
 def _keys(words: int, rule: Threshold, levels: Broadcast):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, keys, marks, size = levels.value, [], [], 0
+        table, keys, marks, size = level_table(levels.value), [], [], 0
         for mark, s in _distinct_sets(batches, words):
             keys.append(prefix_keys(s, table, rule))
             marks.append(np.full(len(keys[-1]), mark))
@@ -189,9 +229,10 @@ def _keys(words: int, rule: Threshold, levels: Broadcast):
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key and mark -> (mark, pivot) wherever a key has several marks;
-    pivot: the key's least mark. Streams: it keeps the last key and its pivot only."""
-    key = pivot = last = None
+    """Rows sorted by key and mark -> (key, mark, pivot), the different marks of each key
+    that has several; pivot: the key's least mark. Streams: it keeps the last row, its
+    key's pivot, and the last key that it told."""
+    key = pivot = last = told = None
     for pdf in batches:
         k, m = pdf["key"].to_numpy(), pdf["mark"].to_numpy()
         if not len(k):
@@ -203,8 +244,10 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = (m != pivots) & ~repeated
         key, pivot, last = k[-1], pivots[-1], m[-1]
         if keep.any():
-            out = pd.DataFrame({"mark": m[keep], "pivot": pivots[keep]})
-            yield out.groupby(["mark", "pivot"], as_index=False, sort=False).size().rename(columns={"size": "n"})
+            k, m, pivots = k[keep], m[keep], pivots[keep]
+            begun = np.concatenate(([k[0] != told], k[1:] != k[:-1]))
+            told = k[-1]
+            yield pd.DataFrame({"key": np.concatenate((k, k[begun])), "mark": np.concatenate((m, pivots[begun])), "pivot": np.concatenate((pivots, pivots[begun]))})
 
 
 def _signatures(words: int, rule: Threshold):
@@ -264,18 +307,49 @@ def sift_tile(side: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: lis
     return kept
 
 
-def _sift(keys: list[str], rule: Threshold):
-    """Rows sorted by the keys -> those that sift_tile keeps. Streams: it holds a batch
-    and the tile that goes on in the next."""
-
-    def sifted(pdf: pd.DataFrame, tile: np.ndarray) -> pd.DataFrame:
-        side, sizes, bits = pdf["side"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["bits"].tolist()
-        labels, kept = pd.factorize(pdf["label"])[0], np.zeros(len(pdf), dtype=bool)
-        heads = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-        for a, b in zip(heads, [*heads[1:], len(pdf)], strict=True):
-            if b - a > 1:
-                kept[a:b] = sift_tile(side[a:b], sizes[a:b], labels[a:b], bits[a:b], rule)
-        return pdf[kept].drop(columns="bits")
+def sift_pairs(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: list[bytes], rule: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of different labels that may link."""
+    least = rule.least_overlap(sizes[left] + sizes[right])
+    fit = (labels[left] != labels[right]) & (np.minimum(sizes[left], sizes[right]) >= least)
+    left, right, least = left[fit], right[fit], least[fit]
+    widths, may = np.array([len(x) // 8 for x in bits]), np.zeros(len(left), dtype=bool)
+    narrow = np.minimum(widths[left], widths[right])
+    for w in np.unique(narrow).tolist():
+        these = np.flatnonzero(narrow == w)
+        used = np.unique(np.concatenate((left[these], right[these])))
+        stack = np.empty((len(used), w), dtype=np.uint64)
+        for v in np.unique(widths[used]).tolist():
+            at = np.flatnonzero(widths[used] == v)
+            stack[at] = folded(np.frombuffer(b"".join([bits[i] for i in used[at]]), np.uint64).reshape(-1, v), w)
+        step = max(1, (1 << 19) // w)
+        for k in range(0, len(these), step):
+            i = these[k : k + step]
+            apart = np.bitwise_count(stack[np.searchsorted(used, left[i])] ^ stack[np.searchsorted(used, right[i])]).sum(axis=1, dtype=np.int64)
+            may[i] = (sizes[left[i]] + sizes[right[i]] - apart) // 2 >= least[i]
+    return left[may], right[may]
+
+
+def _sifted(pdf: pd.DataFrame, tile: np.ndarray, rule: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of rows tile by tile: which may link with another of their tile, the pairs in small
+    tiles that may, and where large tiles begin and end."""
+    side, sizes, bits = pdf["side"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["bits"].tolist()
+    labels, kept = pd.factorize(pdf["label"])[0], np.zeros(len(pdf), dtype=bool)
+    heads = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    rows = np.diff(heads, append=len(pdf))
+    at = np.repeat(np.arange(len(heads)), rows)
+    own = np.flatnonzero((side == 0) & (rows[at] <= SMALL_TILE))
+    many = rows[at[own]]
+    left, right = sift_pairs(np.repeat(own, many), ranges(heads[at[own]], many), sizes, labels, bits, rule)
+    kept[left] = kept[right] = True
+    large = [(a, a + n) for a, n in zip(heads.tolist(), rows.tolist(), strict=True) if n > SMALL_TILE]
+    for a, b in large:
+        kept[a:b] = sift_tile(side[a:b], sizes[a:b], labels[a:b], bits[a:b], rule)
+    return kept, left, right, large
+
+
+def _by_tile(keys: list[str], made: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+    """What is made of rows sorted by the keys, whole tiles at a time. Streams: it holds a
+    batch and the tile that goes on in the next."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -286,13 +360,30 @@ def _sift(keys: list[str], rule: Threshold):
                 whole = int(np.argmax(tile == tile[-1]))
                 held = pdf.iloc[whole:]
                 if whole:
-                    yield sifted(pdf.iloc[:whole], tile[:whole])
+                    yield made(pdf.iloc[:whole], tile[:whole])
         if held is not None:
-            yield sifted(held, np.zeros(len(held)))
+            yield made(held, np.zeros(len(held)))
 
     return rows
 
 
+def _sift(keys: list[str], rule: Threshold):
+    return _by_tile(keys, lambda pdf, tile: pdf[_sifted(pdf, tile, rule)[0]].drop(columns="bits"))
+
+
+def _near(keys: list[str], rule: Threshold):
+    """Edges that join the classes of a tile that may link; in large tiles, all that may with any."""
+
+    def edges(pdf: pd.DataFrame, tile: np.ndarray) -> pd.DataFrame:
+        kept, left, right, large = _sifted(pdf, tile, rule)
+        cls = pdf["cls"].to_numpy()
+        stars = [np.unique(cls[a:b][kept[a:b]]) for a, b in large]
+        u, v = (np.concatenate(x) for x in ((cls[left], *stars), (cls[right], *[np.repeat(x[:1], len(x)) for x in stars])))
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+    return _by_tile(keys, edges)
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -332,12 +423,16 @@ def compare_tile(pdf: pd.DataFrame, rule: Threshold, every: bool) -> pd.DataFram
     return pd.DataFrame(found, columns=["u", "v"])
 
 
+def _signed(rows: DataFrame, keys: list[str], signatures: DataFrame) -> DataFrame:
+    """Rows with their sizes and bitmaps, dealt out and sorted by the keys."""
+    dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+
 def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Threshold, every: bool = False) -> DataFrame:
     """Links between side 0 and all rows of each tile; rows: keys, cls, label, side."""
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    sifted = materialize(dealt.mapInPandas(tidy(_sift(keys, rule)), f"{types}, n long"), "jaccard-sifted")
+    sifted = materialize(_signed(rows, keys, signatures).mapInPandas(tidy(_sift(keys, rule)), f"{types}, n long"), "jaccard-sifted")
     whole = sifted.join(sets_of(sifted.select("cls").distinct()), "cls")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -354,9 +449,18 @@ def _compare(rows: DataFrame, keys: list[str], signatures: DataFrame, sets_of: C
 _TILE = ["cluster", "mb", "mk", "ab", "ak"]
 
 
-def _tiles(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], cluster: DataFrame, rule: Threshold, every: bool) -> DataFrame:
-    """Tiles of each cluster: what isn't in its largest component against everything,
-    by neighbouring size bands."""
+def _tiles(signatures: DataFrame, cluster: DataFrame, labelled: DataFrame, every: bool) -> DataFrame:
+    """Tiles of each cluster of classes, which may be in several: what isn't in its largest
+    component (``every``: all of it) against everything, by neighbouring size bands.
+    Clusters that are in one component have none."""
+    if every:
+        cluster = cluster.withColumn("label", F.col("cls")).withColumn("minor", F.lit(True))
+    else:
+        state = materialize(cluster.join(labelled, "cls"), "jaccard-state")
+        shares = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+        largest = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+        largest = materialize(largest.select("cluster", "main"), "jaccard-main")
+        cluster = state.join(sized(largest), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
     rows = materialize(signatures.select("cls", "n", "band").join(cluster, "cls"), "jaccard-rows")
     blocks = rows.groupBy("cluster", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = blocks.select("cluster", "band", F.ceil(F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES)).cast("int").alias("k"))
@@ -368,7 +472,17 @@ def _tiles(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], clu
     minor = rows.filter("minor").select("cluster", F.col("band").alias("mb"), F.col("block").alias("mk"), "cls", "label", F.lit(0).alias("side"))
     other = rows.select("cluster", F.col("band").alias("ab"), F.col("block").alias("ak"), "cls", "label", F.lit(1).alias("side"))
     dealt = minor.join(tiles, ["cluster", "mb", "mk"]).unionByName(other.join(tiles, ["cluster", "ab", "ak"]))
-    return _compare(dealt.select(*_TILE, "cls", "label", "side"), _TILE, signatures, sets_of, rule, every)
+    return dealt.select(*_TILE, "cls", "label", "side")
+
+
+def _met(groups: DataFrame, labelled: DataFrame, signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Threshold, every: bool = False) -> DataFrame:
+    """Links between classes of one group, of different labels unless ``every``; groups:
+    ``(cls, cluster)``, a class being in several. Which classes may link is asked in each
+    group; their sets are dealt out once, by the clusters that they make."""
+    tiles = _tiles(signatures, groups, labelled, every)
+    near = materialize(_signed(tiles, _TILE, signatures).mapInPandas(tidy(_near(_TILE, rule)), "u long, v long").distinct(), "jaccard-near")
+    cluster = components(near, "jaccard-clusters").select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    return materialize(_compare(_tiles(signatures, cluster, labelled, every), _TILE, signatures, sets_of, rule, every), "jaccard-links")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -393,14 +507,16 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     without every_link, their labels ``(cls, label)``: the least class that links reach."""
     rule = Threshold(num, den)
     texts = small_batches(docs, BATCH).select("doc_id", "text")
-    once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, counts binary"), "jaccard-docs")
+    once = materialize(texts.mapInPandas(tidy(_light(words)), "doc_id long, n_shingles long, cls binary, block int, slots binary"), "jaccard-docs")
     light = once.filter("block is null").select("doc_id", "n_shingles", "cls")
-    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(once.filter("block is not null").select("block", "counts")))
+    bits = sketch_bits(once.agg(F.sum("n_shingles")).head()[0] or 0)
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(once.filter("block is not null").select("block", "slots"), bits))
     keys = texts.mapInPandas(tidy(_keys(words, rule, levels)), "key long, mark long")
     spread = keys.repartition("key").sortWithinPartitions("key", "mark")
-    stars = materialize(spread.mapInPandas(tidy(_members), "mark long, pivot long, n long"), "jaccard-stars")
-    stars = stars.groupBy("mark", "pivot").agg(F.sum("n").alias("n"))
-    stars = materialize(stars, "jaccard-pairs")
+    members = materialize(spread.mapInPandas(tidy(_members), "key long, mark long, pivot long"), "jaccard-members")
+    stars = materialize(members.filter("mark != pivot").groupBy("mark", "pivot").agg(F.count("*").alias("n")), "jaccard-pairs")
+    groups = different_groups(members)
+    discard(members)
 
     marks = stars.select("mark").union(stars.select("pivot")).distinct()
     first_of = light.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
@@ -424,13 +540,14 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     names = signatures.select("cls", "mark", F.col("n").alias("size"))
     pairs = stars.join(names, "mark").withColumnRenamed("cls", "a")
     pairs = pairs.join(names.select(F.col("mark").alias("pivot"), F.col("cls").alias("b")), "pivot").select("a", "b", "n", "size")
-    same_mark = names.groupBy("mark").agg(F.min("cls").alias("b"), F.max(F.struct("cls", "size")).alias("a")).filter("a.cls != b").select(F.col("a.cls").alias("a"), "b", F.lit(1).cast("long").alias("n"), F.col("a.size").alias("size"))
-    pairs = materialize(pairs.union(same_mark), "jaccard-candidates")
-    discard(stars)
+    same_mark = names.groupBy("mark").agg(F.min("cls").alias("b"), F.count("*").alias("c")).filter("c > 1").select("mark", "b")
+    same_mark = materialize(names.join(sized(materialize(same_mark, "jaccard-marks")), "mark"), "jaccard-same-mark")
+    pairs = pairs.union(same_mark.filter("cls != b").select(F.col("cls").alias("a"), "b", F.lit(1).cast("long").alias("n"), "size"))
+    # Classes by the keys that they share, and those of one mark, which share all of them.
+    named = groups.join(names.select("mark", "cls"), "mark").select("cls", F.col("key").alias("cluster"))
+    named = named.union(same_mark.select("cls", "mark"))
     if every_link:
-        cluster = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-clusters")
-        cluster = cluster.select(F.col("node").alias("cls"), F.col("label").alias("cluster"), F.col("node").alias("label"), F.lit(True).alias("minor"))
-        return light, materialize(_tiles(signatures, sets_of, cluster, rule, True), "jaccard-links"), digests, None
+        return light, _met(named, names, signatures, sets_of, rule, True), digests, None
 
     best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "size"), F.struct(F.col("n"), F.col("b"))).alias("best")).select("a", "best.b", "best.size")
     best = materialize(best, "jaccard-best")
@@ -441,23 +558,12 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     first = member.union(pivot).withColumn("label", F.col("cls"))
     links = materialize(_compare(first, ["b", "part"], signatures, sets_of, rule), "jaccard-links")
 
-    # Two classes that share a key and aren't joined yet have met one pivot, from which one of
-    # them is still apart: only such open pivots' candidates can bring another link.
+    # Only classes that share a key and aren't joined yet can bring another link.
     joined = components(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
     labelled = signatures.select("cls").join(joined, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
     labelled = materialize(labelled, "jaccard-labels")
-    ends = pairs.select("a", "b").join(labelled.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a")
-    ends = materialize(ends.join(labelled.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b"), "jaccard-ends")
-    open_ = materialize(ends.filter("la != lb").select("b").distinct(), "jaccard-open")
-    edges = ends.join(sized(open_), "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    cluster = components(edges, "jaccard-clusters").select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-    state = materialize(cluster.join(labelled, "cls"), "jaccard-state")
-    discard(pairs, best, ends)
-    shares = state.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    largest = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    largest = materialize(largest.select("cluster", "main"), "jaccard-main")
-    rest = state.join(sized(largest), "cluster").select("cls", "cluster", "label", (F.col("label") != F.col("main")).alias("minor"))
-    more = materialize(_tiles(signatures, sets_of, rest, rule, False), "jaccard-links")
+    more = _met(named, labelled, signatures, sets_of, rule)
+    discard(stars, groups, best)
 
     # What the tiles have linked are labels already: their graph is small, or has no edge.
     at = lambda c: labelled.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
@@ -467,6 +573,16 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     return light, links.union(more), digests, labels
 
 
+def different_groups(members: DataFrame) -> DataFrame:
+    """``(key, mark)`` of ``members`` without the keys whose marks are another key's: of keys
+    with one set of marks (128 bits tell sets apart) the least stays."""
+    seen = members.groupBy("key").agg(F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("mark"))).alias("y"), F.count("*").alias("c"))
+    first = materialize(seen.groupBy("x", "y", "c").agg(F.min("key").alias("key")).select("key"), "jaccard-keys")
+    groups = materialize(members.join(sized(first), "key", "left_semi").select("key", "mark"), "jaccard-groups")
+    discard(first)
+    return groups
+
+
 def _mark(cls: str) -> Column:
     """The first eight bytes of a digest as the little-endian long that numpy reads."""
     hexed = F.hex(cls)

@@ -45,8 +45,9 @@ LARGE_TILE, BATCH = 500_000, 2 << 20
 #: shingles, 2 ** SLOT_BITS at most; added up in 2 ** BLOCK_BITS blocks. Tasks send the slots of
 #: so many shingles at a time.
 SKETCH_BITS, SLOT_BITS, SLOT_LOAD, BLOCK_BITS, SLOTS_HELD = 22, 26, 16, 8, 4_000_000
-#: Rows of a tile up to which its pairs are listed with those of other tiles.
-SMALL_TILE = 64
+#: Rows of a tile up to which its pairs are listed with those of other tiles; edges up to
+#: which one task finds the components.
+SMALL_TILE, FEW_EDGES = 64, 250_000
 
 
 class Threshold:
@@ -423,6 +424,30 @@ def compare_tile(pdf: pd.DataFrame, rule: Threshold, every: bool) -> pd.DataFram
     return pd.DataFrame(found, columns=["u", "v"])
 
 
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges -> each node and the least node that it is joined with."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent[x]) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            if u != v:
+                a, b = sorted((root(parent.setdefault(u, u)), root(parent.setdefault(v, v))))
+                parent[b] = a
+    yield pd.DataFrame({"node": list(parent), "label": [root(x) for x in parent]}, dtype=np.int64)
+
+
+def _joined(edges: DataFrame, name: str) -> DataFrame:
+    """components() of a written table of edges; of few edges in one task, without its rounds."""
+    if edges.count() > FEW_EDGES:
+        return components(edges, name)
+    return materialize(edges.coalesce(1).mapInPandas(_unite, "node long, label long"), name)
+
+
 def _signed(rows: DataFrame, keys: list[str], signatures: DataFrame) -> DataFrame:
     """Rows with their sizes and bitmaps, dealt out and sorted by the keys."""
     dealt = rows.join(signatures.select("cls", "n", "bits"), "cls").select(*rows.columns, "n", "bits")
@@ -481,7 +506,7 @@ def _met(groups: DataFrame, labelled: DataFrame, signatures: DataFrame, sets_of:
     group; their sets are dealt out once, by the clusters that they make."""
     tiles = _tiles(signatures, groups, labelled, every)
     near = materialize(_signed(tiles, _TILE, signatures).mapInPandas(tidy(_near(_TILE, rule)), "u long, v long").distinct(), "jaccard-near")
-    cluster = components(near, "jaccard-clusters").select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    cluster = _joined(near, "jaccard-clusters").select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     return materialize(_compare(_tiles(signatures, cluster, labelled, every), _TILE, signatures, sets_of, rule, every), "jaccard-links")
 
 
@@ -559,7 +584,7 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     links = materialize(_compare(first, ["b", "part"], signatures, sets_of, rule), "jaccard-links")
 
     # Only classes that share a key and aren't joined yet can bring another link.
-    joined = components(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
+    joined = _joined(links, "jaccard-first").select(F.col("node").alias("cls"), "label")
     labelled = signatures.select("cls").join(joined, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
     labelled = materialize(labelled, "jaccard-labels")
     more = _met(named, labelled, signatures, sets_of, rule)
@@ -568,7 +593,7 @@ def _numbered_links(docs: DataFrame, words: int, num: int, den: int, every_link:
     # What the tiles have linked are labels already: their graph is small, or has no edge.
     at = lambda c: labelled.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
     between = more.join(at("u"), "u").join(at("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
-    merged = components(between, "jaccard-last").select(F.col("node").alias("label"), F.col("label").alias("least"))
+    merged = _joined(materialize(between, "jaccard-between"), "jaccard-last").select(F.col("node").alias("label"), F.col("label").alias("least"))
     labels = labelled.join(sized(materialize(merged, "jaccard-merged")), "label", "left").select("cls", F.coalesce("least", "label").alias("label"))
     return light, links.union(more), digests, labels
 

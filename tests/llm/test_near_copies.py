@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from gridloom.llm import ngram_jaccard
+from gridloom.llm import components, ngram_jaccard
 from gridloom.llm.textkit import shingle_sets
 
 RULE = ngram_jaccard.Threshold(80, 100)
@@ -78,3 +78,14 @@ def test_listed_pairs_are_those_of_tiles():
         for j in range(50):
             if labels[i] != labels[j] and RULE.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j]):
                 assert ((left == i) & (right == j)).any()
+
+
+def test_few_edges_have_the_components_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for edges in (rng.integers(-60, 60, (50, 2)).tolist(), [[i, i + 1] for i in range(40)], [[3, 3]], []):
+        table = ngram_jaccard.materialize(spark.createDataFrame(edges, "u long, v long"), "edges")
+        expected = sorted(tuple(r) for r in components.components(table).collect())
+        assert sorted(tuple(r) for r in ngram_jaccard._joined(table, "few").collect()) == expected
+        with monkeypatch.context() as m:
+            m.setattr(ngram_jaccard, "FEW_EDGES", -1)
+            assert sorted(tuple(r) for r in ngram_jaccard._joined(table, "many").collect()) == expected

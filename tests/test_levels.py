@@ -60,6 +60,32 @@ def test_levels_shuffle_the_raster_once(spark, tmp_path):
     assert sizes == {1: 40_000, 2: 10_000, 4: 2_500}
 
 
+def final_plan(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("ks", [[1, 2, 4], [2, 4], [1]])
+def test_levels_read_one_shuffle(spark, ks):
+    cells = spark.range(3600).select(F.lit(2025).alias("year"), F.expr("id div 60").alias("iy"), (F.col("id") % 60).alias("ix"), (F.col("id") % 7).cast("int").alias("code"))
+    shuffles = [x for x in final_plan(levels.all_levels(cells, 30, ks)).splitlines() if "Exchange" in x and "ReusedExchange" not in x]
+    assert len(shuffles) == 1 and "rangepartitioning" in shuffles[0]
+
+
+def test_odd_cells_keep_their_levels(spark):
+    rows = [(2025, 0, 0, None), (2025, 0, 1, None), (2025, 1, 0, 5), (2025, 1, 1, 9)]  # no code is a code: the commonest here
+    rows += [(2025, 0, 2, None), (2025, 0, 3, 8), (2025, 1, 2, 7)]  # but the last among as many
+    rows += [(2025, 2, 0, 3), (2025, 2, 0, 3), (2025, 3, 1, 2)]  # a cell that comes twice counts twice
+    rows += [(2025, None, 0, 4), (2025, None, 1, 4), (2025, -1, -1, 6), (None, 0, 0, 1)]
+    made = levels.all_levels(spark.createDataFrame(rows, "year int, iy long, ix long, code int"), 30, [1, 2, 4])
+    found = sorted(((r.k, r.year, r.iy, r.ix, r.code) for r in made.collect()), key=str)
+    want = [(1, *r) for r in rows]
+    want += [(2, 2025, 0, 0, None), (2, 2025, 0, 1, 7), (2, 2025, 1, 0, 3), (2, 2025, None, 0, 4), (2, 2025, -1, -1, 6), (2, None, 0, 0, 1)]
+    want += [(4, 2025, 0, 0, None), (4, 2025, None, 0, 4), (4, 2025, -1, -1, 6), (4, None, 0, 0, 1)]
+    assert found == sorted(want, key=str)
+
+
 def test_requests_prune_folders(spark, store, tmp_path):
     spark.createDataFrame([(30, 2, 2025, "x"), (30, 2, 2025, "y")], "grp int, k int, year int, who string").write.parquet(str(tmp_path / "asked"))
     asked = spark.read.parquet(str(tmp_path / "asked"))

@@ -73,6 +73,13 @@ def test_levels_read_one_shuffle(spark, ks):
     assert len(shuffles) == 1 and "rangepartitioning" in shuffles[0]
 
 
+def test_made_levels_share_one_read_and_one_sort(spark):
+    cells = spark.range(3600).select(F.lit(2025).alias("year"), F.expr("id div 60").alias("iy"), (F.col("id") % 60).alias("ix"), (F.col("id") % 7).cast("int").alias("code"))
+    plan = final_plan(levels.all_levels(cells, 30, [1, 2, 4, 8])).splitlines()
+    assert len([x for x in plan if "ShuffleQueryStage" in x]) == 2  # the raster and the levels made of it; it was one for each level
+    assert len([x for x in plan if " Sort [" in x]) == 1
+
+
 def test_odd_cells_keep_their_levels(spark):
     rows = [(2025, 0, 0, None), (2025, 0, 1, None), (2025, 1, 0, 5), (2025, 1, 1, 9)]  # no code is a code: the commonest here
     rows += [(2025, 0, 2, None), (2025, 0, 3, 8), (2025, 1, 2, 7)]  # but the last among as many
